@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import suffix_tree, token_counts
+from lattica.llm import kneser_ney, pii_tagger, suffix_tree, token_counts
 from lattica.llm.common import read_table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_tagger.find(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -25,7 +33,7 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_counts, op9_suffix_tree)}
+    return {f.__name__: f for f in (op1_kneser_ney, op7_pii_tagger, op8_token_counts, op9_suffix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
