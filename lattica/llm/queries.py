@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import kneser_ney, pii_tagger, suffix_tree, token_counts
+from lattica.llm import kneser_ney, mixing, pii_tagger, suffix_tree, token_counts, warc
 from lattica.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read_table(spark, sf_dir, "documents"))
+
+
 def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_tagger.find(read_table(spark, sf_dir, "documents"))
 
@@ -32,8 +36,12 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(read_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op7_pii_tagger, op8_token_counts, op9_suffix_tree)}
+    return {f.__name__: f for f in (op1_kneser_ney, op5_mixing, op7_pii_tagger, op8_token_counts, op9_suffix_tree, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
