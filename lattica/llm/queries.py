@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontamination, kneser_ney, mixing, pii_tagger, suffix_tree, token_counts, warc
+from lattica.llm import chosen_path, decontamination, embedding_dedup, kneser_ney, mixing, pii_tagger, suffix_tree, token_counts, warc
 from lattica.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(read_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -28,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_tagger.find(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_decontamination, op5_mixing, op7_pii_tagger, op8_token_counts, op9_suffix_tree, op10_warc)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_chosen_path, op4_decontamination, op5_mixing, op6_embedding_dedup, op7_pii_tagger, op8_token_counts, op9_suffix_tree, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
