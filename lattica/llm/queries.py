@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chosen_path, decontamination, embedding_dedup, kneser_ney, mixing, pii_tagger, suffix_tree, token_counts, warc
+from lattica.llm import chosen_path, decontamination, embedding_dedup, kneser_ney, mixing, pii_tagger, suffix_dedup, suffix_tree, token_counts, warc
 from lattica.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_chosen_path, op4_decontamination, op5_mixing, op6_embedding_dedup, op7_pii_tagger, op8_token_counts, op9_suffix_tree, op10_warc)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_chosen_path, op3_suffix_dedup, op4_decontamination, op5_mixing, op6_embedding_dedup, op7_pii_tagger, op8_token_counts, op9_suffix_tree, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
