@@ -122,9 +122,43 @@ def counted_keys(df: DataFrame, keys: Callable, text: str = "text", flush: int =
     return df.select(F.col(text).alias("text")).mapInPandas(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def hot_rows(table: DataFrame, hot: int, width: int = 64) -> list:
-    """The hot most frequent rows of table (key, n, ...) whose key has at most width bytes: a bounded set for a broadcast."""
-    return table.filter(F.length("key") <= width).orderBy(F.desc("n"), "key").limit(hot).collect()
+class Lookup:
+    """A bounded table for a broadcast: Arrow columns that travel as they are; a worker builds its dict once."""
+
+    def __init__(self, table, values: list[str]):
+        self.table, self.values, self.known = table, values, None
+
+    def __getstate__(self):
+        return {"table": self.table, "values": self.values, "known": None}
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
+
+    def dict(self) -> dict:
+        """key bytes -> its value, or the tuple of its values."""
+        if self.known is None:
+            cols = [self.table.column(v).to_pylist() for v in self.values]
+            rows = cols[0] if len(cols) == 1 else zip(*cols, strict=True)
+            self.known = dict(zip(self.table.column("key").to_pylist(), rows, strict=True))
+        return self.known
+
+
+def hot_rows(table: DataFrame, hot: int, values: list[str], width: int = 64) -> Lookup:
+    """The most frequent rows of table (key binary, n, ...) whose key has at most width bytes: at most hot of them.
+
+    The least count that fits is read off a histogram of counts in steps of a 64th of a power of two, so the driver gets
+    a few thousand rows and then no more than hot.
+    """
+    short = table.filter(F.length("key") <= width)
+    steps = short.groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("rows")).collect()
+    floor, total = None, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["rows"]
+        if total > hot:
+            break
+        floor = r["least"]
+    kept = short.filter(F.col("n") >= (floor if floor is not None else 1 << 62))
+    return Lookup(kept.select("key", "n", *[v for v in values if v != "n"]).toArrow(), values)
 
 
 def looked_up(rows: DataFrame, spread: Callable, table: DataFrame, values: list[str], extra: str = "") -> DataFrame:

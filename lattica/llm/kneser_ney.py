@@ -2,13 +2,13 @@
 
 Model: 5-grams of characters inside words (white space divides words; a word is padded in front and closed by an end
 sign), trained on trusted text: documents labelled quality 1 and not toxic, at most max_train_docs of them (those of
-least hash of doc_id; this documented bound limits the fit alone). Counts, continuation counts, the discounts D1, D2,
+least hash of doc_id; this documented bound limits the fit alone), half of which are held out of the fit. Counts, continuation counts, the discounts D1, D2,
 D3+ of each order and the context masses are grouped tables.
 
 Scoring: the distinct 5-grams of the whole corpus meet the sharded count tables of all orders in one join; every
 distinct word then sums its grams, and every document its words (two-tier lookups of ``common.looked_up``). A document's
-perplexity per character is compared with the given quantile of the trusted documents of its language; languages
-with fewer than min_lang_docs of them, null among them, use the quantile over all languages.
+perplexity per character is compared with margin times the given quantile of the held-out trusted documents of its
+language; languages with fewer than min_lang_docs of them, null among them, use the quantile over all languages.
 
 Defined results: a document without words (null, empty, blank) has null perplexity and is rejected; without any trusted
 text there is no threshold and all documents with words are kept; labels that disagree on a doc_id make it untrusted;
@@ -98,10 +98,10 @@ def score_grams(grams: DataFrame, model: DataFrame, left: float) -> DataFrame:
 
 def score_words(words: DataFrame, grams: DataFrame, hot: int) -> DataFrame:
     """(key, n, lp, chars) of every distinct word."""
-    near = words.sparkSession.sparkContext.broadcast({bytes(r["key"]).decode(): r["lp"] for r in hot_rows(grams, hot)})
+    near = words.sparkSession.sparkContext.broadcast(hot_rows(grams, hot, ["lp"]))
 
     def spread(batches):
-        known = near.value
+        known = {k.decode(): v for k, v in near.value.dict().items()}
         for pdf in batches:
             for a in range(0, len(pdf), 20_000):
                 uid, key, n, lp, chars, word, count = [], [], [], [], [], [], []
@@ -130,24 +130,22 @@ def score_words(words: DataFrame, grams: DataFrame, hot: int) -> DataFrame:
 def trusted_ids(labels: DataFrame, max_train_docs: int) -> DataFrame:
     one = labels.groupBy(F.col("doc_id").cast("long").alias("t_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"), F.count("quality").alias("a"), F.count("toxic").alias("b"), F.count("*").alias("c"))
     good = one.filter("t_id is not null and q = 1 and x = 0 and a = c and b = c").select("t_id")
-    return good.orderBy(F.xxhash64("t_id"), "t_id").limit(max_train_docs)
+    return good.orderBy(F.xxhash64("t_id"), "t_id").limit(max_train_docs).withColumn("fit", F.pmod(F.xxhash64("t_id", F.lit("fold")), F.lit(2)) == 0)
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, max_train_docs: int, hot: int) -> DataFrame:
-    """doc_id, lang, chars, perplexity, trusted for every row of docs."""
+    """doc_id, lang, chars, perplexity, held (trusted, not fitted on) for every row of docs."""
     spark = docs.sparkSession
-    ids = [r["t_id"] for r in trusted_ids(labels, max_train_docs).collect()]
-    trusted = F.broadcast(spark.createDataFrame(pd.DataFrame({"t_id": pd.Series(ids, dtype="int64")}), "t_id long"))
+    trusted = F.broadcast(materialize(trusted_ids(labels, max_train_docs), "trusted-ids"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model, left = fit(materialize(counted_keys(plain.join(trusted, F.col("doc_id") == F.col("t_id"), "left_semi"), word_keys), "trusted"))
+    model, left = fit(materialize(counted_keys(plain.join(trusted.filter("fit"), F.col("doc_id") == F.col("t_id"), "left_semi"), word_keys), "trusted"))
     words = materialize(counted_keys(plain, word_keys), "words")
     grams = materialize(score_grams(gram_counts(words), model, left), "grams")
-    scored = materialize(score_words(words, grams, hot), "scored")
-    top = hot_rows(scored, hot)
-    near = spark.sparkContext.broadcast({bytes(r["key"]): (r["lp"], r["chars"]) for r in top})
+    scored = materialize(score_words(words, grams, hot // 2), "scored")
+    near = spark.sparkContext.broadcast(hot_rows(scored, hot, ["lp", "chars"]))
 
     def spread(batches):
-        known = near.value
+        known = near.value.dict()
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 uid, key, n, lp, chars, doc, lang, head = [], [], [], [], [], [], [], []
@@ -172,16 +170,18 @@ def perplexities(docs: DataFrame, labels: DataFrame, max_train_docs: int, hot: i
 
     sums = looked_up(with_uid(plain), spread, scored, ["lp", "chars"], "doc long, lang string")
     out = sums.select(F.col("doc").alias("doc_id"), "lang", F.round("chars").cast("long").alias("chars"), F.when(F.col("chars") > 0, F.pow(F.lit(10.0), -F.col("lp") / F.col("chars"))).alias("perplexity"))
-    return out.join(trusted, F.col("doc_id") == F.col("t_id"), "left").withColumn("trusted", F.col("t_id").isNotNull()).drop("t_id")
+    return out.join(trusted, F.col("doc_id") == F.col("t_id"), "left").withColumn("held", F.coalesce(~F.col("fit"), F.lit(False))).drop("t_id", "fit")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, min_lang_docs: int = 50, max_train_docs: int = 20_000, hot: int = 1 << 18) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.05, min_lang_docs: int = 20, max_train_docs: int = 20_000, hot: int = 1 << 17) -> DataFrame:
     """doc_id, lang, chars, perplexity, threshold, kept for every row of docs (doc_id, text, lang)."""
     scored = materialize(perplexities(docs, labels, max_train_docs, hot), "perplexity")
-    good = scored.filter("trusted and perplexity is not null")
-    cut = F.expr(f"percentile(perplexity, {quantile})")
+    good = scored.filter("held and perplexity is not null")
+    cut = F.expr(f"percentile(perplexity, {quantile})") * margin
     by_lang = good.groupBy(F.col("lang").alias("t_lang")).agg(cut.alias("own"), F.count("*").alias("docs")).filter(F.col("docs") >= min_lang_docs).filter("t_lang is not null").drop("docs")
     every = good.agg(cut.alias("every")).first()["every"]
+    by_lang = materialize(by_lang, "by-lang")
+    by_lang = F.broadcast(by_lang) if by_lang.count() <= 100_000 else by_lang
     out = scored.join(by_lang, F.col("lang") == F.col("t_lang"), "left")
     threshold = F.coalesce(F.col("own"), F.lit(every).cast("double"))
     return out.select("doc_id", "lang", "chars", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("kept"))

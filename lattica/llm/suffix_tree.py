@@ -23,10 +23,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import counted_keys, hot_rows, looked_up, materialize, with_uid
+from lattica.llm.common import Lookup, counted_keys, hot_rows, looked_up, materialize, with_uid
 
 END = b" "
 
@@ -37,11 +38,10 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class Tree:
-    """vocab: word -> id; known: word -> log10 root probability; kept: context ids -> (n, {next id: count})."""
+    """kept: context ids -> (n, {next id: count}); root: probability by id."""
 
-    def __init__(self, vocab: dict, kept: dict, root: np.ndarray, kappa: float):
-        self.vocab, self.kept, self.root, self.kappa = vocab, kept, root, kappa
-        self.depth = max((len(s) for s in kept), default=0)
+    def __init__(self, kept: dict, root: np.ndarray, kappa: float):
+        self.kept, self.root, self.kappa = kept, root, kappa
         self.states: dict = {}
         for s in sorted(kept, key=len):
             n, nexts = kept[s]
@@ -85,12 +85,11 @@ class Tree:
         return out
 
 
-def follow_counts(train: DataFrame, vocab, contexts, depth: int, flush: int = 1_500_000) -> DataFrame:
-    """(c1, c2, x, n): how often token x follows each context of depth words that contexts holds (None: all of vocab)."""
-    size = len(vocab.value) + 1
+def follow_counts(train: DataFrame, vocab, size: int, contexts, depth: int, flush: int = 1_500_000) -> DataFrame:
+    """(c, x, n): how often token x follows context c: a word's id, or the index of a pair's code in contexts (sorted)."""
 
     def run(batches):
-        ids, held = vocab.value, contexts.value if contexts else None
+        ids, held = {w: i for w, (i, _) in vocab.value.dict().items() if i}, contexts.value if contexts else None
         parts, total = [], 0
 
         def flushed():
@@ -140,49 +139,49 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, p_min
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = max(2, math.ceil(p_min * n_all))
     log_all = math.log10(n_all + v_all + 1)
-    top = hot_rows(counts, hot)
-    frequent = [(bytes(r["key"]), r["n"]) for r in top if r["n"] >= floor]
-    vocab = {w: i + 1 for i, (w, _) in enumerate(frequent)}
-    size = len(vocab) + 1
+    top = hot_rows(counts.withColumn("lp", F.log10(F.col("n") + 1) - log_all), hot, ["n", "lp"])
+    order = np.argsort(-top.column("n"), kind="stable")
+    frequent = order[top.column("n")[order] >= floor]
+    ids = np.zeros(len(order), np.int32)
+    ids[frequent] = np.arange(1, len(frequent) + 1)
+    near = spark.sparkContext.broadcast(Lookup(pa.table({"key": top.table.column("key"), "id": ids, "lp": top.table.column("lp")}), ["id", "lp"]))
+    size = len(frequent) + 1
     uni = np.zeros(size)
-    uni[1:] = [n for _, n in frequent]
+    uni[1:] = top.column("n")[frequent]
     root = (uni + 1) / (n_all + v_all + 1)
-    near = spark.sparkContext.broadcast(vocab)
-    pairs = materialize(follow_counts(train, near, None, 1).filter(F.col("n") >= min_next), "pairs")
+    pairs = materialize(follow_counts(train, near, size, None, 1).filter(F.col("n") >= min_next), "pairs")
     kept: dict = {}
-    # level 1: contexts are frequent words; a next token is tested against the root
-    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(1, size), "u": uni[1:]}), "id long, u double")
-    ctx = pairs.join(F.broadcast(frame.select(F.col("id").alias("c"), F.col("u").alias("cn"))), "c").join(F.broadcast(frame.select(F.col("id").alias("x"), F.col("u").alias("xn"))), "x")
-    lift = (F.col("n") / F.col("cn")) / ((F.col("xn") + 1) / F.lit(float(n_all + v_all + 1)))
-    told = ctx.filter((F.col("n") >= floor) & ((lift >= ratio) | (lift <= 1 / ratio)))
+    # level 1: contexts are frequent words; a next token is tested against the root. At most 1/p_min pairs reach floor.
+    told = pairs.filter(F.col("n") >= floor).toPandas()
+    two = told.sort_values(["c", "x"])
     held1: dict = defaultdict(dict)
-    for c, x, n in told.select("c", "x", "n").orderBy(F.desc("n"), "c", "x").limit(4 * hot).collect():
-        held1[(c,)][x] = n
+    for c, x, n in told.itertuples(index=False):
+        lift = (n / uni[c]) / root[x]
+        if lift >= ratio or lift <= 1 / ratio:
+            held1[(c,)][x] = n
     for s, nexts in held1.items():
         kept[s] = (uni[s[0]], nexts)
     # level 2: contexts are frequent pairs; tested against the longest kept suffix
-    two = [(c * size + x, n) for c, x, n in pairs.filter(F.col("n") >= floor).select("c", "x", "n").orderBy(F.desc("n"), "c", "x").limit(hot).collect()]
-    two.sort()
-    codes = np.array([c for c, _ in two], np.int64)
+    codes, seen = (two["c"] * size + two["x"]).to_numpy(), two["n"].to_numpy()
     if len(codes):
-        triple = follow_counts(train, near, spark.sparkContext.broadcast(codes), 2).filter(F.col("n") >= max(min_next, math.ceil(floor / 4)))
-        tree1 = Tree(vocab, dict(kept), root, kappa)
+        triple = follow_counts(train, near, size, spark.sparkContext.broadcast(codes), 2).filter(F.col("n") >= floor)
+        tree1 = Tree(dict(kept), root, kappa)
         held2: dict = defaultdict(dict)
-        for c, x, n in triple.orderBy(F.desc("n"), "c", "x").limit(4 * hot).toPandas().itertuples(index=False):
+        for c, x, n in triple.toPandas().itertuples(index=False):
             a, b = divmod(int(codes[c]), size)
-            p = (n / two[c][1]) / tree1.p(tree1.states.get(tree1.suffix((b,))), int(x))
+            p = (n / seen[c]) / tree1.p(tree1.states.get(tree1.suffix((b,))), int(x))
             if p >= ratio or p <= 1 / ratio:
-                held2[(a, b)][int(x)] = n
-        at = {c: n for c, n in two}
-        for s, nexts in held2.items():
-            kept[s] = (at[s[0] * size + s[1]], nexts)
-    flat = spark.sparkContext.broadcast(Tree(vocab, kept, root, kappa).flat())
-    known = spark.sparkContext.broadcast({bytes(r["key"]): math.log10(r["n"] + 1) - log_all for r in top})
+                held2[(a, b, int(seen[c]))][int(x)] = n
+        for (a, b, n), nexts in held2.items():
+            kept[(a, b)] = (n, nexts)
+    flat = spark.sparkContext.broadcast(Tree(kept, root, kappa).flat())
     values = counts.select("key", "n", (F.log10(F.col("n") + 1)).alias("lp"), F.lit(1.0).alias("known"))
     unseen = -log_all if n_all else 0.0
 
+    nothing = (0, None)
+
     def spread(batches):
-        ids, base, tree = near.value, known.value, flat.value
+        known, tree = near.value.dict(), flat.value
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 out: dict[str, list] = {k: [] for k in ("uid", "key", "n", "lp", "known", "tokens", "gain", "held", "doc")}
@@ -191,17 +190,17 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, p_min
                     lp, n_known, gain, rest = 0.0, 0, 0.0, Counter()
                     c1 = c2 = 0
                     for w in ws:
-                        i = ids.get(w, 0)
-                        state = tree.get((c1, c2)) or tree.get((c2,)) if c2 else None
-                        got = base.get(w)
+                        i, got = known.get(w, nothing)
                         if got is None:
                             rest[w] += 1
                         else:
                             lp += got
                             n_known += 1
-                        if state is not None:
-                            p = state[0].get(i)
-                            gain += state[1] if p is None else p - got
+                        if c2:
+                            state = tree.get((c1, c2)) or tree.get((c2,))
+                            if state is not None:
+                                p = state[0].get(i)
+                                gain += state[1] if p is None else p - got
                         c1, c2 = c2, i
                     m = len(rest)
                     out["uid"] += [u] * (m + 1)

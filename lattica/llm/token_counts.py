@@ -69,10 +69,10 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, hot: int =
     spark = docs.sparkSession
     check_borders(load(model_path))
     table = materialize(piece_table(docs, model_path), "pieces")
-    near = spark.sparkContext.broadcast({bytes(r["key"]): r["tokens"] for r in hot_rows(table, hot)})
+    near = spark.sparkContext.broadcast(hot_rows(table, hot, ["tokens"]))
 
     def spread(batches):
-        known = near.value
+        known = near.value.dict()
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 uid, key, n, tokens, size, doc = [], [], [], [], [], []
