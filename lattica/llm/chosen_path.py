@@ -58,6 +58,11 @@ def minhashes(sets: np.ndarray, t: int, seed: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def class_name(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit sums that name a set."""
+    return tuple(int(mix64(x).sum(dtype=np.uint64).view(np.int64)) for x in (s, s ^ SALT))
+
+
 def signed(docs: DataFrame, words: int, t: int, seed: int) -> DataFrame:
     """(uid, doc_id, h1, h2, size, sig) of every row; h1 null without a set."""
 
@@ -71,8 +76,7 @@ def signed(docs: DataFrame, words: int, t: int, seed: int) -> DataFrame:
                 if not len(s):
                     out.append((u, d, None, None, 0, None))
                     continue
-                h1, h2 = int(mix64(s).sum(dtype=np.uint64)), int(mix64(s ^ SALT).sum(dtype=np.uint64))
-                out.append((u, d, h1 - (h1 >> 63 << 64), h2 - (h2 >> 63 << 64), len(s), minhashes(s, t, seed).tobytes()))
+                out.append((u, d, *class_name(s), len(s), minhashes(s, t, seed).tobytes()))
             frame = pd.DataFrame(out, columns=["uid", "doc_id", "h1", "h2", "size", "sig"], dtype=object)
             yield frame.astype({"uid": "int64", "doc_id": "Int64", "h1": "Int64", "h2": "Int64", "size": "int64"})
 
@@ -211,18 +215,22 @@ def links(groups: DataFrame, classes: DataFrame, docs: DataFrame, words: int, th
     """(c, n, k, root): within a group, class c is linked to k classes with n documents, led by root."""
     spark = groups.sparkSession
     lists = groups.groupBy(F.col("c").alias("l_c")).agg(F.sort_array(F.collect_list("g")).alias("gs"))
-    wanted = materialize(lists.join(classes.select("c", "mult"), F.col("l_c") == F.col("c")).select("l_c", "gs", "mult"), "wanted")
-    ids = wanted.select("l_c")
-    ids = F.broadcast(ids) if wanted.count() <= limit_rows else ids
+    wanted = materialize(lists.join(classes.select("c", "mult", "class_id", "h1", "h2"), F.col("l_c") == F.col("c")).select("l_c", "gs", "mult", "class_id", "h1", "h2"), "wanted")
+    ids = wanted.select("class_id").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= limit_rows else ids.hint("shuffle_hash")
 
     def sets_of(batches):
         hasher = SpanHash(1 << 18, seed)
         for pdf in batches:
             for part in chunks(pdf, "text"):
-                yield pd.DataFrame({"s_c": part["uid"], "set": [s.tobytes() for s in shingle_hashes(list(part["text"]), words, hasher)]})
-
-    sets = docs.join(ids, F.col("uid") == F.col("l_c"), "left_semi").select("uid", "text").mapInPandas(sets_of, "s_c long, set binary")
-    told = wanted.join(sets, F.col("l_c") == F.col("s_c")).drop("s_c")
+                sets = [s for s in shingle_hashes(list(part["text"]), words, hasher) if len(s)]
+                names = [class_name(s) for s in sets]
+                yield pd.DataFrame({"s1": [a for a, _ in names], "s2": [b for _, b in names], "set": [s.tobytes() for s in sets]})
+
+    # a class is found again by its name, through the rows that bear its least doc_id
+    sets = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi").select("text").mapInPandas(sets_of, "s1 long, s2 long, set binary")
+    sets = sets.groupBy("s1", "s2").agg(F.first("set").alias("set"))
+    told = wanted.join(sets, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))).select("l_c", "gs", "mult", "set")
     full = groups.join(told, F.col("c") == F.col("l_c")).drop("l_c")
 
     def work(g: pd.DataFrame) -> pd.DataFrame | None:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, shared_dir, with_uid
+from lattica.llm.common import materialize, shared_dir
 
 BREAK = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,7 +50,7 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("uid", F.expr(split_words("lower(text)")).alias("ws"))
+    return docs.select("doc_id", F.expr(split_words("lower(text)")).alias("ws"))
 
 
 def sized_broadcast(small: DataFrame, limit: int) -> DataFrame:
@@ -59,20 +59,23 @@ def sized_broadcast(small: DataFrame, limit: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, windows: DataFrame, probes: int, limit: int) -> DataFrame:
-    """(uid, win, start): 0-based starts in index_rows where the postings of a window's rarest terms agree."""
+    """(doc_id, win, start): 0-based starts in index_rows where the postings of a window's rarest terms agree.
+
+    Rows that share a doc_id share candidates; each row is tested by itself afterwards."""
     terms = windows.select("win", F.posexplode(F.transform("words", F.lower)).alias("off", "term"))
     vocab = materialize(terms.select("term").distinct(), "vocab")
-    tokens = index_rows(docs).select("uid", F.explode("ws").alias("w"))
+    tokens = index_rows(docs).select(F.explode("ws").alias("w"))
     counts = tokens.join(sized_broadcast(vocab, limit), F.col("w") == F.col("term"), "left_semi").groupBy(F.col("w").alias("c_term")).agg(F.count("*").alias("n"))
     counts = materialize(counts, "term-counts")
     rare = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "term", "off")
     ranked = terms.join(counts, F.col("term") == F.col("c_term"), "left").withColumn("rank", F.row_number().over(rare))
     keys = materialize(ranked.filter(F.col("rank") <= probes).withColumn("need", F.count("*").over(Window.partitionBy("win"))).select("win", "term", "off", "need"), "probes")
     wanted = sized_broadcast(materialize(keys.select(F.col("term").alias("p_term")).distinct(), "probe-terms"), limit)
-    places = index_rows(docs).select("uid", F.posexplode("ws").alias("pos", "w"))
-    postings = materialize(places.join(wanted, F.col("w") == F.col("p_term")).select(F.col("w").alias("term"), "uid", "pos"), "postings")
-    starts = postings.join(sized_broadcast(keys, limit), "term").select("uid", "win", (F.col("pos") - F.col("off")).alias("start"), "need")
-    return starts.filter("start >= 0").groupBy("uid", "win", "start").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("uid", "win", "start")
+    places = index_rows(docs).select("doc_id", F.posexplode("ws").alias("pos", "w"))
+    postings = materialize(places.join(wanted, F.col("w") == F.col("p_term")).select(F.col("w").alias("term"), "doc_id", "pos"), "postings")
+    starts = postings.join(sized_broadcast(keys, limit), "term").select("doc_id", "win", "off", (F.col("pos") - F.col("off")).alias("start"), "need")
+    agreed = starts.filter("start >= 0").groupBy("doc_id", "win", "start").agg(F.size(F.collect_set("off")).alias("n"), F.first("need").alias("need"))
+    return agreed.filter("n = need").select("doc_id", "win", "start")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 3, slack: int | None = None, limit: int = 500_000) -> DataFrame:
@@ -83,11 +86,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
     limit: rows up to which a test-side table is broadcast.
     """
     shared_dir(docs.sparkSession)
-    rows = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     windows = materialize(windows_of(benchmark, window), "windows")
     found = candidates(rows, windows, probes if slack is None else 1, limit)
-    per_doc = found.join(sized_broadcast(windows, limit), "win").groupBy(F.col("uid").alias("c_uid")).agg(F.collect_list(F.struct("start", "words", "items")).alias("c"))
-    met = folded(rows).join(per_doc.hint("shuffle_hash"), F.col("uid") == F.col("c_uid"), "left").select("doc_id", F.expr(split_words("text")).alias("ws"), "c")
+    per_doc = found.join(sized_broadcast(windows, limit), "win").groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_list(F.struct("start", "words", "items")).alias("c"))
+    met = folded(rows).join(per_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("c_id")), "left").select("doc_id", F.expr(split_words("text")).alias("ws"), "c")
     if slack is None:
         good = met.withColumn("hits", F.expr("filter(c, x -> slice(ws, x.start + 1, size(x.words)) = x.words)"))
         places = "transform(hits, x -> sequence(x.start, x.start + size(x.words) - 1))"

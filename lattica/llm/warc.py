@@ -149,11 +149,13 @@ def write_archives(pages: DataFrame, least: int = 1000, date: str = "20200101000
     """Write one WARC record per row of pages (page_id, url, html) through ARC records; the folder's path."""
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.monotonically_increasing_id().alias("uid"))
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    lean = plain.select("page_id", "uid", F.sha1(raw).alias("digest"), F.length(raw).alias("size")).filter(F.col("size") >= least)
+    lean = plain.select("page_id", F.sha1(raw).alias("digest"), F.length(raw).alias("size")).filter(F.col("size") >= least)
     heads = lean.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1 and head is not null")
     again = lean.join(heads.withColumnRenamed("digest", "h_digest"), F.col("digest") == F.col("h_digest")).filter("page_id is null or page_id <> head")
     parts = parts_for(plain, 16)
-    rows = plain.repartition(parts, "uid").join(again.select(F.col("uid").alias("a_uid"), "head").hint("shuffle_hash"), F.col("uid") == F.col("a_uid"), "left")
+    key = F.concat_ws(":", F.col("page_id").cast("string"), "digest")  # rows that repeat a page and its payload share their fate
+    again = again.select(key.alias("a_key"), "head").distinct().repartition(parts, "a_key")
+    rows = plain.withColumn("digest", F.sha1(raw)).withColumn("key", key).repartition(parts, "key").join(again.hint("shuffle_hash"), F.col("key") == F.col("a_key"), "left")
 
     def run(batches):
         for pdf in batches:
