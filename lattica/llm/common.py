@@ -36,8 +36,13 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def parts_for(df: DataFrame, mb: float = 24, blowup: float = 1.0) -> int:
-    """Partitions so that one holds about mb MB, from the optimizer's size estimate of df (no job is run)."""
+    """Partitions so that one holds about mb MB, from the optimizer's size estimate of df (no job is run).
+
+    Sources without a size (local rows, which Spark takes for endless) get the session's number of shuffle partitions.
+    """
     est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if est >= 1 << 55:
+        return shuffle_parts(df.sparkSession)
     return int(min(200_000, max(shuffle_parts(df.sparkSession), est * blowup / (mb * 1e6))))
 
 

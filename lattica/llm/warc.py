@@ -201,6 +201,6 @@ def read_archives(spark, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to for every row, as read back from the archives."""
     back = read_archives(pages.sparkSession, write_archives(pages, least))
-    ids = back.filter("warc_type = 'response'").groupBy(F.col("record_id").alias("r_id")).agg(F.max("page_id").alias("r_page"))
+    ids = back.filter("warc_type not in ('revisit', 'warcinfo')").groupBy(F.col("record_id").alias("r_id")).agg(F.max("page_id").alias("r_page"))
     plain = back.select("page_id", "payload_bytes", "payload_digest", F.when(F.col("warc_type") == "revisit", "revisit").otherwise("response").alias("record_type"), "refers_to_id")
     return plain.join(ids, F.col("refers_to_id") == F.col("r_id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("r_page").alias("refers_to"))
