@@ -103,6 +103,10 @@ class SpanHash:
         self.sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self.table[buf] * self.up[: len(buf)], out=self.sums[1:])
 
+    def grams(self, k: int) -> np.ndarray:
+        """span(i, i + k) for every i, without gathering."""
+        return mix64((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k] ^ np.uint64((k << 48) & MASK))
+
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64((self.sums[b] - self.sums[a]) * self.down[a] ^ (np.asarray(b - a).astype(np.uint64) << np.uint64(48)))
 

@@ -93,19 +93,23 @@ class Chunk:
         n, w = len(self.buf), self.side + 1
         pos = np.zeros(0, np.int64)
         if n >= self.length:
-            doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
             hasher.read(self.buf)
-            p = np.arange(n - self.gram + 1)
-            h = hasher.span(p, p + self.gram)
-            h[(p + self.gram > self.ends[doc[p]]) | ~self.has[doc[p]]] = NONE
+            h = hasher.grams(self.gram)
+            end = np.repeat(np.where(self.has, self.ends, -1), self.sizes)  # of the document at each byte
+            at = np.arange(len(h))
+            h[at + self.gram > end[: len(h)]] = NONE
             least, span = h, 1
             while span < w:
                 step = min(span, w - span)
                 least = np.minimum(least[:-step], least[step:])
                 span += step
-            fine = np.flatnonzero((p[: len(least)] + self.length <= self.ends[doc[: len(least)]]) & self.has[doc[: len(least)]])
+            ok = at[: len(least)] + self.length <= end[: len(least)]
+            # the string one further has another anchor only if the least changes or the anchor itself falls out
+            moved = np.ones(len(least), bool)
+            moved[1:] = (least[1:] != least[:-1]) | ~ok[:-1] | (h[: len(least) - 1] == least[:-1])
+            fine = np.flatnonzero(ok & moved)
             pos = self.leftmost(h, least, fine, w)
-            self.h, self.doc = h[pos], doc[pos]
+            self.h, self.doc = h[pos], np.searchsorted(self.ends, pos, side="right")
         else:
             self.h, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pos = pos
@@ -113,9 +117,15 @@ class Chunk:
         self.hi = np.minimum(pos + self.length, self.ends[self.doc]) if len(pos) else pos
         c = hasher.span(self.lo, self.hi) if len(pos) else self.h
         self.c = mix64(c + (pos - self.lo).astype(np.uint64)) & np.uint64(0xFFFFFFFFFFFF)
-        bucket = (self.h % np.uint64(buckets)).astype(np.int64)
+        bucket = ((self.h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with the name
         ids = self.ids[self.doc]
-        order = np.lexsort((ids, self.c, self.h, bucket))
+        order = np.argsort(self.h)
+        s = self.h[order]
+        same = np.zeros(len(s) + 1, bool)
+        same[1:-1] = s[1:] == s[:-1]
+        tied = np.flatnonzero(same[1:] | same[:-1])
+        few = order[tied]
+        order[tied] = few[np.lexsort((ids[few], self.c[few], self.h[few]))]
         self.order = order
         b, h, c = bucket[order], self.h[order], self.c[order]
         new = np.ones(len(order), bool)
@@ -127,14 +137,14 @@ class Chunk:
     @staticmethod
     def leftmost(h: np.ndarray, least: np.ndarray, fine: np.ndarray, w: int) -> np.ndarray:
         """For each string start in fine, the first of its w grams whose hash is least there; distinct, sorted."""
-        out, todo = [], fine
+        found, todo, want = np.zeros(len(h), bool), fine, least[fine]
         for j in range(w):
-            hit = h[todo + j] == least[todo]
-            out.append(todo[hit] + j)
-            todo = todo[~hit]
+            hit = h[todo + j] == want
+            found[todo[hit] + j] = True
+            todo, want = todo[~hit], want[~hit]
             if not len(todo):
                 break
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        return np.flatnonzero(found)
 
     def by_bucket(self):
         cut = np.flatnonzero(np.diff(self.g_bucket)) + 1
