@@ -124,3 +124,12 @@ def tag_count(html: Column, tag: str) -> Column:
 
 def level(value: Column) -> Column:
     return F.when(value >= 90, "critical").when(value >= 70, "high").when(value >= 30, "medium").otherwise("low")
+
+
+def json_concept(value: Column) -> Column:
+    """The kind of a JSON value given as text: valid or invalid (booleans), number, multiple (array), entity (object), absent, string."""
+    v = F.trim(value)
+    return (
+        F.when(value.isNull() | (v == "null"), "absent").when(v == "true", "valid").when(v == "false", "invalid")
+        .when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "number").when(v.startswith("["), "multiple").when(v.startswith("{"), "entity").otherwise("string")
+    )

@@ -37,3 +37,23 @@ def best_per_canonical(triples: DataFrame) -> DataFrame:
     keyed = triples.withColumns({"_s": entity_name(F.col("subject")), "_c": canonical_relation(F.col("relation")), "_o": entity_name(F.col("object"))})
     w = Window.partitionBy("_s", "_c", "_o").orderBy(F.desc(specificity(F.col("relation"))), "seq")
     return keyed.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_s", "_c", "_o")
+
+
+def synonym_groups(taught: DataFrame) -> DataFrame:
+    """(relation, canonical): taught rows (seq, canonical, synonym) merged into groups; the canonical of a group is that of its last row.
+
+    Groups are connected components by least-label rounds; each is an aggregate and two joins on relation names.
+    """
+    from lattica.plans.rounds import cut
+
+    e = taught.select(F.col("canonical").alias("a"), F.col("synonym").alias("b"))
+    e = cut(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "synonyms")
+    label = cut(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("g")), "groups")
+    while True:
+        near = e.join(label.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
+        new = cut(label.join(near, "a").select("a", F.least("g", "m").alias("g"), (F.col("m") < F.col("g")).alias("moved")), "groups")
+        label = new.select("a", "g")
+        if not new.filter("moved").limit(1).count():
+            break
+    last = taught.join(label.select(F.col("a").alias("canonical"), "g"), "canonical").groupBy("g").agg(F.max_by("canonical", "seq").alias("canonical"))
+    return label.join(last, "g").select(F.col("a").alias("relation"), "canonical")

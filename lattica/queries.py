@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica import schema
 from lattica.functions import intervals, text, vectors
-from lattica.operators import graph, guard, inference, senses, solver
+from lattica.operators import graph, guard, inference, senses, solver, temporal
 from lattica.plans import answer, patterns
 from lattica.sources import triples
 from lattica.streaming import ingest
@@ -387,6 +387,44 @@ def solver_all_different(spark, sf_dir):
     return solver.solve(spark, {x: range(4) for x in v}, solver.all_different(v) + rules)
 
 
+@register(
+    "WITH e AS (SELECT user_id u, max_by(year(ts), event_id)::INTEGER s, max_by(year(ts) + 1 + event_id % 3, event_id)::INTEGER t FROM events GROUP BY user_id), p AS (SELECT x.u a, y.u b, x.s xs, x.t xe, y.s ys, y.t ye FROM e x JOIN e y ON y.u = x.u + 1) "
+    "SELECT a::VARCHAR AS a, b::VARCHAR AS b, CASE WHEN xs = ys AND xe = ye THEN 'equals' WHEN xe < ys THEN 'before' WHEN ye < xs THEN 'after' WHEN xe = ys THEN 'meets' WHEN ye = xs THEN 'met_by' WHEN ys < xs AND xe < ye THEN 'during' "
+    "WHEN xs < ys AND ye < xe THEN 'contains' WHEN xs < ys AND xe < ye THEN 'overlaps' WHEN ys < xs AND ye < xe THEN 'overlapped_by' WHEN xs = ys AND xe < ye THEN 'starts' WHEN xs = ys THEN 'started_by' WHEN xs > ys THEN 'finishes' ELSE 'finished_by' END AS relation FROM p"
+)
+def temporal_relate(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    f = e.select(F.col("user_id").cast("string").alias("subject"), F.year("ts").alias("t_start"), (F.year("ts") + 1 + F.col("event_id") % 3).cast("int").alias("t_end"), F.col("event_id").alias("seq"))
+    u = e.select("user_id").distinct()
+    pairs = u.join(u.select((F.col("user_id") - 1).alias("user_id")), "user_id").select(F.col("user_id").cast("string").alias("a"), (F.col("user_id") + 1).cast("string").alias("b"))
+    return temporal.relate(f, pairs)
+
+
+@register(
+    "WITH s AS (SELECT 'n' || n_nationkey a, CASE WHEN n_nationkey % 2 = 0 THEN 'before' ELSE 'meets' END r, 'n' || (n_nationkey + 1) b FROM nation) SELECT x.a, 'before' AS relation, y.b AS c FROM s x JOIN s y ON x.b = y.a"
+)
+def temporal_derive(spark, sf_dir):
+    k = F.col("n_nationkey")
+    stated = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("a"), F.when(k % 2 == 0, "before").otherwise("meets").alias("relation"), F.concat(F.lit("n"), (k + 1).cast("string")).alias("b"))
+    return temporal.derive(stated, intervals.composition(spark))
+
+
+@register("SELECT 'r' || p_partkey AS relation, 'r' || (p_partkey - p_partkey % 8 + (SELECT min(p_partkey) FROM part) * 0) AS canonical FROM part WHERE p_partkey - p_partkey % 8 >= (SELECT min(p_partkey) FROM part) AND p_partkey <= (SELECT max(p_partkey) - max(p_partkey) % 8 - 1 FROM part)")
+def relation_synonyms(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    low, high = p.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    k = F.col("p_partkey")
+    whole = p.filter((k - k % 8 >= low) & (k <= high - high % 8 - 1))
+    name = lambda c: F.concat(F.lit("r"), c.cast("string"))
+    taught = whole.filter(k % 8 > 0).select(k.alias("seq"), name(k - k % 8).alias("canonical"), name(k).alias("synonym"))
+    return senses.synonym_groups(taught)
+
+
+@register("SELECT event_id, CASE WHEN props IS NULL THEN 'absent' WHEN left(trim(props), 1) = '{' THEN 'entity' WHEN left(trim(props), 1) = '[' THEN 'multiple' ELSE 'string' END AS concept FROM events")
+def json_concept(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.json_concept(F.col("props")).alias("concept"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
