@@ -170,12 +170,13 @@ def hot_rows(table: DataFrame, hot: int, values: list[str], width: int = 64) ->
     return Lookup(kept.select("key", "n", *[v for v in values if v != "n"]).toArrow(), values)
 
 
-def looked_up(rows: DataFrame, spread: Callable, table: DataFrame, values: list[str], extra: str = "") -> DataFrame:
+def looked_up(rows: DataFrame, spread: Callable, table: DataFrame, values: list[str], extra: str = "", other: dict | None = None) -> DataFrame:
     """Finish a two-tier lookup: per uid, the sums over its keys of each value, times the key's count.
 
     spread(batches) is a mapInPandas function over rows. It adds up what its bounded broadcast of frequent keys
     answers and yields one row with key null, n 1 and the sums for each uid, then a row (uid, key, n) for every
-    other key of that uid. Those are joined to the whole table here; a key absent from it counts as 0.
+    other key of that uid. Those are joined to the whole table here; a key absent from it counts as 0. extra columns are
+    those of the first row; other names those of them that have an aggregate of their own.
     """
     schema = "uid long, key binary, n double, " + ", ".join(f"{v} double" for v in values) + (", " + extra if extra else "")
     side = table.select(F.col("key").alias("t_key"), *[F.col(v).cast("double").alias(f"t_{v}") for v in values])
@@ -184,7 +185,7 @@ def looked_up(rows: DataFrame, spread: Callable, table: DataFrame, values: list[
     names = [x.split()[0] for x in extra.split(",")] if extra else []
     return joined.groupBy("uid").agg(
         *[F.sum(F.coalesce(F.col(v), F.lit(0.0)) + F.when(F.col("key").isNotNull(), F.coalesce(F.col(f"t_{v}"), F.lit(0.0)) * F.col("n")).otherwise(0.0)).alias(v) for v in values],
-        *[F.max(x).alias(x) for x in names],
+        *[(other or {}).get(x, F.max(x)).alias(x) for x in names],
     )
 
 

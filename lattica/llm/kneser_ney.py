@@ -1,14 +1,17 @@
-"""Quality classifier (operator 1): an interpolated modified Kneser-Ney model of characters in words.
+"""Quality classifier (operator 1): an interpolated modified Kneser-Ney model of characters in and across words.
 
 Model: 5-grams of characters inside words (white space divides words; a word is padded in front and closed by an end
-sign), trained on trusted text: documents labelled quality 1 and not toxic, at most max_train_docs of them (those of
+sign) and of those that predict past a space from what stands before it, trained on trusted text: documents labelled quality 1 and not toxic, at most max_train_docs of them (those of
 least hash of doc_id; this documented bound limits the fit alone), half of which are held out of the fit. Counts, continuation counts, the discounts D1, D2,
 D3+ of each order and the context masses are grouped tables.
 
 Scoring: the distinct 5-grams of the whole corpus meet the sharded count tables of all orders in one join; every
-distinct word then sums its grams, and every document its words (two-tier lookups of ``common.looked_up``). A document's
-perplexity per character is compared with margin times the given quantile of the held-out trusted documents of its
-language; languages with fewer than min_lang_docs of them, null among them, use the quantile over all languages.
+distinct word then sums its grams, and every document its words (two-tier lookups of ``common.looked_up``). Three figures
+of a document are each compared with margin times the given quantile of the held-out trusted documents of its language:
+its perplexity per character; worst, the negative log10 probability per character of its second rarest distinct word, so
+that a few odd words show however long the rest and one alone (a name, a slip) is let pass; and repeats, the share of its word 3-grams that stood in it before
+(SMOOTH words are added to its length; a bound under min_repeats counts as min_repeats), as text that repeats is all too
+probable. Languages with fewer than min_lang_docs of them, null among them, use the quantiles over all languages.
 
 Defined results: a document without words (null, empty, blank) has null perplexity and is rejected; without any trusted
 text there is no threshold and all documents with words are kept; labels that disagree on a doc_id make it untrusted;
@@ -27,14 +30,33 @@ from lattica.llm.common import counted_keys, hot_rows, looked_up, materialize, w
 
 ORDER = 5
 START, END = "\x02", "\x03"
+SMOOTH = 50
+SPACED = "instr(cast(key as string), ' ') > 0"
+
+
+def across(raw: bytes) -> list[str]:
+    """The ORDER-grams that predict a character past a space from what stands before it, with one space between words."""
+    s, at, out = b" ".join(raw.split()).decode(errors="replace").replace(START, "?").replace(END, "?"), -1, []
+    for w in s.split(" ")[:-1]:
+        at += len(w) + 1
+        out += [s[i : i + ORDER] for i in range(max(0, at - ORDER + 2), min(at, len(s) - ORDER + 1))]
+    return out
 
 
 def word_keys(raw: bytes) -> list[bytes]:
-    return raw.split()
+    """The words, and the grams across them, which alone hold spaces."""
+    return raw.split() + [g.encode() for g in across(raw)]
+
+
+def repeats_of(raw: bytes) -> float:
+    ws = raw.split()
+    return (max(0, len(ws) - 2) - len(set(zip(ws, ws[1:], ws[2:], strict=False)))) / (len(ws) + SMOOTH)
 
 
 def grams_of(word: bytes) -> list[str]:
-    """All ORDER-grams that predict a character of the word or its end."""
+    """All ORDER-grams that predict a character of the word or its end; a gram across words is its own."""
+    if b" " in word:
+        return [word.decode(errors="replace")]
     s = START * (ORDER - 1) + word.decode(errors="replace").replace(START, " ").replace(END, " ") + END
     return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
 
@@ -97,8 +119,8 @@ def score_grams(grams: DataFrame, model: DataFrame, left: float) -> DataFrame:
 
 
 def score_words(words: DataFrame, grams: DataFrame, hot: int) -> DataFrame:
-    """(key, n, lp, chars) of every distinct word."""
-    near = words.sparkSession.sparkContext.broadcast(hot_rows(grams, hot, ["lp"]))
+    """(key, n, lp, chars, rare) of every distinct word; rare is its negative lp per character."""
+    near = words.sparkSession.sparkContext.broadcast(hot_rows(grams.filter(f"not {SPACED}"), hot, ["lp"]))
 
     def spread(batches):
         known = {k.decode(): v for k, v in near.value.dict().items()}
@@ -124,7 +146,7 @@ def score_words(words: DataFrame, grams: DataFrame, hot: int) -> DataFrame:
                 yield pd.DataFrame({"uid": uid, "key": key, "n": n, "lp": lp, "chars": pd.array(chars, "Int64"), "word": word, "count": pd.array(count, "Int64")})
 
     out = looked_up(with_uid(words), spread, grams, ["lp"], "chars long, word binary, count long")
-    return out.select(F.col("word").alias("key"), F.col("count").alias("n"), "lp", F.col("chars").cast("double").alias("chars"))
+    return out.select(F.col("word").alias("key"), F.col("count").alias("n"), "lp", F.col("chars").cast("double").alias("chars"), (-F.col("lp") / F.col("chars")).alias("rare"))
 
 
 def trusted_ids(labels: DataFrame, max_train_docs: int) -> DataFrame:
@@ -134,54 +156,74 @@ def trusted_ids(labels: DataFrame, max_train_docs: int) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, max_train_docs: int, hot: int) -> DataFrame:
-    """doc_id, lang, chars, perplexity, held (trusted, not fitted on) for every row of docs."""
+    """doc_id, lang, chars, perplexity, worst, repeats, held (trusted, not fitted on) for every row of docs."""
     spark = docs.sparkSession
     trusted = F.broadcast(materialize(trusted_ids(labels, max_train_docs), "trusted-ids"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model, left = fit(materialize(counted_keys(plain.join(trusted.filter("fit"), F.col("doc_id") == F.col("t_id"), "left_semi"), word_keys), "trusted"))
     words = materialize(counted_keys(plain, word_keys), "words")
     grams = materialize(score_grams(gram_counts(words), model, left), "grams")
-    scored = materialize(score_words(words, grams, hot // 2), "scored")
-    near = spark.sparkContext.broadcast(hot_rows(scored, hot, ["lp", "chars"]))
+    crossing = grams.filter(SPACED).select("key", "n", "lp", F.lit(1.0).alias("chars"), F.lit(0.0).alias("rare"))
+    scored = materialize(score_words(words.filter(f"not {SPACED}"), grams, hot // 2).unionByName(crossing), "scored")
+    near_grams = spark.sparkContext.broadcast(hot_rows(scored.filter(SPACED), hot, ["lp"]))
+    near = spark.sparkContext.broadcast(hot_rows(scored.filter(f"not {SPACED}"), hot, ["lp", "chars", "rare"]))
 
     def spread(batches):
-        known = near.value.dict()
+        known, crossed = near.value.dict(), {k.decode(): v for k, v in near_grams.value.dict().items()}
         for pdf in batches:
             for a in range(0, len(pdf), 500):
-                uid, key, n, lp, chars, doc, lang, head = [], [], [], [], [], [], [], []
+                uid, key, n, lp, chars, rare, repeats, doc, lang = [], [], [], [], [], [], [], [], []
                 for u, d, t, g in zip(*(pdf[c].iloc[a : a + 500] for c in ("uid", "doc_id", "text", "lang")), strict=True):
-                    p, c, rest = 0.0, 0.0, []
-                    for w, k in Counter(word_keys(b"" if t is None else t.encode())).items():
+                    p, c, x, rest = 0.0, 0.0, [0.0, 0.0], []
+                    raw = b"" if t is None else t.encode()
+                    gs = across(raw)
+                    got = list(map(crossed.get, gs))
+                    if None in got:
+                        rest += Counter(g.encode() for g, v in zip(gs, got, strict=True) if v is None).items()
+                        got = [v for v in got if v is not None]
+                    p += sum(got)
+                    c += len(got)
+                    for w, k in Counter(raw.split()).items():
                         got = known.get(w)
                         if got is None:
                             rest.append((w, k))
                         else:
                             p += got[0] * k
                             c += got[1] * k
+                            if got[2] > x[1]:
+                                x = sorted((*x, got[2]), reverse=True)[:2]
                     m = len(rest)
                     uid += [u] * (m + 1)
                     key += [None, *[w for w, _ in rest]]
                     n += [1, *[k for _, k in rest]]
                     lp += [p] + [0.0] * m
                     chars += [c] + [0.0] * m
+                    rare += [x] + [None] * m
+                    repeats += [repeats_of(raw)] + [None] * m
                     doc += [d] + [None] * m
                     lang += [g] + [None] * m
-                yield pd.DataFrame({"uid": uid, "key": key, "n": n, "lp": lp, "chars": chars, "doc": pd.array([None if pd.isna(x) else int(x) for x in doc], "Int64"), "lang": lang})
+                yield pd.DataFrame({"uid": uid, "key": key, "n": n, "lp": lp, "chars": chars, "rare": [0.0] * len(uid), "rarest": rare, "repeats": pd.array(repeats, "Float64"), "doc": pd.array([None if pd.isna(x) else int(x) for x in doc], "Int64"), "lang": lang})
 
-    sums = looked_up(with_uid(plain), spread, scored, ["lp", "chars"], "doc long, lang string")
-    out = sums.select(F.col("doc").alias("doc_id"), "lang", F.round("chars").cast("long").alias("chars"), F.when(F.col("chars") > 0, F.pow(F.lit(10.0), -F.col("lp") / F.col("chars"))).alias("perplexity"))
+    each = F.coalesce(F.col("rarest"), F.array_compact(F.array(F.when(F.col("t_rare") > 0, F.col("t_rare")))))
+    rarest = {"rarest": F.element_at(F.slice(F.sort_array(F.flatten(F.collect_list(each)), False), 1, 2), -1)}
+    sums = looked_up(with_uid(plain), spread, scored, ["lp", "chars", "rare"], "repeats double, doc long, lang string, rarest array<double>", rarest)
+    out = sums.select(F.col("doc").alias("doc_id"), "lang", F.round("chars").cast("long").alias("chars"), F.when(F.col("chars") > 0, F.pow(F.lit(10.0), -F.col("lp") / F.col("chars"))).alias("perplexity"), F.when(F.col("chars") > 0, F.col("rarest")).alias("worst"), "repeats")
     return out.join(trusted, F.col("doc_id") == F.col("t_id"), "left").withColumn("held", F.coalesce(~F.col("fit"), F.lit(False))).drop("t_id", "fit")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.05, min_lang_docs: int = 20, max_train_docs: int = 20_000, hot: int = 1 << 17) -> DataFrame:
-    """doc_id, lang, chars, perplexity, threshold, kept for every row of docs (doc_id, text, lang)."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.05, min_lang_docs: int = 20, max_train_docs: int = 20_000, hot: int = 1 << 17, min_repeats: float = 0.02) -> DataFrame:
+    """doc_id, lang, chars, perplexity, threshold, worst, repeats, kept for every row of docs (doc_id, text, lang)."""
     scored = materialize(perplexities(docs, labels, max_train_docs, hot), "perplexity")
     good = scored.filter("held and perplexity is not null")
-    cut = F.expr(f"percentile(perplexity, {quantile})") * margin
-    by_lang = good.groupBy(F.col("lang").alias("t_lang")).agg(cut.alias("own"), F.count("*").alias("docs")).filter(F.col("docs") >= min_lang_docs).filter("t_lang is not null").drop("docs")
-    every = good.agg(cut.alias("every")).first()["every"]
+    figures = ("perplexity", "worst", "repeats")
+    cuts = [(F.expr(f"percentile({x}, {quantile})") * margin).alias(f"own_{x}") for x in figures]
+    by_lang = good.groupBy(F.col("lang").alias("t_lang")).agg(*cuts, F.count("*").alias("docs")).filter(F.col("docs") >= min_lang_docs).filter("t_lang is not null").drop("docs")
+    every = good.agg(*cuts).first()
     by_lang = materialize(by_lang, "by-lang")
     by_lang = F.broadcast(by_lang) if by_lang.count() <= 100_000 else by_lang
     out = scored.join(by_lang, F.col("lang") == F.col("t_lang"), "left")
-    threshold = F.coalesce(F.col("own"), F.lit(every).cast("double"))
-    return out.select("doc_id", "lang", "chars", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("kept"))
+    bound = {x: F.coalesce(F.col(f"own_{x}"), F.lit(every[f"own_{x}"]).cast("double")) for x in figures}
+    bound["repeats"] = F.greatest(bound["repeats"], F.lit(min_repeats))
+    threshold = bound["perplexity"]
+    within = (F.col("perplexity") <= threshold) & (F.col("worst") <= bound["worst"]) & (F.col("repeats") <= bound["repeats"])
+    return out.select("doc_id", "lang", "chars", "perplexity", threshold.alias("threshold"), "worst", "repeats", (F.col("perplexity").isNotNull() & (threshold.isNull() | within)).alias("kept"))

@@ -70,6 +70,21 @@ def test_op1_known_probabilities_and_decisions(spark):
     assert none[200]["kept"] and none[0]["threshold"] is None
 
 
+def test_op1_finds_few_bad_words_and_repeats_and_order(spark):
+    rng = random.Random(8)
+    good = [(i, prose(rng, 150)) for i in range(200)]
+    few = [(1000 + i, f"{prose(rng, 150)} qzxjkv wkqxzz {prose(rng, 150)}") for i in range(20)]
+    again = [(2000 + i, (prose(rng, 6) + " ") * 40) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = by_id(kneser_ney.classify(frame(spark, good + few + again), labels))
+    assert sum(got[i]["kept"] for i, _ in good) >= 195
+    assert not any(got[i]["kept"] for i, _ in few) and not any(got[i]["kept"] for i, _ in again)
+    # the same words in another order: only 5-grams across words tell them apart
+    tied = [(i, "ab cd ef gh " * 20) for i in range(40)]
+    told = by_id(kneser_ney.classify(frame(spark, [*tied, (50, "gh ef cd ab " * 20)]), spark.createDataFrame([(i, 1, 0) for i in range(40)], labels.schema)))
+    assert told[0]["kept"] and not told[50]["kept"]
+
+
 def test_op1_is_a_distribution_and_matches_brute_force(spark):
     words = Counter({b"the": 5, b"then": 3, b"on": 2, b"one": 1, b"at": 1})
     wf = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "key binary, n long")
