@@ -1,8 +1,8 @@
 """Quality classifier (operator 1): an interpolated modified Kneser-Ney model of characters in and across words.
 
 Model: 5-grams of characters inside words (white space divides words; a word is padded in front and closed by an end
-sign) and of those that predict past a space from what stands before it, trained on trusted text: documents labelled quality 1 and not toxic, at most max_train_docs of them (those of
-least hash of doc_id; this documented bound limits the fit alone), half of which are held out of the fit. Counts, continuation counts, the discounts D1, D2,
+sign) and of those that predict past a space from what stands before it, trained on trusted text: documents labelled quality 1 and not toxic. Half of them may be fitted on, at most max_train_docs
+(languages take turns, so that rare ones are not crowded out; this bound limits the fit alone); all others are held out. Counts, continuation counts, the discounts D1, D2,
 D3+ of each order and the context masses are grouped tables.
 
 Scoring: the distinct 5-grams of the whole corpus meet the sharded count tables of all orders in one join; every
@@ -149,18 +149,29 @@ def score_words(words: DataFrame, grams: DataFrame, hot: int) -> DataFrame:
     return out.select(F.col("word").alias("key"), F.col("count").alias("n"), "lp", F.col("chars").cast("double").alias("chars"), (-F.col("lp") / F.col("chars")).alias("rare"))
 
 
-def trusted_ids(labels: DataFrame, max_train_docs: int) -> DataFrame:
+def trusted_ids(labels: DataFrame) -> DataFrame:
     one = labels.groupBy(F.col("doc_id").cast("long").alias("t_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"), F.count("quality").alias("a"), F.count("toxic").alias("b"), F.count("*").alias("c"))
-    good = one.filter("t_id is not null and q = 1 and x = 0 and a = c and b = c").select("t_id")
-    return good.orderBy(F.xxhash64("t_id"), "t_id").limit(max_train_docs).withColumn("fit", F.pmod(F.xxhash64("t_id", F.lit("fold")), F.lit(2)) == 0)
+    return one.filter("t_id is not null and q = 1 and x = 0 and a = c and b = c").select("t_id")
+
+
+def fit_ids(trusted: DataFrame, plain: DataFrame, max_train_docs: int) -> DataFrame:
+    """f_id: the trusted documents to fit on, those of least hash times the number of their language, about the rank in it."""
+    lang = plain.select("doc_id", "lang").join(trusted, F.col("doc_id") == F.col("t_id")).groupBy("t_id").agg(F.min("lang").alias("lang"))
+    h = F.xxhash64("t_id")
+    half = lang.filter(F.pmod(F.xxhash64("t_id", F.lit("fold")), F.lit(2)) == 0).withColumn("h", h)
+    size = half.groupBy(F.col("lang").alias("s_lang")).agg(F.count("*").alias("docs"))
+    turn = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("docs")
+    return half.join(size, F.col("lang").eqNullSafe(F.col("s_lang"))).orderBy(turn, "h", "t_id").limit(max_train_docs).select(F.col("t_id").alias("f_id"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, max_train_docs: int, hot: int) -> DataFrame:
     """doc_id, lang, chars, perplexity, worst, repeats, held (trusted, not fitted on) for every row of docs."""
     spark = docs.sparkSession
-    trusted = F.broadcast(materialize(trusted_ids(labels, max_train_docs), "trusted-ids"))
+    trusted = materialize(trusted_ids(labels), "trusted-ids")
+    trusted = F.broadcast(trusted) if trusted.count() <= 500_000 else trusted
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model, left = fit(materialize(counted_keys(plain.join(trusted.filter("fit"), F.col("doc_id") == F.col("t_id"), "left_semi"), word_keys), "trusted"))
+    fitted = F.broadcast(materialize(fit_ids(trusted, plain, max_train_docs), "fit-ids"))
+    model, left = fit(materialize(counted_keys(plain.join(fitted, F.col("doc_id") == F.col("f_id"), "left_semi"), word_keys), "trusted"))
     words = materialize(counted_keys(plain, word_keys), "words")
     grams = materialize(score_grams(gram_counts(words), model, left), "grams")
     crossing = grams.filter(SPACED).select("key", "n", "lp", F.lit(1.0).alias("chars"), F.lit(0.0).alias("rare"))
@@ -208,7 +219,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, max_train_docs: int, hot: i
     rarest = {"rarest": F.element_at(F.slice(F.sort_array(F.flatten(F.collect_list(each)), False), 1, 2), -1)}
     sums = looked_up(with_uid(plain), spread, scored, ["lp", "chars", "rare"], "repeats double, doc long, lang string, rarest array<double>", rarest)
     out = sums.select(F.col("doc").alias("doc_id"), "lang", F.round("chars").cast("long").alias("chars"), F.when(F.col("chars") > 0, F.pow(F.lit(10.0), -F.col("lp") / F.col("chars"))).alias("perplexity"), F.when(F.col("chars") > 0, F.col("rarest")).alias("worst"), "repeats")
-    return out.join(trusted, F.col("doc_id") == F.col("t_id"), "left").withColumn("held", F.coalesce(~F.col("fit"), F.lit(False))).drop("t_id", "fit")
+    marked = out.join(trusted, F.col("doc_id") == F.col("t_id"), "left").join(fitted, F.col("doc_id") == F.col("f_id"), "left")
+    return marked.withColumn("held", F.expr("t_id is not null and f_id is null")).drop("t_id", "f_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.05, min_lang_docs: int = 20, max_train_docs: int = 20_000, hot: int = 1 << 17, min_repeats: float = 0.02) -> DataFrame:

@@ -85,6 +85,17 @@ def test_op1_finds_few_bad_words_and_repeats_and_order(spark):
     assert told[0]["kept"] and not told[50]["kept"]
 
 
+def test_op1_bound_of_the_fit_leaves_the_thresholds_alone(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rng, 20), "rare" if i % 10 == 0 else "en") for i in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.perplexities(docs, labels, 40, 1000).collect()
+    assert len(got) == 600 and sum(not r["held"] for r in got) == 40
+    assert sum(not r["held"] for r in got if r["lang"] == "rare") >= 10
+    cuts = {(r["lang"], r["threshold"]) for r in kneser_ney.classify(docs, labels, max_train_docs=40, hot=1000).collect()}
+    assert len(cuts) == 2  # the rare language has a threshold of its own
+
+
 def test_op1_is_a_distribution_and_matches_brute_force(spark):
     words = Counter({b"the": 5, b"then": 3, b"on": 2, b"one": 1, b"at": 1})
     wf = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "key binary, n long")
