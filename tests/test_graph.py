@@ -35,6 +35,13 @@ def test_query(geo, asked, found, confidence):
     assert (r["answer"], r["confidence"]) == (found, confidence)
 
 
+def test_query_of_a_subject_with_many_objects(spark, geo):
+    many = spark.range(3000).select(F.lit("hub").alias("subject"), F.lit("capital_of").alias("relation"), F.format_string("o%05d", "id").alias("object"))
+    for asked in ("o00000", "o01500", "o02999"):
+        assert answer.query(many, "hub", "capital_of", asked).first()["method"] == "direct"
+    assert answer.query(many, "hub", "capital_of", "x").first()["proof"] == "hub capital_of o00000"
+
+
 def test_blocked_rule_and_cycle(spark, geo):
     more = geo.union(spark.createDataFrame([("france", "borders", "spain"), ("spain", "borders", "portugal"), ("a", "in", "b"), ("b", "in", "a")], geo.schema))
     got = inference.compose(more, schema.rules(spark, [("borders", "borders", None)]))
