@@ -12,7 +12,7 @@ Words: runs of characters other than ASCII signs, A-Z lower-cased. The index is
 merges more; the phrase test compares A-Z-lower-cased words.
 
 Defined results: null or empty texts have no words; items without words have no window; items that repeat an item_id add to
-that item; repeated document rows get repeated results; null item ids are not reported; other columns are ignored.
+that item; repeated document rows get repeated results; words in windows of items without an id are hit, but these items are not counted or named; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def folded(df: DataFrame) -> DataFrame:
 def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     """(item_id, win, words): each item's windows, A-Z-lower-cased."""
     items = folded(benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    words = items.select("item_id", F.expr(f"filter({split_words('text')}, w -> w <> '')").alias("ws")).filter("size(ws) > 0 and item_id is not null")
+    words = items.select("item_id", F.expr(f"filter({split_words('text')}, w -> w <> '')").alias("ws")).filter("size(ws) > 0")
     cut = words.select("item_id", F.explode(F.expr(f"transform(sequence(1, greatest(1, size(ws) - {window} + 1)), i -> slice(ws, i, {window}))")).alias("words"))
     return cut.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("win", F.xxhash64("words"))
 

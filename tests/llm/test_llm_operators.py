@@ -222,6 +222,13 @@ def test_op4_windows(spark, rows):
     assert near[1]["contaminated"]
 
 
+def test_op4_items_without_an_id(spark):
+    leak = "one two three four five six seven eight nine ten"
+    docs = frame(spark, [(1, f"x {leak} y"), (2, "nothing of it")])
+    got = by_id(decontamination.decontaminate(docs, spark.createDataFrame([(None, leak)], "item_id long, text string")))
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (10, 0, True) and not got[2]["contaminated"]
+
+
 def test_op4_is_native(spark, rows):
     plan = decontamination.decontaminate(frame(spark, rows), spark.createDataFrame([(1, "a b")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
