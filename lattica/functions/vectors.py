@@ -51,12 +51,23 @@ def bundled(df: DataFrame, keys: list[str], vector: str, weight: Column | None =
 def retrieve(queries: DataFrame, patterns: DataFrame, top_k: int, beta: float = 8.0, min_similarity: float = -1.0, max_queries: int = 10_000) -> DataFrame:
     """(query_id, pattern_id, sim, weight): softmax memory; per query the top_k patterns, then those similar enough.
 
-    A stated query set of at most max_queries rows is broadcast against all patterns, split over tasks; two combinable
-    aggregates (sum of exp, and the kept best per task and query) bound what is shuffled.
+    Queries are broadcast against all patterns, split over tasks, in blocks of about max_queries by hash of id, each cut
+    by a table; two combinable aggregates (sum of exp, and the kept best per task and query) bound what is shuffled.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries: run them in blocks")
+    from lattica.plans.rounds import cut
+
+    blocks = -(-queries.count() // max_queries)
+    if blocks <= 1:
+        return retrieve_block(queries, patterns, top_k, beta, min_similarity)
+    dealt = cut(queries.select("id", "vec").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))), "queries")
+    out = None
+    for b in range(blocks):
+        part = cut(retrieve_block(dealt.filter(F.col("_b") == b), patterns, top_k, beta, min_similarity), "retrieved")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def retrieve_block(queries: DataFrame, patterns: DataFrame, top_k: int, beta: float, min_similarity: float) -> DataFrame:
     q = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("_q")))
     scored = patterns.select(F.col("id").alias("pattern_id"), F.col("vec").alias("_p")).join(q, F.lit(True)).select("query_id", "pattern_id", cosine(F.col("_q"), F.col("_p")).alias("sim"))
     total = scored.groupBy("query_id").agg(F.sum(F.exp(F.col("sim") * beta)).alias("z"))
