@@ -14,23 +14,41 @@ from lattica.llm import chosen_path, decontamination, kneser_ney, mixing, pii_ta
 from lattica.llm.common import materialize, read_table
 
 
-def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has a row in decisions that is kept. The small side is hashed; texts are not sorted."""
-    ids = decisions.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a written id per row, by which the stages decide: doc_id may be null or repeat."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("_row"))
+
+
+def kept_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of rows whose _row is a kept_id of ids. The small side is hashed; texts are not sorted."""
+    return rows.join(ids.hint("shuffle_hash"), F.col("_row") == F.col("kept_id"), "left_semi").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, kneser_ney.classify(docs, read_table(spark, sf_dir, "labels")))
+    rows = numbered(docs)
+    labels = read_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
+    told = rows.select("_row", "doc_id").join(labels, F.col("doc_id").cast("long") == F.col("l_id").cast("long"))
+    found = kneser_ney.classify(by_row(rows), told.select(F.col("_row").alias("doc_id"), "quality", "toxic"))
+    return kept_rows(rows, found.filter("kept").select(F.col("doc_id").alias("kept_id")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_rows(docs, chosen_path.join(docs))
+    """Of each component the row of least doc_id stays, null last, ties by row."""
+    rows = numbered(docs)
+    found = chosen_path.join(by_row(rows)).select(F.col("doc_id").alias("j_row"), "component_id")
+    told = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("_row") == F.col("j_row"))
+    least = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    return kept_rows(rows, least.select(F.col("least._row").alias("kept_id")))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    return kept_rows(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    rows = numbered(docs)
+    found = decontamination.decontaminate(by_row(rows), read_table(spark, sf_dir, "benchmark"))
+    return kept_rows(rows, found.filter("not contaminated").select(F.col("doc_id").alias("kept_id")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

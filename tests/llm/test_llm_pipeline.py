@@ -43,3 +43,20 @@ def test_stages(spark, tables, tmp_path):
     assert "<EMAIL>" in red["text"] and red["n_chars"] == len(red["text"])
     mix = docs.collect()
     assert sum(r["taken"] for r in mix) == pytest.approx(1.5 * sum(r["size"] for r in mix), rel=0.05)
+
+
+def test_decisions_are_per_row(spark, tables):
+    rng = random.Random(13)
+    leak = spark.read.parquet(f"{tables}/benchmark.parquet").first()["text"]
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, "BAD### " * 30), (7, c), (7, c), (8, d), (8, "BAD### " * 30), (9, f"{prose(rng, 30)} {leak} {prose(rng, 30)}"), (9, prose(rng, 60))]
+    rows += [(100 + i, prose(rng, 60)) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    base = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id < 100")
+    want = [rows[i] for i in (0, 1, 3, 5, 8, 9, 10, 11)]
+    out = docs.unionByName(base)
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.benchmark_leaks):
+        out = stage(spark, out, tables)
+    known = {r["text"] for r in base.collect()}
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect() if r["text"] not in known), key=key) == sorted(want, key=key)
