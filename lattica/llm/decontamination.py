@@ -3,8 +3,8 @@
 1. Test side: words of the benchmark, its windows of `window` consecutive words (a shorter item is one window), each with
    its words' document counts in the corpus; the rarest words of a window are its probes.
 2. Index: postings (term, doc, position) of the test vocabulary's rarest terms, stored in the shared folder.
-3. Offset-adjusted lists: a posting at p of a probe with offset o says that the window would start at p - o. A start that
-   the lists of all probes of a window agree on is a candidate.
+3. Offset-adjusted lists: a posting at p of a probe with offset o says that the window would start at p - o. The list of
+   each window's rarest term gives starts, which are intersected with the lists of its next rarest terms, one after the other.
 4. Candidates meet their document's words once; the window must stand there word for word (phrase), or in any
    order within a span of `window + slack` words (proximity).
 
@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, shared_dir
+from lattica.llm.common import materialize
 
 BREAK = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+FEW = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,7 +62,8 @@ def sized_broadcast(small: DataFrame, limit: int) -> DataFrame:
 def candidates(docs: DataFrame, windows: DataFrame, probes: int, limit: int) -> DataFrame:
     """(doc_id, win, start): 0-based starts in index_rows where the postings of a window's rarest terms agree.
 
-    Rows that share a doc_id share candidates; each row is tested by itself afterwards."""
+    The rarest term's list gives the first starts; each further list is cut down to the documents still in question and
+    intersected with the starts that are left. Rows that share a doc_id share candidates; each row is tested by itself afterwards."""
     terms = windows.select("win", F.posexplode(F.transform("words", F.lower)).alias("off", "term"))
     vocab = materialize(terms.select("term").distinct(), "vocab")
     tokens = index_rows(docs).select(F.explode("ws").alias("w"))
@@ -69,13 +71,29 @@ def candidates(docs: DataFrame, windows: DataFrame, probes: int, limit: int) ->
     counts = materialize(counts, "term-counts")
     rare = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "term", "off")
     ranked = terms.join(counts, F.col("term") == F.col("c_term"), "left").withColumn("rank", F.row_number().over(rare))
-    keys = materialize(ranked.filter(F.col("rank") <= probes).withColumn("need", F.count("*").over(Window.partitionBy("win"))).select("win", "term", "off", "need"), "probes")
+    keys = materialize(ranked.filter(F.col("rank") <= probes).select("win", "term", "off", "rank"), "probes")
     wanted = sized_broadcast(materialize(keys.select(F.col("term").alias("p_term")).distinct(), "probe-terms"), limit)
     places = index_rows(docs).select("doc_id", F.posexplode("ws").alias("pos", "w"))
     postings = materialize(places.join(wanted, F.col("w") == F.col("p_term")).select(F.col("w").alias("term"), "doc_id", "pos"), "postings")
-    starts = postings.join(sized_broadcast(keys, limit), "term").select("doc_id", "win", "off", (F.col("pos") - F.col("off")).alias("start"), "need")
-    agreed = starts.filter("start >= 0").groupBy("doc_id", "win", "start").agg(F.size(F.collect_set("off")).alias("n"), F.first("need").alias("need"))
-    return agreed.filter("n = need").select("doc_id", "win", "start")
+    first = sized_broadcast(keys.filter("rank = 1").select("win", "term", "off"), limit)
+    found = materialize(postings.join(first, "term").select("doc_id", "win", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0"), "starts")
+    for k in range(2, probes + 1):
+        found = materialize(intersected(found, keys.filter(F.col("rank") == k).select("win", "term", "off"), postings, limit), f"starts{k}")
+    return found
+
+
+def intersected(found: DataFrame, keys: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+    """The rows of found (doc_id, win, start) whose window's term of keys stands at its place; windows without one stay."""
+    terms = sized_broadcast(keys.select(F.col("term").alias("k_term")).distinct(), limit)
+    lists = postings.join(terms, F.col("term") == F.col("k_term"), "left_semi")
+    left = materialize(found.select(F.col("doc_id").alias("f_id")).distinct(), "found-docs")
+    if left.count() <= FEW:  # only spares rows of the shuffle that follows
+        lists = lists.join(F.broadcast(left), F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
+    lists = lists.select(F.col("doc_id").alias("l_id"), F.col("term").alias("l_term"), F.col("pos").alias("l_pos"))
+    asked = found.join(sized_broadcast(keys, limit), "win", "left")
+    there = F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("term") == F.col("l_term")) & (F.col("start") + F.col("off") == F.col("l_pos"))
+    met = asked.filter("term is not null").join(lists, there, "left_semi")
+    return met.unionByName(asked.filter("term is null")).select("doc_id", "win", "start")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probes: int = 3, slack: int | None = None, limit: int = 500_000) -> DataFrame:
@@ -85,7 +103,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
     slack words that hold its rarest word; then the words of that stretch which belong to the window are hit.
     limit: rows up to which a test-side table is broadcast.
     """
-    shared_dir(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     windows = materialize(windows_of(benchmark, window), "windows")
     found = candidates(rows, windows, probes if slack is None else 1, limit)
