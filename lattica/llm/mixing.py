@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import MASK, materialize, mix64, with_uid
+from lattica.llm.common import MASK, materialize, mix64, shuffle_parts, with_uid
 
 ROUNDS = 12
 
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: fl
     table = plan(sizes, weights, share, cap, block, max_sources)
     sources = spark.createDataFrame(list(table.itertuples(index=False, name=None)), "idx long, p_source string, docs long, source_size long, target double, blocks long, slots long")
     known = sizes.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.sqrt("docs")).cast("long"))
+    chunk = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("uid"))), F.ceil(F.sqrt("docs")).cast("long"))
     inner = Window.partitionBy("idx", "chunk").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = known.filter("size > 0").withColumn("chunk", chunk).withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     outer = Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,7 +115,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: fl
     rows = [(*r, int(blocks[r[1]])) for r in draw(list(table["slots"]), shards, seed)] if len(table) else []
     counts = spark.createDataFrame(rows, "shard long, idx long, first long, n long, blocks long")
     step = 1 << 16
-    runs = counts.withColumn("k", F.explode(F.expr(f"sequence(0, (n - 1) div {step})"))).repartition(F.col("idx"), F.col("shard"), F.col("k"))
+    tasks = int(min(200_000, max(shuffle_parts(spark), sum(table["slots"]) // (16 * step)))) if len(table) else 1
+    runs = counts.withColumn("k", F.explode(F.expr(f"sequence(0, (n - 1) div {step})"))).repartition(tasks, F.col("idx"), F.col("shard"), F.col("k"))
 
     def slots_of(batches):
         for pdf in batches:
@@ -126,7 +127,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: fl
                 yield pd.DataFrame({"shard": r.shard, "slot": slot, "idx": r.idx, "block": permuted(slot % size, size, key, seed)})
 
     slots = runs.mapInPandas(slots_of, "shard long, slot long, idx long, block long")
-    mixed = slots.join(pieces, ["idx", "block"])
+    # slots grow with the input, though the runs they come from are few rows: never a broadcast
+    mixed = slots.hint("merge").join(pieces, ["idx", "block"])
     return known.select("uid", "doc_id", "source", "size", "source_size", "target"), mixed
 
 
