@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -10,25 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MASK = (1 << 64) - 1
 
+from lattica.plans.rounds import cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+MASK = (1 << 64) - 1
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -152,24 +142,32 @@ class Lookup:
         return self.known
 
 
-def hot_rows(table: DataFrame, hot: int, values: list[str], width: int = 64) -> Lookup:
-    """The most frequent rows of table (key binary, n, ...) whose key has at most width bytes: at most hot of them.
+def count_floor(table: DataFrame, hot: int) -> int:
+    """The least n of table such that at most hot rows have it or more (beyond all counts if none fits).
 
-    The least count that fits is read off a histogram of counts in steps of a 64th of a power of two, so the driver gets
-    a few thousand rows and then no more than hot.
+    It is read off a histogram of counts in steps of a 64th of a power of two, so the driver gets a few thousand rows.
     """
-    short = table.filter(F.length("key") <= width)
-    steps = short.groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("rows")).collect()
-    floor, total = None, 0
+    steps = table.groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("rows")).collect()
+    floor, total = 1 << 62, 0
     for r in sorted(steps, key=lambda r: -r["step"]):
         total += r["rows"]
         if total > hot:
             break
         floor = r["least"]
-    kept = short.filter(F.col("n") >= (floor if floor is not None else 1 << 62))
+    return floor
+
+
+def hot_rows(table: DataFrame, hot: int, values: list[str]) -> Lookup:
+    """The most frequent rows of table (key binary, n, ...), at most hot of them. Keys should be short: see `short`."""
+    kept = table.filter(F.col("n") >= count_floor(table, hot))
     return Lookup(kept.select("key", "n", *[v for v in values if v != "n"]).toArrow(), values)
 
 
+def short(word: bytes, width: int = 64) -> bytes:
+    """A key for word: itself, or its digest where it is longer than width, so that keys are of bounded size whatever the text."""
+    return word if len(word) <= width else b"\xff" + hashlib.sha256(word).digest()
+
+
 def looked_up(rows: DataFrame, spread: Callable, table: DataFrame, values: list[str], extra: str = "", other: dict | None = None) -> DataFrame:
     """Finish a two-tier lookup: per uid, the sums over its keys of each value, times the key's count.
 
@@ -180,8 +178,10 @@ def looked_up(rows: DataFrame, spread: Callable, table: DataFrame, values: list[
     """
     schema = "uid long, key binary, n double, " + ", ".join(f"{v} double" for v in values) + (", " + extra if extra else "")
     side = table.select(F.col("key").alias("t_key"), *[F.col(v).cast("double").alias(f"t_{v}") for v in values])
-    sent = rows.mapInPandas(spread, schema)
-    joined = sent.join(side.hint("merge"), F.col("key") == F.col("t_key"), "left")
+    # rows without a key get one of their own, which no text holds, so that they spread over all tasks
+    own = F.concat(F.unhex(F.lit("FE")), F.col("uid").cast("string").cast("binary"))
+    sent = rows.mapInPandas(spread, schema).withColumn("ask", F.coalesce("key", own))
+    joined = sent.join(side.hint("merge"), F.col("ask") == F.col("t_key"), "left")
     names = [x.split()[0] for x in extra.split(",")] if extra else []
     return joined.groupBy("uid").agg(
         *[F.sum(F.coalesce(F.col(v), F.lit(0.0)) + F.when(F.col("key").isNotNull(), F.coalesce(F.col(f"t_{v}"), F.lit(0.0)) * F.col("n")).otherwise(0.0)).alias(v) for v in values],
@@ -212,12 +212,6 @@ def components(vertices_edges: DataFrame, limit: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
-def sha_hex(x: bytes) -> str:
-    import hashlib
-
-    return hashlib.sha256(x).hexdigest()
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -234,6 +228,3 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
         root = low
 
-
-def schema_of(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)

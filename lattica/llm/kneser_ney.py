@@ -1,152 +1,137 @@
-"""Quality classifier (operator 1): an interpolated modified Kneser-Ney model of characters in and across words.
-
-Model: 5-grams of characters inside words (white space divides words; a word is padded in front and closed by an end
-sign) and of those that predict past a space from what stands before it, trained on trusted text: documents labelled quality 1 and not toxic. Half of them may be fitted on, at most max_train_docs
-(languages take turns, so that rare ones are not crowded out; this bound limits the fit alone); all others are held out. Counts, continuation counts, the discounts D1, D2,
-D3+ of each order and the context masses are grouped tables.
-
-Scoring: the distinct 5-grams of the whole corpus meet the sharded count tables of all orders in one join; every
-distinct word then sums its grams, and every document its words (two-tier lookups of ``common.looked_up``). Three figures
-of a document are each compared with margin times the given quantile of the held-out trusted documents of its language:
-its perplexity per character; worst, the negative log10 probability per character of its second rarest distinct word, so
-that a few odd words show however long the rest and one alone (a name, a slip) is let pass; and repeats, the share of its word 3-grams that stood in it before
+"""Quality classifier (operator 1): an interpolated modified Kneser-Ney model of characters, trained on trusted text.
+
+Text is read as its words with one space between them, three start signs and a space in front and a space at the end; every
+character and the end are predicted from the four characters before them, across words too. A character is one of 4,096
+signs: code points below 4,000 are their own, all others share 96 by remainder; so a 5-gram is one 60-bit number, exact.
+
+Model: the trusted text is that of documents labelled quality 1 and not toxic. Half of them may be fitted on, at most max_train_docs
+(languages take turns, so that rare ones are not crowded out; this bound limits the fit alone); all others are held out.
+Counts, continuation counts, the discounts D1, D2, D3+ of each order and the context masses are tables by gram.
+
+Scoring: the distinct 5-grams of the whole corpus meet the sharded count tables order by order, lowest first; then every
+document sums its grams: the hot most frequent of them come from a broadcast, all others through a join. Three figures
+of a document are each compared with margin (worst_margin for worst, an extreme that varies more) times the given quantile of the held-out trusted documents of its language:
+its perplexity per character; worst, the negative log10 probability per character of its second rarest distinct word (over
+the 5-grams inside the word and the spaces next to it; words of three characters or more), so that a few odd words show however
+long the rest and one alone (a name, a slip) is let pass; and repeats, the share of its word 3-grams that stood in it before
 (SMOOTH words are added to its length; a bound under min_repeats counts as min_repeats), as text that repeats is all too
-probable. Languages with fewer than min_lang_docs of them, null among them, use the quantiles over all languages.
+probable. A quantile is the least value that the given share of documents do not exceed (from a sketch of bounded size, exact
+below 100,000 documents). Languages with fewer than min_lang_docs of them, null among them, use the quantiles over all languages.
 
 Defined results: a document without words (null, empty, blank) has null perplexity and is rejected; without any trusted
 text there is no threshold and all documents with words are kept; labels that disagree on a doc_id make it untrusted;
-repeated rows get repeated decisions; other columns are ignored.
+repeated rows get repeated decisions; documents at a threshold are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import counted_keys, hot_rows, looked_up, materialize, with_uid
+from lattica.llm.common import chunks, count_floor, materialize, mix64, with_uid
+from lattica.plans.rounds import discard
 
-ORDER = 5
-START, END = "\x02", "\x03"
+ORDER, BITS = 5, 12
+START, SPACE, OWN, SHARED = 1, 32, 4000, 96
 SMOOTH = 50
-SPACED = "instr(cast(key as string), ' ') > 0"
-
-
-def across(raw: bytes) -> list[str]:
-    """The ORDER-grams that predict a character past a space from what stands before it, with one space between words."""
-    s, at, out = b" ".join(raw.split()).decode(errors="replace").replace(START, "?").replace(END, "?"), -1, []
-    for w in s.split(" ")[:-1]:
-        at += len(w) + 1
-        out += [s[i : i + ORDER] for i in range(max(0, at - ORDER + 2), min(at, len(s) - ORDER + 1))]
-    return out
 
 
-def word_keys(raw: bytes) -> list[bytes]:
-    """The words, and the grams across them, which alone hold spaces."""
-    return raw.split() + [g.encode() for g in across(raw)]
+def clean(text: str | None) -> str:
+    return "" if text is None else " ".join(text.split()).replace("\x01", "\x02")
 
 
-def repeats_of(raw: bytes) -> float:
-    ws = raw.split()
-    return (max(0, len(ws) - 2) - len(set(zip(ws, ws[1:], ws[2:], strict=False)))) / (len(ws) + SMOOTH)
+class Stream:
+    """The 5-grams of some texts in one go. key, doc: of each gram; row: index of its first sign."""
 
+    def __init__(self, texts: list[str]):
+        lens = np.array([len(t) + 5 if t else 0 for t in texts], np.int64)
+        raw = "".join(f"\x01\x01\x01 {t} " for t in texts if t).encode("utf-32-le", "surrogatepass")
+        x = np.frombuffer(raw, np.uint32).astype(np.int64)
+        self.ids = np.where(x < OWN, x, OWN + x % SHARED)
+        self.owner = np.repeat(np.arange(len(texts)), lens)
+        n = max(0, len(self.ids) - ORDER + 1)
+        key = np.zeros(n, np.int64)
+        for k in range(ORDER):
+            key = (key << BITS) | self.ids[k : k + n]
+        self.row = np.flatnonzero(self.owner[:n] == self.owner[ORDER - 1 :][:n])
+        self.key, self.doc = key[self.row], self.owner[self.row]
 
-def grams_of(word: bytes) -> list[str]:
-    """All ORDER-grams that predict a character of the word or its end; a gram across words is its own."""
-    if b" " in word:
-        return [word.decode(errors="replace")]
-    s = START * (ORDER - 1) + word.decode(errors="replace").replace(START, " ").replace(END, " ") + END
-    return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, hash) of each word in order, and the word of each sign (-1: none)."""
+        apart = (self.ids == SPACE) | (self.ids == START)
+        first = ~apart
+        first[1:] &= apart[:-1]
+        start = np.flatnonzero(first)
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.full(len(self.ids), -1)
+        at = np.cumsum(first) - 1
+        place = np.arange(len(self.ids)) - start[np.maximum(at, 0)]
+        h = np.where(apart, np.uint64(0), mix64((self.ids + (place + 1) * 4096).astype(np.uint64)))
+        return self.owner[start], np.add.reduceat(h, start), np.where(apart, -1, at)
 
 
-def gram_counts(words: DataFrame, distinct: bool = False) -> DataFrame:
-    """(key, n): the grams of words (key, n), each weighted by its word's count, or 1 if distinct."""
+def counted(docs: DataFrame, size: int = 2_000_000, most: int = 1_000_000) -> DataFrame:
+    """(key, n): the 5-grams of docs (text); counts meet first in each task."""
 
     def run(batches):
+        held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pdf in batches:
-            seen: Counter = Counter()
-            for w, n in zip(pdf["key"], pdf["n"], strict=True):
-                for g in grams_of(w):
-                    seen[g] += 1 if distinct else n
-            yield pd.DataFrame({"key": list(seen), "n": list(seen.values())})
+            for part in chunks(pdf, "text", size):
+                k, n = np.unique(Stream([clean(t) for t in part["text"]]).key, return_counts=True)
+                both, at = np.unique(np.concatenate([held_k, k]), return_inverse=True)
+                total = np.bincount(at, np.concatenate([held_n, n]), len(both)).astype(np.int64)
+                held_k, held_n = both, total
+                if len(both) > most:
+                    yield pd.DataFrame({"key": held_k, "n": held_n})
+                    held_k, held_n = held_k[:0], held_n[:0]
+        yield pd.DataFrame({"key": held_k, "n": held_n})
 
-    return words.select("key", "n").mapInPandas(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def fit(trusted_words: DataFrame) -> tuple[DataFrame, float]:
-    """((key, v): the sharded model, and the probability that the last back-off reaches). Keys: '<k>q' + gram holds the
-    discounted share of a k-gram in its context, '<k>g' + context the mass that the context leaves to order k-1."""
-    tables, counts = [], materialize(gram_counts(trusted_words), "grams5")
-    left = 1.0
+def low(c: str, k: int):
+    """The last k signs of a gram."""
+    return F.col(c).bitwiseAND(F.lit((1 << BITS * k) - 1))
+
+
+def fit(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame], float]:
+    """From trusted 5-grams (key, n): per order k the discounted shares (key, q) and the masses that contexts leave to order k - 1
+    (ctx, g), lowest order first, and the probability that the last back-off reaches."""
+    counts, shares, masses, left = materialize(grams, "trusted"), [], [], 1.0
     for k in range(ORDER, 0, -1):
         if k < ORDER:
-            counts = materialize(counts.groupBy(F.expr(f"substring(key, 2, {k})").alias("key")).agg(F.count("*").alias("n")), f"grams{k}")
+            counts = materialize(counts.groupBy(low("key", k).alias("key")).agg(F.count("*").alias("n")), f"trusted{k}")
         n = counts.agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)], F.count("*")).first()
         y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
         d = [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 for i in (1, 2, 3)]
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        h = F.expr(f"substring(key, 1, {k - 1})")
-        mass = counts.groupBy(h.alias("h")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
-        shares = counts.withColumn("h", h).join(mass, "h")
-        tables.append(shares.select(F.concat(F.lit(f"{k}q"), "key").alias("key"), ((F.col("n") - cut) / F.col("total")).alias("v")))
-        if k > 1:
-            tables.append(mass.select(F.concat(F.lit(f"{k}g"), "h").alias("key"), (F.col("cut") / F.col("total")).alias("v")))
-        else:
-            row = mass.first()
-            left = (row["cut"] / row["total"]) / (n[4] + 1) if row else 1.0
-    model = tables[0]
-    for t in tables[1:]:
-        model = model.unionByName(t)
-    return materialize(model, "model"), left
-
-
-def score_grams(grams: DataFrame, model: DataFrame, left: float) -> DataFrame:
-    """(key binary, n, lp): log10 of the interpolated probability of each gram's last character."""
-    keys = []
-    for k in range(ORDER, 0, -1):
-        keys.append(f"concat('{k}q', substring(key, {ORDER - k + 1}, {k}))")
-        if k > 1:
-            keys.append(f"concat('{k}g', substring(key, {ORDER - k + 1}, {k - 1}))")
-    asked = grams.select(F.col("key").alias("gram"), "n", F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("slot", "ask"))
-    got = asked.join(model, F.col("ask") == F.col("key"), "left").groupBy("gram").agg(F.first("n").alias("n"), *[F.max(F.when(F.col("slot") == i, F.col("v"))).alias(f"s{i}") for i in range(len(keys))])
-    p = F.coalesce(F.col(f"s{len(keys) - 1}"), F.lit(0.0)) + left
+        h = F.shiftright("key", BITS)
+        mass = materialize(counts.groupBy(h.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")), "masses")
+        shares.append(counts.withColumn("ctx", h).join(mass, "ctx").select("key", ((F.col("n") - cut) / F.col("total")).alias("q")))
+        masses.append(mass.select("ctx", (F.col("cut") / F.col("total")).alias("g")))
+        if k == 1 and (row := mass.first()):
+            left = (row["cut"] / row["total"]) / (n[4] + 1)
+    return shares[::-1], masses[::-1], left
+
+
+def scored(grams: DataFrame, shares: list[DataFrame], masses: list[DataFrame], left: float) -> DataFrame:
+    """(key, n, lp): log10 of the interpolated probability of the last sign of each distinct gram (key, n)."""
+    grams = materialize(grams.join(shares[-1], "key", "left"), "grams")
+    kinds, at = {}, grams.select("key")
+    for k in range(ORDER - 1, 0, -1):
+        at = kinds[k] = materialize(at.select(low("key", k).alias("key")).distinct(), f"kinds{k}")
+    below = materialize(kinds[1].join(shares[0], "key", "left").select("key", (F.coalesce("q", F.lit(0.0)) + left).alias("p")), "p1")
     for k in range(2, ORDER + 1):
-        at = 2 * (ORDER - k)
-        p = F.coalesce(F.col(f"s{at}"), F.lit(0.0)) + F.coalesce(F.col(f"s{at + 1}"), F.lit(1.0)) * p
-    return got.select(F.encode("gram", "UTF-8").alias("key"), "n", F.log10(p).alias("lp"))
-
-
-def score_words(words: DataFrame, grams: DataFrame, hot: int) -> DataFrame:
-    """(key, n, lp, chars, rare) of every distinct word; rare is its negative lp per character."""
-    near = words.sparkSession.sparkContext.broadcast(hot_rows(grams.filter(f"not {SPACED}"), hot, ["lp"]))
-
-    def spread(batches):
-        known = {k.decode(): v for k, v in near.value.dict().items()}
-        for pdf in batches:
-            for a in range(0, len(pdf), 20_000):
-                uid, key, n, lp, chars, word, count = [], [], [], [], [], [], []
-                for u, w, c in zip(*(pdf[x].iloc[a : a + 20_000] for x in ("uid", "key", "n")), strict=True):
-                    gs, total, rest = grams_of(w), 0.0, []
-                    for g in gs:
-                        got = known.get(g)
-                        if got is None:
-                            rest.append(g.encode())
-                        else:
-                            total += got
-                    m = len(rest)
-                    uid += [u] * (m + 1)
-                    key += [None, *rest]
-                    n += [1] * (m + 1)
-                    lp += [total] + [0.0] * m
-                    chars += [len(gs)] + [None] * m
-                    word += [w] + [None] * m
-                    count += [c] + [None] * m
-                yield pd.DataFrame({"uid": uid, "key": key, "n": n, "lp": lp, "chars": pd.array(chars, "Int64"), "word": word, "count": pd.array(count, "Int64")})
-
-    out = looked_up(with_uid(words), spread, grams, ["lp"], "chars long, word binary, count long")
-    return out.select(F.col("word").alias("key"), F.col("count").alias("n"), "lp", F.col("chars").cast("double").alias("chars"), (-F.col("lp") / F.col("chars")).alias("rare"))
+        rows = kinds[k].join(shares[k - 1], "key", "left") if k < ORDER else grams
+        rows = rows.withColumns({"ctx": F.shiftright("key", BITS), "low": low("key", k - 1)}).join(masses[k - 1], "ctx", "left")
+        p = F.coalesce("q", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("p")
+        told = rows.join(below.select(F.col("key").alias("low"), "p"), "low")
+        was, below = below, materialize(told.select("key", *(["n"] if k == ORDER else []), (F.log10(p).alias("lp") if k == ORDER else p.alias("p"))), f"p{k}")
+        discard(was, kinds.get(k))
+    discard(grams)
+    return below
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -164,71 +149,108 @@ def fit_ids(trusted: DataFrame, plain: DataFrame, max_train_docs: int) -> DataFr
     return half.join(size, F.col("lang").eqNullSafe(F.col("s_lang"))).orderBy(turn, "h", "t_id").limit(max_train_docs).select(F.col("t_id").alias("f_id"))
 
 
+FIGURES = "uid long, w long, key long, n long, lp double, chars long, r1 double, r2 double, repeats double, doc_id long, lang string"
+
+
+def document_rows(texts: list[str], near_k: np.ndarray, near_lp: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Per text its sums over the frequent grams (and its two rarest words of those known), and per text what must be looked up:
+    (i, w, key, n): grams of the text (w null), grams of one of its distinct words w, and with key null such a word's own sums."""
+    m, s = len(texts), Stream(texts)
+    at = np.minimum(np.searchsorted(near_k, s.key), max(0, len(near_k) - 1))
+    known = near_k[at] == s.key if len(near_k) else np.zeros(len(s.key), bool)
+    lp = np.where(known, near_lp[at], 0.0) if len(near_k) else np.zeros(len(s.key))
+    whose, h, word_at = s.words()
+    base = pd.DataFrame({"i": np.arange(m), "lp": np.bincount(s.doc, lp, m), "chars": np.bincount(s.doc, minlength=m)})
+    # repeated word 3-grams
+    n_words = np.bincount(whose, minlength=m) if len(whose) else np.zeros(m, np.int64)
+    new = np.zeros(m, np.int64)
+    if len(h) > 2:
+        tri = mix64(h[:-2] + mix64(h[1:-1] + mix64(h[2:])))
+        ok = whose[:-2] == whose[2:]
+        pairs = np.unique(np.stack([whose[:-2][ok].astype(np.uint64), tri[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.uint64)
+        new = np.bincount(pairs[0].astype(np.int64), minlength=m)
+    base["repeats"] = (np.maximum(0, n_words - 2) - new) / (n_words + SMOOTH)
+    # distinct words by the grams inside them
+    inside = np.flatnonzero((word_at[s.row + 1] >= 0) & (word_at[s.row + 1] == word_at[s.row + 2]) & (word_at[s.row + 2] == word_at[s.row + 3])) if len(s.row) else np.zeros(0, np.int64)
+    mine = word_at[s.row[inside] + 1]
+    total, size, open_ = (np.bincount(mine, x, len(h)) for x in (lp[inside], None, ~known[inside]))
+    words = np.flatnonzero(size)
+    one = words[np.unique(np.stack([whose[words].astype(np.uint64), h[words]]), axis=1, return_index=True)[1]] if len(words) else words
+    done, todo = one[open_[one] == 0], one[open_[one] > 0]
+    rare = -total[done] / size[done]
+    order = np.lexsort((-rare, whose[done]))
+    d, r = whose[done][order], rare[order]
+    rank = np.arange(len(d)) - np.searchsorted(d, d)
+    for k in (0, 1):
+        best = np.full(m, np.nan)
+        best[d[rank == k]] = r[rank == k]
+        base[f"r{k + 1}"] = best
+    parts = [pd.DataFrame({"i": whose[todo], "w": h[todo].view(np.int64), "key": np.nan, "n": 1, "lp": total[todo], "chars": size[todo]})]
+    rest = np.flatnonzero(~known)
+    both, n = np.unique(np.stack([s.doc[rest], s.key[rest]]), axis=1, return_counts=True) if len(rest) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+    parts.append(pd.DataFrame({"i": both[0], "w": pd.NA, "key": both[1], "n": n}))
+    chosen = np.zeros(len(h), bool)
+    chosen[todo] = True
+    hard = chosen[mine] & ~known[inside]
+    parts.append(pd.DataFrame({"i": whose[mine[hard]], "w": h[mine[hard]].view(np.int64), "key": s.key[inside[hard]], "n": 1}))
+    parts = [p.astype({"i": "int64", "w": "Int64", "key": "Int64", "n": "int64"}) for p in parts if len(p)]
+    return base, pd.concat(parts) if parts else pd.DataFrame({"i": []})
+
+
+def sums(docs: DataFrame, table: DataFrame, hot: int) -> DataFrame:
+    """doc_id, lang, chars, perplexity, worst, repeats for every row of docs (uid, doc_id, text, lang)."""
+    spark = docs.sparkSession
+    top = table.filter(F.col("n") >= count_floor(table, hot)).select("key", "lp").toArrow()
+    k, lp = top.column("key").to_numpy(), top.column("lp").to_numpy()
+    by = np.argsort(k)
+    near = spark.sparkContext.broadcast((k[by], lp[by]))
+
+    def spread(batches):
+        for pdf in batches:
+            for part in chunks(pdf, "text", 1_000_000):
+                base, rest = document_rows([clean(t) for t in part["text"]], *near.value)
+                uid = part["uid"].to_numpy()
+                base = base.assign(uid=uid, doc_id=part["doc_id"].astype("Int64").array, lang=part["lang"].array)
+                out = base if not len(rest) else pd.concat([base, rest.assign(uid=uid[rest["i"]])])
+                out = out.reindex(columns=[x.split()[0] for x in FIGURES.split(", ")])
+                yield out.assign(n=out["n"].fillna(1).astype("int64"), w=out["w"].astype("Int64"), key=out["key"].astype("Int64"), chars=out["chars"].astype("Int64"), doc_id=out["doc_id"].astype("Int64"))
+
+    sent = docs.mapInPandas(spread, FIGURES)
+    # rows that ask for nothing get a key of their own below zero, so that they spread over all tasks
+    asked = sent.withColumn("ask", F.coalesce("key", -1 - F.col("uid"))).join(table.select(F.col("key").alias("t_key"), F.col("lp").alias("t_lp")).hint("merge"), F.col("ask") == F.col("t_key"), "left")
+    gain = F.coalesce("lp", F.lit(0.0)) + F.coalesce(F.col("t_lp") * F.col("n"), F.lit(0.0))
+    keep = [F.max(c).alias(c) for c in ("repeats", "doc_id", "lang", "r1", "r2")]
+    size = F.sum(F.coalesce("chars", F.when(F.col("w").isNull() & F.col("key").isNull(), 0), F.lit(0))).alias("chars")
+    words = asked.select("uid", "w", "key", "chars", "repeats", "doc_id", "lang", "r1", "r2", gain.alias("gain")).groupBy("uid", "w").agg(F.sum("gain").alias("lp"), size, *keep)
+    whole = F.col("w").isNull()
+    each = F.when(whole, F.array_compact(F.array("r1", "r2"))).otherwise(F.array(-F.col("lp") / F.col("chars")))
+    out = words.groupBy("uid").agg(
+        F.sum(F.when(whole, F.col("lp"))).alias("lp"), F.sum(F.when(whole, F.col("chars"))).alias("chars"), F.max("repeats").alias("repeats"), F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"),
+        F.slice(F.sort_array(F.flatten(F.collect_list(each)), False), 1, 2).alias("rare"),
+    )
+    has = F.col("chars") > 0
+    worst = F.coalesce(F.try_element_at("rare", F.lit(-1)), F.lit(0.0))
+    return out.select("doc_id", "lang", "chars", F.when(has, F.pow(F.lit(10.0), -F.col("lp") / F.col("chars"))).alias("perplexity"), F.when(has, worst).alias("worst"), "repeats")
+
+
 def perplexities(docs: DataFrame, labels: DataFrame, max_train_docs: int, hot: int) -> DataFrame:
     """doc_id, lang, chars, perplexity, worst, repeats, held (trusted, not fitted on) for every row of docs."""
-    spark = docs.sparkSession
     trusted = materialize(trusted_ids(labels), "trusted-ids")
     trusted = F.broadcast(trusted) if trusted.count() <= 500_000 else trusted
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fitted = F.broadcast(materialize(fit_ids(trusted, plain, max_train_docs), "fit-ids"))
-    model, left = fit(materialize(counted_keys(plain.join(fitted, F.col("doc_id") == F.col("f_id"), "left_semi"), word_keys), "trusted"))
-    words = materialize(counted_keys(plain, word_keys), "words")
-    grams = materialize(score_grams(gram_counts(words), model, left), "grams")
-    crossing = grams.filter(SPACED).select("key", "n", "lp", F.lit(1.0).alias("chars"), F.lit(0.0).alias("rare"))
-    scored = materialize(score_words(words.filter(f"not {SPACED}"), grams, hot // 2).unionByName(crossing), "scored")
-    near_grams = spark.sparkContext.broadcast(hot_rows(scored.filter(SPACED), hot, ["lp"]))
-    near = spark.sparkContext.broadcast(hot_rows(scored.filter(f"not {SPACED}"), hot, ["lp", "chars", "rare"]))
-
-    def spread(batches):
-        known, crossed = near.value.dict(), {k.decode(): v for k, v in near_grams.value.dict().items()}
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                uid, key, n, lp, chars, rare, repeats, doc, lang = [], [], [], [], [], [], [], [], []
-                for u, d, t, g in zip(*(pdf[c].iloc[a : a + 500] for c in ("uid", "doc_id", "text", "lang")), strict=True):
-                    p, c, x, rest = 0.0, 0.0, [0.0, 0.0], []
-                    raw = b"" if t is None else t.encode()
-                    gs = across(raw)
-                    got = list(map(crossed.get, gs))
-                    if None in got:
-                        rest += Counter(g.encode() for g, v in zip(gs, got, strict=True) if v is None).items()
-                        got = [v for v in got if v is not None]
-                    p += sum(got)
-                    c += len(got)
-                    for w, k in Counter(raw.split()).items():
-                        got = known.get(w)
-                        if got is None:
-                            rest.append((w, k))
-                        else:
-                            p += got[0] * k
-                            c += got[1] * k
-                            if got[2] > x[1]:
-                                x = sorted((*x, got[2]), reverse=True)[:2]
-                    m = len(rest)
-                    uid += [u] * (m + 1)
-                    key += [None, *[w for w, _ in rest]]
-                    n += [1, *[k for _, k in rest]]
-                    lp += [p] + [0.0] * m
-                    chars += [c] + [0.0] * m
-                    rare += [x] + [None] * m
-                    repeats += [repeats_of(raw)] + [None] * m
-                    doc += [d] + [None] * m
-                    lang += [g] + [None] * m
-                yield pd.DataFrame({"uid": uid, "key": key, "n": n, "lp": lp, "chars": chars, "rare": [0.0] * len(uid), "rarest": rare, "repeats": pd.array(repeats, "Float64"), "doc": pd.array([None if pd.isna(x) else int(x) for x in doc], "Int64"), "lang": lang})
-
-    each = F.coalesce(F.col("rarest"), F.array_compact(F.array(F.when(F.col("t_rare") > 0, F.col("t_rare")))))
-    rarest = {"rarest": F.element_at(F.slice(F.sort_array(F.flatten(F.collect_list(each)), False), 1, 2), -1)}
-    sums = looked_up(with_uid(plain), spread, scored, ["lp", "chars", "rare"], "repeats double, doc long, lang string, rarest array<double>", rarest)
-    out = sums.select(F.col("doc").alias("doc_id"), "lang", F.round("chars").cast("long").alias("chars"), F.when(F.col("chars") > 0, F.pow(F.lit(10.0), -F.col("lp") / F.col("chars"))).alias("perplexity"), F.when(F.col("chars") > 0, F.col("rarest")).alias("worst"), "repeats")
+    model = fit(counted(plain.join(fitted, F.col("doc_id") == F.col("f_id"), "left_semi")))
+    out = sums(with_uid(plain), scored(counted(plain), *model), hot)
     marked = out.join(trusted, F.col("doc_id") == F.col("t_id"), "left").join(fitted, F.col("doc_id") == F.col("f_id"), "left")
     return marked.withColumn("held", F.expr("t_id is not null and f_id is null")).drop("t_id", "f_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.05, min_lang_docs: int = 20, max_train_docs: int = 20_000, hot: int = 1 << 17, min_repeats: float = 0.02) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.05, worst_margin: float = 1.15, min_lang_docs: int = 20, max_train_docs: int = 20_000, hot: int = 1 << 20, min_repeats: float = 0.02) -> DataFrame:
     """doc_id, lang, chars, perplexity, threshold, worst, repeats, kept for every row of docs (doc_id, text, lang)."""
     scored = materialize(perplexities(docs, labels, max_train_docs, hot), "perplexity")
     good = scored.filter("held and perplexity is not null")
     figures = ("perplexity", "worst", "repeats")
-    cuts = [(F.expr(f"percentile({x}, {quantile})") * margin).alias(f"own_{x}") for x in figures]
+    cuts = [(F.expr(f"percentile_approx({x}, {quantile}, 100000)") * (worst_margin if x == "worst" else margin)).alias(f"own_{x}") for x in figures]
     by_lang = good.groupBy(F.col("lang").alias("t_lang")).agg(*cuts, F.count("*").alias("docs")).filter(F.col("docs") >= min_lang_docs).filter("t_lang is not null").drop("docs")
     every = good.agg(*cuts).first()
     by_lang = materialize(by_lang, "by-lang")

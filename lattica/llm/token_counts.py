@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import counted_keys, hot_rows, looked_up, materialize, with_uid
+from lattica.llm.common import counted_keys, hot_rows, looked_up, materialize, short, with_uid
 
 BORDER = re.compile(rb" *[^ \n]+| +|\n")
 SPACE = "▁".encode()
@@ -50,12 +50,12 @@ def pieces_of(model, tokens: list[bytes]) -> list[int]:
 
 
 def piece_table(docs: DataFrame, model_path: str) -> DataFrame:
-    """(key, n, tokens): every distinct pre-token, its count in the corpus and its number of pieces."""
+    """(key, n, tokens): every distinct pre-token (the digest of a long one), its count in the corpus and its number of pieces."""
 
     def run(batches):
         model = load(model_path)
         for pdf in batches:
-            yield pdf.assign(tokens=pieces_of(model, list(pdf["key"])))
+            yield pdf.assign(tokens=pieces_of(model, list(pdf["key"])), key=[short(k) for k in pdf["key"]])
 
     return counted_keys(docs, pretokens).mapInPandas(run, "key binary, n long, tokens long")
 
@@ -63,7 +63,7 @@ def piece_table(docs: DataFrame, model_path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, hot: int = 1 << 17) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs (doc_id, text).
 
-    hot bounds the broadcast: the most frequent pre-tokens of at most 64 bytes. All others meet the whole table in
+    hot bounds the broadcast: the most frequent pre-tokens (long ones by digest). All others meet the whole table in
     a sort-merge join, after being counted within their document.
     """
     spark = docs.sparkSession
@@ -80,6 +80,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, hot: int =
                     raw = b"" if x is None else x.encode()
                     total, rest = 0, []
                     for t, k in Counter(pretokens(raw)).items():
+                        t = short(t) if len(t) > 64 else t
                         got = known.get(t)
                         if got is None:
                             rest.append((t, k))

@@ -1,5 +1,6 @@
 """The ten operators on small fixtures against brute force, with nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import functools
 import gzip
 import hashlib
 import math
@@ -96,42 +97,96 @@ def test_op1_bound_of_the_fit_leaves_the_thresholds_alone(spark):
     assert len(cuts) == 2  # the rare language has a threshold of its own
 
 
-def test_op1_is_a_distribution_and_matches_brute_force(spark):
-    words = Counter({b"the": 5, b"then": 3, b"on": 2, b"one": 1, b"at": 1})
-    wf = spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "key binary, n long")
-    model, left = kneser_ney.fit(wf)
-    chars = sorted({g[-1] for w in words for g in kneser_ney.grams_of(w)})
-    ctx = sorted({g[:-1] for w in words for g in kneser_ney.grams_of(w)})[:6] + ["zzzz"]
-    grams = spark.createDataFrame([(h + c, 1) for h in ctx for c in [*chars, "Z"]], "key string, n long")
-    p = {bytes(r["key"]).decode(): 10 ** r["lp"] for r in kneser_ney.score_grams(grams, model, left).collect()}
-    for h in ctx:
-        assert sum(p[h + c] for c in [*chars, "Z"]) == pytest.approx(1, abs=1e-6)
-    counts = {5: Counter()}
-    for w, n in words.items():
-        for g in kneser_ney.grams_of(w):
-            counts[5][g] += n
-    for k in (4, 3, 2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-
-    def brute(g):
-        def at(k):
-            if k == 0:
-                return 1 / (len(counts[1]) + 1)
-            c = counts[k]
+def op1_grams(text):
+    """The 5-grams of a text, written as stated: words with one space between, three starts and a space in front, a space behind."""
+    t = "\x01\x01\x01 " + " ".join(text.split()) + " "
+    return [t[i : i + 5] for i in range(len(t) - 4)] if text.split() else []
+
+
+class BruteKneserNey:
+    def __init__(self, texts):
+        self.counts = {5: Counter(g for t in texts for g in op1_grams(t))}
+        for k in (4, 3, 2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.known = {}
+
+    def p(self, g, k=5):
+        if k == 0:
+            return 1 / (len(self.counts[1]) + 1)
+        s, c = g[5 - k :], self.counts[k]
+        if (k, s) not in self.known:
             n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
             y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
             d = [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 for i in (1, 2, 3)]
             cut = lambda v: d[min(v, 3) - 1]
-            s = g[5 - k :]
             same = [v for x, v in c.items() if x[:-1] == s[:-1]]
-            if not same:
-                return at(k - 1)
-            return (max(0, c[s] - cut(c[s])) if c[s] else 0) / sum(same) + sum(map(cut, same)) / sum(same) * at(k - 1)
+            below = self.p(g, k - 1)
+            self.known[k, s] = below if not same else (max(0, c[s] - cut(c[s])) if c[s] else 0) / sum(same) + sum(map(cut, same)) / sum(same) * below
+        return self.known[k, s]
 
-        return at(5)
 
-    for g in list(p)[::3]:
-        assert p[g] == pytest.approx(brute(g), rel=1e-9)
+def op1_code(g):
+    return functools.reduce(lambda a, c: a << 12 | (ord(c) if ord(c) < 4000 else 4000 + ord(c) % 96), g, 0)
+
+
+def test_op1_is_a_distribution_and_matches_brute_force(spark):
+    texts = ["the then on", "the the one at the", "on then", "日本 語の ü"]
+    counts = Counter(op1_code(g) for t in texts for g in op1_grams(t))
+    model = kneser_ney.fit(spark.createDataFrame(list(counts.items()), "key long, n long"))
+    brute = BruteKneserNey(texts)
+    chars = sorted({g[-1] for t in texts for g in op1_grams(t)})
+    ctx = sorted({g[:-1] for t in texts for g in op1_grams(t)})[:8] + ["zzzz"]
+    grams = {op1_code(h + c): h + c for h in ctx for c in [*chars, "Z"]}
+    p = {grams[r["key"]]: 10 ** r["lp"] for r in kneser_ney.scored(spark.createDataFrame([(g, 1) for g in grams], "key long, n long"), *model).collect()}
+    for h in ctx:
+        assert sum(p[h + c] for c in [*chars, "Z"]) == pytest.approx(1, abs=1e-6)
+    for g in p:
+        assert p[g] == pytest.approx(brute.p(g), rel=1e-9)
+
+
+def test_op1_figures_thresholds_and_decisions_match_brute_force(spark):
+    rng = random.Random(21)
+    texts = {i: prose(rng, rng.randint(1, 40)) for i in range(90)}
+    texts |= {90: texts[0], 91: texts[0], 92: "zzz qqq " + texts[1], 93: "ab ab ab ab ab ab ab", 94: "x", 95: " \t\n", 96: None, 97: "a  b", 98: prose(rng, 3000) + " 日本語 İ", 99: ""}
+    lang = {i: ["en", "fr", None][i % 3] for i in texts}
+    docs = spark.createDataFrame([(i, t, lang[i]) for i, t in texts.items()] + [(0, texts[0], "en")], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    figures = kneser_ney.perplexities(docs, labels, 20_000, 300).collect()
+    fitted = {r["doc_id"] for r in figures if not r["held"] and r["doc_id"] < 80}
+    model = BruteKneserNey([texts[i] for i in fitted] + [texts[0]] * (0 in fitted))
+
+    def brute(t):
+        gs, ws = op1_grams(t or ""), (t or "").split()
+        if not gs:
+            return 0, None, None, 0.0
+        lp = [math.log10(model.p(g)) for g in gs]
+        rare = {}
+        for w in set(ws):
+            inside = [math.log10(model.p(x)) for x in {f" {w} "[i : i + 5]: 0 for i in range(len(w) - 2)} for _ in range(sum(f" {w} "[i : i + 5] == x for i in range(len(w) - 2)))] if f" {w} " else []
+            if inside:
+                rare[w] = -sum(inside) / len(inside)
+        top = sorted(rare.values(), reverse=True)[:2]
+        tri = list(zip(ws, ws[1:], ws[2:], strict=False))
+        return len(gs), 10 ** (-sum(lp) / len(gs)), top[-1] if top else 0.0, (len(tri) - len(set(tri))) / (len(ws) + 50)
+
+    want = {i: brute(t) for i, t in texts.items()}
+    assert len(figures) == len(texts) + 1
+    for r in figures:
+        n, p, w, x = want[r["doc_id"]]
+        assert r["chars"] == n and r["repeats"] == pytest.approx(x)
+        assert (r["perplexity"] is None) == (p is None) and (p is None or (r["perplexity"] == pytest.approx(p, rel=1e-9) and r["worst"] == pytest.approx(w, rel=1e-9)))
+
+    def bound(rows, j):
+        v = sorted(want[r["doc_id"]][j] for r in rows)
+        return v[max(0, math.ceil(0.9 * len(v)) - 1)] * (1.15 if j == 2 else 1.05)
+
+    held = [r for r in figures if r["held"] and r["perplexity"] is not None]
+    for r in kneser_ney.classify(docs, labels, quantile=0.9, min_lang_docs=5, hot=300).collect():
+        own = [h for h in held if h["lang"] == r["lang"]] if r["lang"] else []
+        use = own if len(own) >= 5 else held
+        _, p, w, x = want[r["doc_id"]]
+        good = p is not None and p <= bound(use, 1) and w <= bound(use, 2) and x <= max(bound(use, 3), 0.02)
+        assert r["kept"] == good, r
 
 
 def jaccard_links(rows, words=5):
