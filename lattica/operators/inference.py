@@ -2,54 +2,98 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import closure
-from lattica.plans.rounds import cut
+from lattica.plans.rounds import cut, cut_counted
+
+KEY = ["subject", "relation", "object"]
+
+
+def composed(first: DataFrame, second: DataFrame, live: DataFrame) -> DataFrame:
+    """(subject, relation, object): x r1 y of first with y r2 z of second under the rules live (rel1, rel2, target), z not x."""
+    a = first.select("subject", F.col("relation").alias("rel1"), F.col("object").alias("mid"))
+    b = second.select(F.col("subject").alias("mid"), F.col("relation").alias("rel2"), F.col("object"))
+    # the rules narrow each side before they meet
+    left = a.join(live.select("rel1", "rel2", "target"), "rel1")
+    right = b.join(live.select("rel2").distinct(), "rel2", "left_semi")
+    return left.join(right, ["mid", "rel2"]).filter("subject <> object").select("subject", F.col("target").alias("relation"), "object")
 
 
 def compose(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """(subject, relation, object) that one application of the rules adds: x r1 y, y r2 z, z not x; blocked pairs add nothing."""
-    live = rules.filter("target is not null")
-    first = facts.select("subject", F.col("relation").alias("rel1"), F.col("object").alias("mid"))
-    second = facts.select(F.col("subject").alias("mid"), F.col("relation").alias("rel2"), F.col("object"))
-    # the rules narrow each side before they meet
-    left = first.join(live.select("rel1", "rel2", "target"), "rel1")
-    made = left.join(second, ["mid", "rel2"]).filter("subject <> object").select("subject", F.col("target").alias("relation"), "object")
-    return made.distinct().join(facts.select("subject", "relation", "object"), ["subject", "relation", "object"], "left_anti")
+    made = composed(facts, facts, rules.filter("target is not null"))
+    return made.distinct().join(facts.select(*KEY), KEY, "left_anti")
+
 
+def derive_all(facts: DataFrame, rules: DataFrame, properties: DataFrame, max_rounds: int = 1000, reflexive: bool = False) -> DataFrame:
+    """(subject, relation, object, source): facts, the closure of transitive relations, then rules to fixpoint, semi-naive.
 
-def derive_all(facts: DataFrame, rules: DataFrame, properties: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(subject, relation, object, source): facts, the closure of transitive relations, then rules to fixpoint."""
-    base = cut(facts.select("subject", "relation", "object").distinct(), "base")
-    transitive = properties.filter("property = 'transitive'").select("relation")
-    of = base.join(transitive, "relation", "left_semi")
+    A round joins only what is new with all that is known, on both sides, and writes it to a table of its own; what is known is
+    the union of those tables. A rule r r -> r of a relation that is closed is left out of the first round, as it can add nothing
+    there. reflexive: keep x r x that cycles give. More rounds than max_rounds are an error.
+    """
+    base = cut(facts.select(*KEY).distinct(), "base")
+    moving = properties.filter("property = 'transitive'").select("relation").distinct()
+    of = base.join(F.broadcast(moving), "relation", "left_semi")
     tag = F.concat_ws("\x1f", "relation", "subject"), F.concat_ws("\x1f", "relation", "object")
-    closed = closure(of.select(tag[0].alias("subject"), tag[1].alias("object")))
+    closed = closure(of.select(tag[0].alias("subject"), tag[1].alias("object")), reflexive=reflexive)
     part = lambda c, i: F.split(c, "\x1f")[i]
-    known = cut(base.union(closed.select(part("subject", 1).alias("subject"), part("subject", 0).alias("relation"), part("object", 1).alias("object"))).distinct(), "known")
+    closed = closed.select(part("subject", 1).alias("subject"), part("subject", 0).alias("relation"), part("object", 1).alias("object"))
+    parts = [base.withColumn("source", F.lit("user")), cut(closed.join(base, KEY, "left_anti").withColumn("source", F.lit("derived")), "closed")]
+    live = F.broadcast(cut(rules.filter("target is not null").select("rel1", "rel2", "target").distinct(), "rules"))
+    own = moving.select(F.col("relation").alias("rel1"), F.col("relation").alias("rel2"), F.col("relation").alias("target"))
+    first_rules = F.broadcast(cut(live.join(own, ["rel1", "rel2", "target"], "left_anti"), "rules"))
+    delta = None
     for _ in range(max_rounds):
-        new = cut(compose(known, rules), "composed")
-        if not new.limit(1).count():
+        known = reduce(DataFrame.union, parts).select(*KEY)
+        made = composed(known, known, first_rules) if delta is None else composed(delta, known, live).union(composed(known, delta, live))
+        delta, n = cut_counted(made.distinct().join(known, KEY, "left_anti"), "composed")
+        if not n:
             break
-        known = cut(known.union(new), "known")
-    return known.join(base.withColumn("u", F.lit(1)), ["subject", "relation", "object"], "left").select("subject", "relation", "object", F.when(F.col("u") == 1, "user").otherwise("derived").alias("source"))
+        parts.append(delta.withColumn("source", F.lit("derived")))
+    else:
+        raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+    return reduce(DataFrame.union, parts)
+
+
+def derive_symmetric(facts: DataFrame, properties: DataFrame) -> DataFrame:
+    """(subject, relation, object): the reverses of facts of symmetric relations that are not stated."""
+    of = properties.filter("property = 'symmetric'").select("relation")
+    back = facts.join(F.broadcast(of), "relation", "left_semi").select(F.col("object").alias("subject"), "relation", F.col("subject").alias("object"))
+    return back.distinct().join(facts.select(*KEY), KEY, "left_anti")
 
 
 def detect_properties(facts: DataFrame, min_evidence: int = 3, share: float = 0.8) -> DataFrame:
-    """(relation, chains, closed, pairs, reversed, subjects, fan_out, transitive, symmetric, functional) per relation."""
-    e = facts.select("subject", "relation", "object").distinct()
-    b = e.select("relation", F.col("subject").alias("object"), F.col("object").alias("far"))
-    chains = e.join(b, ["relation", "object"]).filter("subject <> far").select("relation", "subject", "object", "far")
-    have = e.select("relation", "subject", F.col("object").alias("far"), F.lit(1).alias("hit"))
-    closed = chains.join(have, ["relation", "subject", "far"], "left").groupBy("relation").agg(F.count("*").alias("chains"), F.count("hit").alias("closed"))
-    rev = e.select("relation", F.col("subject").alias("object"), F.col("object").alias("subject"), F.lit(1).alias("hit"))
-    pairs = e.filter("subject <> object").join(rev, ["relation", "subject", "object"], "left").groupBy("relation").agg(F.count("*").alias("pairs"), F.count("hit").alias("reversed"))
-    fan = e.groupBy("relation", "subject").agg(F.count("*").alias("k")).groupBy("relation").agg(F.count("*").alias("subjects"), F.max("k").alias("fan_out"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = fan.join(closed, "relation", "left").join(pairs, "relation", "left").select("relation", zero("chains"), zero("closed"), zero("pairs"), zero("reversed"), "subjects", "fan_out")
-    return out.withColumns({
+    """(relation, chains, closed, pairs, reversed, subjects, fan_out, transitive, symmetric, functional) per relation.
+
+    chains: two-edge paths x y z, z not x, counted from the in- and out-degrees of y less the edges that turn back; closed:
+    those with an edge x z, counted by joining each edge x z with the edges out of x and into z - the paths themselves are
+    never made, and a relation without any edge x z to start from costs nothing.
+    """
+    e = cut(facts.select(*KEY).distinct(), "edges")
+    into = e.groupBy("relation", F.col("object").alias("y")).agg(F.count("*").alias("i"))
+    out = e.groupBy("relation", F.col("subject").alias("y")).agg(F.count("*").alias("o"))
+    degrees = cut(out.join(into, ["relation", "y"], "full").select("relation", "y", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("o", F.lit(0)).alias("o")), "degrees")
+    back = e.select("relation", F.col("subject").alias("object"), F.col("object").alias("subject"))
+    turned = e.join(back, KEY, "left_semi")  # edges whose reverse is stated, loops too
+    turns = turned.groupBy("relation").agg(F.count("*").alias("turns"), F.count(F.when(F.col("subject") != F.col("object"), 1)).alias("reversed"))
+    each = degrees.groupBy("relation").agg(F.sum(F.col("i") * F.col("o")).alias("paths"), F.count(F.when(F.col("o") > 0, 1)).alias("subjects"), F.max("o").alias("fan_out"))
+    pairs = e.groupBy("relation").agg(F.count(F.when(F.col("subject") != F.col("object"), 1)).alias("pairs"))
+    # only nodes y with edges in and out stand inside a path
+    inner = degrees.filter("i > 0 and o > 0").select("relation", "y")
+    one = e.join(inner.withColumnRenamed("y", "object"), ["relation", "object"], "left_semi").select("relation", "subject", F.col("object").alias("y"))
+    two = e.join(inner.withColumnRenamed("y", "subject"), ["relation", "subject"], "left_semi").select("relation", F.col("subject").alias("y"), "object")
+    starts, stops = one.select("relation", "subject").distinct(), two.select("relation", "object").distinct()
+    ends = e.filter("subject <> object").join(starts, ["relation", "subject"], "left_semi").join(stops, ["relation", "object"], "left_semi")
+    closed = ends.join(one, ["relation", "subject"]).join(two, ["relation", "y", "object"], "left_semi").groupBy("relation").agg(F.count("*").alias("closed"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    got = each.join(pairs, "relation").join(closed, "relation", "left").join(turns, "relation", "left")
+    got = got.select("relation", (F.col("paths") - zero("turns")).alias("chains"), zero("closed").alias("closed"), "pairs", zero("reversed").alias("reversed"), "subjects", "fan_out")
+    return got.withColumns({
         "transitive": (F.col("chains") >= min_evidence) & (F.col("closed") >= share * F.col("chains")),
         "symmetric": (F.col("pairs") >= min_evidence) & (F.col("reversed") >= share * F.col("pairs")),
         "functional": (F.col("subjects") >= min_evidence) & (F.col("fan_out") <= 1),

@@ -23,12 +23,12 @@ def query(facts: DataFrame, subject: str, relation: str, obj: str, rules: DataFr
         return spark.createDataFrame([(True, f"{s} {r} {o}", 0.95, "direct")], ANSWER)
     other = stated.agg(F.min("object")).first()[0]
     if other is not None and properties.filter((F.col("relation") == r) & (F.col("property") == "functional")).limit(1).count():
-        return spark.createDataFrame([(False, f"{s} {r} {other}", 0.90, "functional")], ANSWER)
+        return spark.createDataFrame([(False, f"{s} {r} {other}", 0.90, "contradiction")], ANSWER)
     both = [x["relation"] for x in properties.filter("property = 'symmetric'").select("relation").collect()]
-    found = graph.paths(facts, s, o, max_hops, both)
     fits = inference.composed_relation(F.col("relations"), rules, properties, r)
-    best = found.filter(fits).withColumn("confidence", inference.chain_confidence(F.col("relations"), rules, properties)).orderBy("hops", F.array_join("nodes", "|")).limit(1)
-    row = best.select(graph.path_text("relations", "nodes").alias("p"), "confidence").first()
+    found = graph.best_path(facts, s, o, max_hops, both, fits)
+    conf = inference.chain_confidence(F.col("relations"), rules, properties)
+    row = found.select(graph.path_text("relations", "nodes").alias("p"), conf.alias("confidence")).first()
     return spark.createDataFrame([(True, f"Yes. {s} {r} {o} because: {row['p']}", row["confidence"], "derived") if row else (None, "", 0.0, "unknown")], ANSWER)
 
 

@@ -45,6 +45,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if OPEN:
+        OPEN[-1].tables.append(out)
     return out
 
 
@@ -67,6 +69,36 @@ def discard(*tables: DataFrame | None) -> None:
             remove(t.sparkSession, t._cut_path)
 
 
+class Scratch:
+    """The tables cut within a `with scratch()`; all but those kept are deleted at its end."""
+
+    def __init__(self):
+        self.tables, self.kept = [], set()
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table._cut_path)
+        return table
+
+
+OPEN: list[Scratch] = []
+
+
+@contextmanager
+def scratch():
+    """For steps that end in tables they write: what else they wrote goes when they are done. Plans that still read one of the
+    other tables must not leave the block."""
+    mine = Scratch()
+    OPEN.append(mine)
+    try:
+        yield mine
+    finally:
+        OPEN.pop()
+        kept = [t for t in mine.tables if t._cut_path in mine.kept]
+        discard(*[t for t in mine.tables if t._cut_path not in mine.kept])
+        if OPEN:
+            OPEN[-1].tables += kept
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has cut."""
     remove(spark, shared_dir(spark))

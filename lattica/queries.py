@@ -54,7 +54,7 @@ def kg_triples_normalize_dedup(spark, sf_dir):
     return triples.normalized(raw.union(raw))
 
 
-@register(f"WITH {EDGES} SELECT count(*) AS lines, count(*) AS loaded, count(DISTINCT (s, r, o)) AS facts FROM edges")
+@register(f"WITH {EDGES} SELECT count(*) AS lines, count(*) AS loaded, count(DISTINCT (s, r, o)) AS facts, 0 AS skipped, count(*) - count(DISTINCT (s, r, o)) AS repeats FROM edges")
 def kg_load_stats(spark, sf_dir):
     return triples.load_stats(triples.star_edges(spark, sf_dir))
 
@@ -163,7 +163,7 @@ def kg_paths(spark, sf_dir):
     return found.select((F.col("hops") - 1).alias("hops"), F.concat_ws(",", F.slice("relations", 1, 3)).alias("relations"), F.concat_ws(",", F.slice("nodes", 1, 4)).alias("nodes"))
 
 
-@register(f"WITH {EDGES} SELECT c.o IS NOT NULL AS answer, CASE WHEN c.o IS NOT NULL THEN 'direct' ELSE 'functional' END AS method, CASE WHEN c.o IS NOT NULL THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence FROM (SELECT 1) LEFT JOIN (SELECT o FROM edges WHERE s = 'nation:3' AND r = 'in' AND o = 'region:1') c ON true")
+@register(f"WITH {EDGES} SELECT c.o IS NOT NULL AS answer, CASE WHEN c.o IS NOT NULL THEN 'direct' ELSE 'contradiction' END AS method, CASE WHEN c.o IS NOT NULL THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence FROM (SELECT 1) LEFT JOIN (SELECT o FROM edges WHERE s = 'nation:3' AND r = 'in' AND o = 'region:1') c ON true")
 def kg_query(spark, sf_dir):
     return answer.query(triples.star_edges(spark, sf_dir), "Nation:3", " in", "region:1", properties=schema.properties(spark, [("in", "functional")])).select("answer", "method", "confidence")
 
@@ -345,7 +345,7 @@ def preprocess_split(spark, sf_dir):
 
 @register(f"WITH {EDGES} SELECT DISTINCT s AS x, o AS n FROM edges WHERE r = 'in' AND s LIKE 'supplier:%' AND o <> 'nation:1'")
 def sparql_select_filter(spark, sf_dir):
-    return patterns.run(triples.star_edges(spark, sf_dir), "SELECT DISTINCT ?x ?n WHERE { ?x in ?n . FILTER(?x LIKE 'supplier:%' && ?n != \"nation:1\") }")
+    return patterns.run(triples.star_edges(spark, sf_dir), "SELECT DISTINCT ?x ?n WHERE { ?x in ?n . FILTER(STRSTARTS(?x, 'supplier:') && ?n != \"nation:1\") }")
 
 
 @register(f"WITH {EDGES} SELECT a.s AS o, a.o AS c, b.o AS n FROM edges a LEFT JOIN edges b ON a.o = b.s AND b.r = 'in' WHERE a.r = 'placed_by'")
@@ -363,12 +363,6 @@ def sparql_path(spark, sf_dir):
     return patterns.run(triples.star_edges(spark, sf_dir), "SELECT ?x WHERE { ?x in+ region:2 }")
 
 
-@register("SELECT s AS subject, r AS relation, o AS object FROM (" + f"WITH {EDGES} SELECT DISTINCT s, r, o FROM edges WHERE r = 'in')")
-def ntriples_round_trip(spark, sf_dir):
-    facts = triples.star_edges(spark, sf_dir).filter("relation = 'in'").withColumn("source", F.lit("user"))
-    return triples.from_ntriples(triples.to_ntriples(facts))
-
-
 @register("SELECT event_type, date_trunc('day', ts)::VARCHAR AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
     out = ingest.windowed_counts(table(spark, sf_dir, "events"))
@@ -425,9 +419,16 @@ def json_concept(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.json_concept(F.col("props")).alias("concept"))
 
 
+def loaded() -> None:
+    """Let the other modules of queries register theirs."""
+    import lattica.queries_store  # noqa: F401
+
+
 def queries() -> dict:
+    loaded()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    loaded()
     return dict(SQL)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from urllib.parse import unquote_plus
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = "http://example.org/kg/"
+RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
 def normal(c: Column | str) -> Column:
@@ -50,10 +54,15 @@ def map_aliases(triples: DataFrame, entities: DataFrame, relations: DataFrame) -
 
 
 def load_stats(raw: DataFrame) -> DataFrame:
-    """One row: lines, facts that have all parts, and distinct facts."""
-    n = [normal(c) for c in ("subject", "relation", "object")]
-    good = F.length(n[0]) * F.length(n[1]) * F.length(n[2]) > 0
-    return raw.agg(F.count("*").alias("lines"), F.count(F.when(good, 1)).alias("loaded"), F.countDistinct(F.when(good, F.struct(*n))).alias("facts"))
+    """One row: lines, facts that have all parts, distinct facts, and what was left out as short or as a repeat. Lines are
+    counted per fact first, so each is normalised once and one shuffle carries a fact once per task."""
+    rows = raw.select(*[normal(c).alias(c) for c in ("subject", "relation", "object")])
+    good = F.coalesce(F.length("subject") * F.length("relation") * F.length("object") > 0, F.lit(False))
+    key = [F.when(good, F.col(c)).alias(c) for c in ("subject", "relation", "object")]
+    per = rows.select(good.alias("good"), *key).groupBy("good", "subject", "relation", "object").agg(F.count("*").alias("n"))
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.when(F.col("good"), F.col("n"))), F.lit(0)).alias("loaded"), F.count(F.when(F.col("good"), 1)).alias("facts"),
+    ).withColumns({"skipped": F.col("lines") - F.col("loaded"), "repeats": F.col("loaded") - F.col("facts")})
 
 
 def upsert(facts: DataFrame, new: DataFrame) -> DataFrame:
@@ -81,30 +90,36 @@ def load(spark: SparkSession, path: str, names: tuple = ("triples", "relation_pr
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def uri(c: Column | str) -> Column:
-    """An entity's URI: spaces as underscores, percent-encoded but for - _ . / : @."""
-    enc = F.url_encode(F.regexp_replace(normal(c), " ", "_"))
-    for code, sign in (("%2F", "/"), ("%3A", ":"), ("%40", "@"), (r"\+", "_")):
-        enc = F.regexp_replace(enc, code, sign)
-    return F.concat(F.lit(BASE), enc)
+def uri(c: Column | str, kind: str = "entity") -> Column:
+    """The IRI of a name; kind: entity, relation or source. Percent-encoded but for - . / : @, a space as an underscore and an
+    underscore as %5F, so that no two names share an IRI."""
+    enc = F.replace(F.replace(F.url_encode(normal(c)), F.lit("_"), F.lit("%5F")), F.lit("+"), F.lit("_"))
+    for code, sign in (("%2F", "/"), ("%3A", ":"), ("%40", "@")):
+        enc = F.replace(enc, F.lit(code), F.lit(sign))
+    return F.concat(F.lit(f"{BASE}{kind}/"), enc)
 
 
 def from_uri(c: Column | str) -> Column:
+    """The name that uri encoded, whatever its kind; rdf:type is is_a; other IRIs are names as they stand."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(F.url_decode(F.substring(col, len(BASE) + 1, 1 << 20)), "_", " ")
+    own = F.regexp_extract(col, f"^{re.escape(BASE)}(?:entity|relation|source)/(.*)$", 1)
+    return F.when(col == RDF_TYPE, "is_a").when(own != "", F.url_decode(F.replace(own, F.lit("_"), F.lit("+")))).otherwise(col)
+
 
+def name_of(iri: str) -> str:
+    """from_uri for one IRI of a query text."""
+    m = re.fullmatch(f"{re.escape(BASE)}(?:entity|relation|source)/(.+)", iri)
+    return "is_a" if iri == RDF_TYPE else unquote_plus(m[1].replace("_", "+")) if m else iri
 
-def to_ntriples(facts: DataFrame) -> DataFrame:
-    """(value): N-Quads lines, the source as graph."""
-    node = lambda c: F.concat(F.lit("<"), uri(c), F.lit(">"))
-    return facts.select(F.concat_ws(" ", node("subject"), node("relation"), node("object"), node("source"), F.lit(".")).alias("value"))
 
+def query_name(c: Column | str) -> Column:
+    """Only letters, digits, _, -, . and spaces of a name, for building query text from it."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, "[^A-Za-z0-9_. -]", "")
 
-def from_ntriples(lines: DataFrame) -> DataFrame:
-    """(subject, relation, object) of N-Triples or N-Quads lines (value)."""
-    m = [F.regexp_extract("value", r"^<([^>]*)>\s+<([^>]*)>\s+<([^>]*)>", i) for i in (1, 2, 3)]
-    ok = lines.filter(F.col("value").rlike(r"^<[^>]*>\s+<[^>]*>\s+<[^>]*>"))
-    return normalized(ok.select(from_uri(m[0]).alias("subject"), from_uri(m[1]).alias("relation"), from_uri(m[2]).alias("object")))
+
+def without_article(c: Column | str) -> Column:
+    """Lower-cased and trimmed; a leading the, a or an goes where two words or more are left."""
+    return F.regexp_replace(normal(c), r"^(?:the|a|an) (?=\S+ )", "")
 
 
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +137,7 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer(facts: DataFrame) -> DataFrame:
+    """(name): names of two words or more, for entity linking."""
     names = facts.select(F.explode(F.array("subject", "object")).alias("name"))
     return names.filter(F.col("name").contains(" ")).distinct()
 
@@ -131,6 +147,3 @@ def latest_intervals(facts: DataFrame) -> DataFrame:
     dated = facts.filter("t_start is not null")
     return dated.groupBy("subject").agg(F.max_by(F.struct("t_start", "t_end"), "seq").alias("t")).select("subject", "t.t_start", "t.t_end")
 
-
-def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")
