@@ -22,7 +22,6 @@ do not cover one another; texts shorter than length stay whole; other columns ar
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -32,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import SpanHash, materialize, mix64, parts_for
+from lattica.plans.rounds import discard
 
 NONE = np.uint64((1 << 64) - 1)
+RENAME = np.uint64(0xA0761D6478BD642F)
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -109,7 +110,8 @@ class Chunk:
             moved[1:] = (least[1:] != least[:-1]) | ~ok[:-1] | (h[: len(least) - 1] == least[:-1])
             fine = np.flatnonzero(ok & moved)
             pos = self.leftmost(h, least, fine, w)
-            self.h, self.doc = h[pos], np.searchsorted(self.ends, pos, side="right")
+            # least hashes are small ones: named anew, so that buckets of names are of one size
+            self.h, self.doc = mix64(h[pos] ^ RENAME), np.searchsorted(self.ends, pos, side="right")
         else:
             self.h, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pos = pos
@@ -232,8 +234,9 @@ def reduced(sent: DataFrame, parts: int, work) -> DataFrame:
     return dealt.mapInPandas(run, "chunk long, bucket long, reply binary")
 
 
-def gathered(replies: DataFrame, name: str) -> DataFrame:
-    return replies.groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.collect_list(F.struct("bucket", "reply")).alias(name))
+def gathered(replies: DataFrame, name: str, parts: int) -> DataFrame:
+    """A chunk's replies as one list, dealt like the chunks themselves."""
+    return replies.repartition(parts, "chunk").groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.collect_list(F.struct("bucket", "reply")).alias(name))
 
 
 def work_flags(blobs: list[bytes]) -> list[bytes]:
@@ -243,15 +246,9 @@ def work_flags(blobs: list[bytes]) -> list[bytes]:
     return [squeeze(got[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def release(spark) -> None:
-    """Let go of finished rounds, so that their shuffle files are removed before the next round writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int = 2_000_000, seed: int = 5) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for every row of docs (doc_id, text)."""
-    spark, side = docs.sparkSession, length - gram
+    side = length - gram
     parts = parts_for(docs, 12)
     buckets = 4 * parts
     table = materialize(packed(docs, chunk_bytes), "packed")
@@ -266,7 +263,6 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int =
 
     schema = "chunk long, bucket long, sent binary"
     replies = materialize(reduced(table.mapInPandas(pairs, schema), parts, work_flags), "flags")
-    release(spark)
 
     def rerank(batches):
         hasher = SpanHash(4_000_000, seed)
@@ -312,11 +308,11 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int =
         cut = np.cumsum([0, *(len(p[0]) for p in parts)])
         return [squeeze(got[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    met = table.join(gathered(replies, "flag").hint("shuffle_hash"), F.col("chunk") == F.col("flag_chunk"), "left").select("chunk", "data", "flag")
+    dealt = table.repartition(parts, "chunk")
+    met = dealt.join(gathered(replies, "flag", parts).hint("shuffle_hash"), F.col("chunk") == F.col("flag_chunk"), "left").select("chunk", "data", "flag")
     second = materialize(met.mapInPandas(rerank, schema), "rerank")
-    release(spark)
+    discard(replies)
     replies2 = materialize(reduced(second.filter("bucket >= 0"), parts, work_masks), "masks")
-    release(spark)
 
     def finish(batches):
         for pdf in batches:
@@ -344,6 +340,6 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, chunk_bytes: int =
                 frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
                 yield frame.assign(doc_id=pd.array(frame["doc_id"], "Int64"))
 
-    spans = second.filter("bucket < 0").select(F.col("chunk").alias("s_chunk"), "sent")
-    last = table.join(spans.hint("shuffle_hash"), F.col("chunk") == F.col("s_chunk")).join(gathered(replies2, "mask").hint("shuffle_hash"), F.col("chunk") == F.col("mask_chunk"), "left")
+    spans = second.filter("bucket < 0").select(F.col("chunk").alias("s_chunk"), "sent").repartition(parts, "s_chunk")
+    last = dealt.join(spans.hint("shuffle_hash"), F.col("chunk") == F.col("s_chunk")).join(gathered(replies2, "mask", parts).hint("shuffle_hash"), F.col("chunk") == F.col("mask_chunk"), "left")
     return last.select("data", "sent", "mask").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
