@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import MASK, SpanHash, chunks, components, local_components, materialize, mix64, shuffle_parts, with_uid
+from lattica.plans.rounds import scratch
 
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -265,17 +266,19 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float
     runs = math.ceil(math.log(1 - recall) / math.log(1 - threshold**2))  # a pair that must pass two levels
     least = math.floor(threshold * t - 4 * math.sqrt(t * threshold * (1 - threshold)))
     rows = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    marked = materialize(signed(rows, words, t, seed), "signed")
-    classes = marked.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("uid").alias("c"), F.count("*").alias("mult"), F.min("doc_id").alias("class_id"), F.min_by("sig", "uid").alias("sig"))
-    classes = materialize(classes, "classes")
-    groups = materialize(candidate_groups(leaves(classes, runs, t, threshold, limit, depth, seed), classes, least, limit), "groups")
-    found = materialize(links(groups, classes, rows, words, threshold, seed, broadcast_rows), "links")
-    roots = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "r_c")
-    degree = found.groupBy(F.col("c").alias("d_c")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    lean = classes.select("h1", "h2", "c", "mult", "class_id")
-    told = lean.join(degree, F.col("c") == F.col("d_c"), "left").join(roots, F.col("c") == F.col("r_c"), "left")
-    told = told.select("h1", "h2", "mult", "class_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("root", "c").alias("root"))
-    told = materialize(told, "told")
+    with scratch() as tables:
+        marked = materialize(signed(rows, words, t, seed), "signed")
+        classes = marked.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("uid").alias("c"), F.count("*").alias("mult"), F.min("doc_id").alias("class_id"), F.min_by("sig", "uid").alias("sig"))
+        classes = materialize(classes, "classes")
+        marked = tables.keep(materialize(marked.drop("sig"), "named"))
+        groups = materialize(candidate_groups(leaves(classes, runs, t, threshold, limit, depth, seed), classes, least, limit), "groups")
+        found = materialize(links(groups, classes, rows, words, threshold, seed, broadcast_rows), "links")
+        roots = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "r_c")
+        degree = found.groupBy(F.col("c").alias("d_c")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        lean = classes.select("h1", "h2", "c", "mult", "class_id")
+        told = lean.join(degree, F.col("c") == F.col("d_c"), "left").join(roots, F.col("c") == F.col("r_c"), "left")
+        told = told.select("h1", "h2", "mult", "class_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("root", "c").alias("root"))
+        told = tables.keep(materialize(told, "told"))
     ids = told.groupBy(F.col("root").alias("i_root")).agg(F.min("class_id").alias("component_id"))
     classed = told.join(ids, F.col("root") == F.col("i_root")).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "class_id", (F.col("n") + F.col("mult") - 1).alias("n_links"), F.col("k").alias("n_class_links"), "component_id")
     lonely = F.col("h1").isNull()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import materialize
+from lattica.plans.rounds import scratch
 
 BREAK = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 FEW = 50_000
@@ -105,7 +106,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, probe
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     windows = materialize(windows_of(benchmark, window), "windows")
-    found = candidates(rows, windows, probes if slack is None else 1, limit)
+    with scratch() as tables:
+        found = tables.keep(candidates(rows, windows, probes if slack is None else 1, limit))
     per_doc = found.join(sized_broadcast(windows, limit), "win").groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_list(F.struct("start", "words", "items")).alias("c"))
     met = folded(rows).join(per_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("c_id")), "left").select("doc_id", F.expr(split_words("text")).alias("ws"), "c")
     if slack is None:
