@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import chunks, count_floor, materialize, mix64, with_uid
-from lattica.plans.rounds import discard
+from lattica.plans.rounds import discard, scratch
 
 ORDER, BITS = 5, 12
 START, SPACE, OWN, SHARED = 1, 32, 4000, 96
@@ -152,6 +152,11 @@ def fit_ids(trusted: DataFrame, plain: DataFrame, max_train_docs: int) -> DataFr
 FIGURES = "uid long, w long, key long, n long, lp double, chars long, r1 double, r2 double, repeats double, doc_id long, lang string"
 
 
+def first_of(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Indices of one item of each distinct (owner, 64-bit hash)."""
+    return np.unique(mix64(h + mix64(owner.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+
+
 def document_rows(texts: list[str], near_k: np.ndarray, near_lp: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Per text its sums over the frequent grams (and its two rarest words of those known), and per text what must be looked up:
     (i, w, key, n): grams of the text (w null), grams of one of its distinct words w, and with key null such a word's own sums."""
@@ -167,15 +172,14 @@ def document_rows(texts: list[str], near_k: np.ndarray, near_lp: np.ndarray) ->
     if len(h) > 2:
         tri = mix64(h[:-2] + mix64(h[1:-1] + mix64(h[2:])))
         ok = whose[:-2] == whose[2:]
-        pairs = np.unique(np.stack([whose[:-2][ok].astype(np.uint64), tri[ok]]), axis=1) if ok.any() else np.zeros((2, 0), np.uint64)
-        new = np.bincount(pairs[0].astype(np.int64), minlength=m)
+        new = np.bincount(whose[:-2][ok][first_of(whose[:-2][ok], tri[ok])], minlength=m)
     base["repeats"] = (np.maximum(0, n_words - 2) - new) / (n_words + SMOOTH)
     # distinct words by the grams inside them
     inside = np.flatnonzero((word_at[s.row + 1] >= 0) & (word_at[s.row + 1] == word_at[s.row + 2]) & (word_at[s.row + 2] == word_at[s.row + 3])) if len(s.row) else np.zeros(0, np.int64)
     mine = word_at[s.row[inside] + 1]
     total, size, open_ = (np.bincount(mine, x, len(h)) for x in (lp[inside], None, ~known[inside]))
     words = np.flatnonzero(size)
-    one = words[np.unique(np.stack([whose[words].astype(np.uint64), h[words]]), axis=1, return_index=True)[1]] if len(words) else words
+    one = words[first_of(whose[words], h[words])]
     done, todo = one[open_[one] == 0], one[open_[one] > 0]
     rare = -total[done] / size[done]
     order = np.lexsort((-rare, whose[done]))
@@ -187,8 +191,10 @@ def document_rows(texts: list[str], near_k: np.ndarray, near_lp: np.ndarray) ->
         base[f"r{k + 1}"] = best
     parts = [pd.DataFrame({"i": whose[todo], "w": h[todo].view(np.int64), "key": np.nan, "n": 1, "lp": total[todo], "chars": size[todo]})]
     rest = np.flatnonzero(~known)
-    both, n = np.unique(np.stack([s.doc[rest], s.key[rest]]), axis=1, return_counts=True) if len(rest) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-    parts.append(pd.DataFrame({"i": both[0], "w": pd.NA, "key": both[1], "n": n}))
+    rest = rest[np.lexsort((s.key[rest], s.doc[rest]))]
+    d, k = s.doc[rest], s.key[rest]
+    start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])) if len(rest) else rest
+    parts.append(pd.DataFrame({"i": d[start], "w": pd.NA, "key": k[start], "n": np.diff(np.append(start, len(rest)))}))
     chosen = np.zeros(len(h), bool)
     chosen[todo] = True
     hard = chosen[mine] & ~known[inside]
@@ -247,7 +253,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, max_train_docs: int, hot: i
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, margin: float = 1.05, worst_margin: float = 1.15, min_lang_docs: int = 20, max_train_docs: int = 20_000, hot: int = 1 << 20, min_repeats: float = 0.02) -> DataFrame:
     """doc_id, lang, chars, perplexity, threshold, worst, repeats, kept for every row of docs (doc_id, text, lang)."""
-    scored = materialize(perplexities(docs, labels, max_train_docs, hot), "perplexity")
+    with scratch() as tables:
+        scored = tables.keep(materialize(perplexities(docs, labels, max_train_docs, hot), "perplexity"))
     good = scored.filter("held and perplexity is not null")
     figures = ("perplexity", "worst", "repeats")
     cuts = [(F.expr(f"percentile_approx({x}, {quantile}, 100000)") * (worst_margin if x == "worst" else margin)).alias(f"own_{x}") for x in figures]

@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import parts_for, shared_dir
+from lattica.llm.common import parts_for
+from lattica.plans.rounds import shared_dir
 
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "file", "length")}
 NAMESPACE = uuid.UUID("6c1a9f3e-52b6-4c55-9d5f-0f6d5c0a7e11")
