@@ -16,9 +16,9 @@ def bind(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * y)
 
 
-def permute(v: Column, shift: int) -> Column:
+def permute(v: Column, shift: int | Column) -> Column:
     """Rolled right by shift."""
-    k = F.pmod(F.lit(shift), F.size(v)).cast("int")
+    k = F.pmod(F.lit(shift) if isinstance(shift, int) else shift, F.size(v)).cast("int")
     return F.concat(F.slice(v, F.size(v) - k + 1, k), F.slice(v, F.lit(1), F.size(v) - k))
 
 
@@ -35,44 +35,101 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def named(name: Column, dim: int) -> Column:
-    """The vector of a name: one hash bit per place."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.xxhash64(name, i).bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1))
+    """The vector of a name: place i is -1 where hex digit i of md5(name:0) md5(name:1) ... is 8 or more."""
+    text = F.concat(*[F.md5(F.concat(name, F.lit(f":{k}")).cast("binary")) for k in range(-(-dim // 32))])
+    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.when(F.substring(text, i, F.lit(1)) >= "8", -1).otherwise(1))
+
+
+def summed(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, others: tuple = ()) -> DataFrame:
+    """Per group of keys the sum of its vectors (weighted), array<double>, and further aggregates: one array per group and task is
+    kept and shuffled, never a row per place."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
+    if weight is not None:  # weights may be negative, which the summarizer refuses: they are multiplied in
+        w = weight.cast("double")
+        v = array_to_vector(F.transform(vector, lambda x: x.cast("double") * w))
+    # the summarizer keeps means, so its sums are off by rounding
+    return df.groupBy(*keys).agg(F.transform(vector_to_array(Summarizer.sum(v)), lambda x: F.round(x, 6)).alias(vector), *others)
 
 
 def bundled(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None) -> DataFrame:
-    """Per group of keys the majority vector (ties +1): sums per place, combined before the shuffle."""
-    w = F.lit(1) if weight is None else weight
-    places = df.select(*keys, w.alias("_w"), F.posexplode(vector).alias("_i", "_x"))
-    sums = places.groupBy(*keys, "_i").agg(F.sum(F.col("_x") * F.col("_w")).alias("_s"))
-    pairs = F.array_sort(F.collect_list(F.struct("_i", "_s")))
-    return sums.groupBy(*keys).agg(sign(F.transform(pairs, lambda p: p["_s"])).alias(vector))
-
-
-def retrieve(queries: DataFrame, patterns: DataFrame, top_k: int, beta: float = 8.0, min_similarity: float = -1.0, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, pattern_id, sim, weight): softmax memory; per query the top_k patterns, then those similar enough.
-
-    Queries are broadcast against all patterns, split over tasks, in blocks of about max_queries by hash of id, each cut
-    by a table; two combinable aggregates (sum of exp, and the kept best per task and query) bound what is shuffled.
-    """
-    from lattica.plans.rounds import cut
-
-    blocks = -(-queries.count() // max_queries)
-    if blocks <= 1:
-        return retrieve_block(queries, patterns, top_k, beta, min_similarity)
-    dealt = cut(queries.select("id", "vec").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))), "queries")
-    out = None
-    for b in range(blocks):
-        part = cut(retrieve_block(dealt.filter(F.col("_b") == b), patterns, top_k, beta, min_similarity), "retrieved")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def retrieve_block(queries: DataFrame, patterns: DataFrame, top_k: int, beta: float, min_similarity: float) -> DataFrame:
-    q = F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("_q")))
-    scored = patterns.select(F.col("id").alias("pattern_id"), F.col("vec").alias("_p")).join(q, F.lit(True)).select("query_id", "pattern_id", cosine(F.col("_q"), F.col("_p")).alias("sim"))
-    total = scored.groupBy("query_id").agg(F.sum(F.exp(F.col("sim") * beta)).alias("z"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.desc("pattern_id"))
-    best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k)
-    return best.join(total, "query_id").filter(F.col("sim") >= min_similarity).select("query_id", "pattern_id", "sim", (F.exp(F.col("sim") * beta) / F.col("z")).alias("weight"))
+    """Per group of keys the majority vector (ties +1)."""
+    return summed(df, keys, vector, weight).withColumn(vector, sign(F.col(vector)))
+
+
+def bundle(*vectors: Column) -> Column:
+    """The majority of some vector columns (ties +1); one is unchanged."""
+    total = vectors[0]
+    for v in vectors[1:]:
+        total = F.zip_with(total, v, lambda x, y: x + y)
+    return vectors[0] if len(vectors) == 1 else sign(total)
+
+
+def folded(vectors: Column) -> Column:
+    """An array of vectors bundled two by two from the left, ties +1 at every step (so their order matters)."""
+    first = F.get(vectors, F.lit(0))
+    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), first, lambda a, v: sign(F.zip_with(a, v, lambda x, y: x + y)))
+
+
+def record(pairs: Column, dim: int) -> Column:
+    """array<struct<role, filler>> as one vector: the majority of role bound with filler."""
+    parts = F.transform(pairs, lambda p: bind(named(p["role"], dim), named(p["filler"], dim)))
+    return sign(total(parts, dim))
+
+
+def ordered(names: Column, dim: int) -> Column:
+    """A sequence of names as one vector: each bound with the identity rolled by its place."""
+    identity = named(F.lit("_seq_identity"), dim)
+    parts = F.transform(names, lambda n, i: bind(named(n, dim), permute(identity, i)))
+    return sign(total(parts, dim))
+
+
+def total(parts: Column, dim: int) -> Column:
+    zero = F.array_repeat(F.lit(0), dim)
+    return F.aggregate(parts, zero, lambda a, v: F.zip_with(a, v, lambda x, y: (x + y).cast("int")))
+
+
+def rule90(bits: Column, steps: int) -> Column:
+    """Bits after some steps of the automaton in which each becomes its left neighbour xor its right one, the ends meeting."""
+    turn = lambda v: F.zip_with(permute(v, 1), permute(v, -1), lambda x, y: x.bitwiseXOR(y))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), bits, lambda v, _: turn(v)) if steps else bits
+
+
+def projected(bits: Column, width: int, seed: int = 42, picks: int = 3) -> Column:
+    """width bits, each the xor of picks seeded places of an array of bits of any length (none: 0, 1)."""
+    b = F.when(F.size(bits) == 0, F.array(F.lit(0), F.lit(1))).otherwise(bits)
+
+    def one(i: Column) -> Column:
+        out = None
+        for k in range(picks):
+            at = F.pmod(F.xxhash64(F.lit(seed), i, F.lit(k)), F.size(b)).cast("int")
+            x = F.get(b, at)
+            out = x if out is None else out.bitwiseXOR(x)
+        return out
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one)
+
+
+def reservoir(bits: Column, width: int = 256, steps: int = 50, seed: int = 42) -> Column:
+    """The vector of +1 and -1 that a bit array leads to: projected on width places, then `rule90`."""
+    return F.transform(rule90(projected(bits, width, seed), steps), lambda x: x * 2 - 1)
+
+
+def char_vector(letter: Column, dim: int) -> Column:
+    return named(F.concat(F.lit("__char_"), F.lower(letter)), dim)
+
+
+def token_vector(token: Column, dim: int) -> Column:
+    """A word by its letters: each rolled by its place, and pairs of letters bound, all bundled."""
+    letters = F.filter(F.split(token, ""), lambda c: c != "")
+    singles = F.transform(letters, lambda c, i: permute(char_vector(c, dim), i))
+    pairs = F.transform(F.slice(letters, 1, F.greatest(F.size(letters) - 1, F.lit(0))), lambda c, i: bind(char_vector(c, dim), permute(char_vector(F.get(letters, i + 1), dim), F.lit(1))))
+    return sign(total(F.concat(singles, pairs), dim))
+
+
+def phrase_vector(tokens: Column, dim: int) -> Column:
+    """Words by place: each word's vector rolled by its index and bound with one of four roles in turn, bundled."""
+    parts = F.transform(tokens, lambda t, i: bind(permute(token_vector(t, dim), i), named(F.concat(F.lit("role_"), F.pmod(i, F.lit(4)).cast("string")), dim)))
+    return sign(total(parts, dim))

@@ -250,15 +250,15 @@ def cooccurrence(spark, sf_dir):
 
 
 @register(
-    "WITH g AS (SELECT lang AS sense, w AS word, count(*) cnt FROM (SELECT lang, unnest(" + CONTENT.format(t="text") + ") w FROM documents WHERE doc_id % 2 = 0) GROUP BY ALL), "
-    "c AS (SELECT doc_id AS key, unnest(" + CONTENT.format(t="text") + ") word FROM documents WHERE doc_id % 2 = 1), "
+    "WITH g AS (SELECT lang AS sense, w AS word, count(*) cnt FROM (SELECT lang, unnest(" + CONTENT.format(t="text") + ") w FROM documents) GROUP BY ALL), "
+    "c AS (SELECT doc_id AS key, unnest(" + CONTENT.format(t="text") + ") word FROM documents), "
     "s AS (SELECT key, sense, sum(cnt)::BIGINT score FROM c JOIN g USING (word) GROUP BY ALL) SELECT key, sense, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, sense) r FROM s) WHERE r = 1"
 )
 def lesk_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = docs.select("doc_id", "lang", F.explode(text.content_words(text.tokenize(F.col("text")))).alias("word"))
-    glosses = words.filter("doc_id % 2 = 0").groupBy(F.col("lang").alias("sense"), "word").agg(F.count("*").alias("cnt"))
-    return senses.gloss_overlap(words.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("key"), "word"), glosses)
+    glosses = words.groupBy(F.col("lang").alias("sense"), "word").agg(F.count("*").alias("cnt"))
+    return senses.gloss_overlap(words.select(F.col("doc_id").alias("key"), "word"), glosses)
 
 
 @register(
@@ -287,16 +287,6 @@ def dedup_specificity(spark, sf_dir):
     return senses.best_per_canonical(rows).select("seq", text.entity_name(F.col("subject")).alias("subject"), "relation")
 
 
-@register(
-    "WITH q AS (SELECT vec_id i, embedding::DOUBLE[] v FROM embeddings WHERE vec_id < 5), s AS (SELECT q.i, e.vec_id j, list_dot_product(q.v, e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) c FROM q, embeddings e), "
-    "z AS (SELECT i, sum(exp(8 * c)) z FROM s GROUP BY i) SELECT s.i AS query_id, s.j AS pattern_id, round(c, 6) AS sim, round(exp(8 * c) / z, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, j DESC) r FROM s) s JOIN z USING (i) WHERE r <= 5 AND c >= 0.1"
-)
-def mem_retrieve_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    got = vectors.retrieve(e.filter("id < 5"), e, 5, 8.0, 0.1)
-    return got.select("query_id", "pattern_id", F.round("sim", 6).alias("sim"), F.round("weight", 6).alias("weight"))
-
-
 @register(
     "WITH p AS (SELECT label, unnest(range(1, 65)) i, unnest(embedding) x FROM embeddings), s AS (SELECT label, i, sum(CASE WHEN x >= 0 THEN 1 ELSE -1 END) s FROM p GROUP BY ALL) "
     "SELECT label, string_agg(CASE WHEN s >= 0 THEN '+' ELSE '-' END, '' ORDER BY i) AS signs FROM s GROUP BY label"
@@ -403,14 +393,11 @@ def temporal_derive(spark, sf_dir):
     return temporal.derive(stated, intervals.composition(spark))
 
 
-@register("SELECT 'r' || p_partkey AS relation, 'r' || (p_partkey - p_partkey % 8 + (SELECT min(p_partkey) FROM part) * 0) AS canonical FROM part WHERE p_partkey - p_partkey % 8 >= (SELECT min(p_partkey) FROM part) AND p_partkey <= (SELECT max(p_partkey) - max(p_partkey) % 8 - 1 FROM part)")
+@register("SELECT DISTINCT unnest(['r' || p_partkey, 'r' || (p_partkey - p_partkey % 8)]) AS relation, 'r' || (p_partkey - p_partkey % 8) AS canonical FROM part WHERE p_partkey % 8 > 0")
 def relation_synonyms(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    low, high = p.agg(F.min("p_partkey"), F.max("p_partkey")).first()
     k = F.col("p_partkey")
-    whole = p.filter((k - k % 8 >= low) & (k <= high - high % 8 - 1))
     name = lambda c: F.concat(F.lit("r"), c.cast("string"))
-    taught = whole.filter(k % 8 > 0).select(k.alias("seq"), name(k - k % 8).alias("canonical"), name(k).alias("synonym"))
+    taught = table(spark, sf_dir, "part").filter(k % 8 > 0).select(k.alias("seq"), name(k - k % 8).alias("canonical"), name(k).alias("synonym"))
     return senses.synonym_groups(taught)
 
 
@@ -421,7 +408,8 @@ def json_concept(spark, sf_dir):
 
 def loaded() -> None:
     """Let the other modules of queries register theirs."""
-    import lattica.queries_store  # noqa: F401
+    import lattica.queries_store
+    import lattica.queries_words  # noqa: F401
 
 
 def queries() -> dict:
