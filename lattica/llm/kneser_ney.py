@@ -152,18 +152,47 @@ def fit_ids(trusted: DataFrame, plain: DataFrame, max_train_docs: int) -> DataFr
 FIGURES = "uid long, w long, key long, n long, lp double, chars long, r1 double, r2 double, repeats double, doc_id long, lang string"
 
 
+class Near:
+    """The frequent grams for a broadcast: keys sorted, their lp, and their order by count. A worker builds once a table of SLOTS
+    places in which of the grams that share a place the most frequent stands; the others are found by bisection."""
+
+    SLOTS = 21
+
+    def __init__(self, key: np.ndarray, lp: np.ndarray, n: np.ndarray):
+        by = np.argsort(key)
+        self.key, self.lp, self.order, self.slot = key[by], lp[by], np.argsort(n[by], kind="stable").astype(np.int32), None
+
+    def __getstate__(self):
+        return self.__dict__ | {"slot": None}
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, lp; 0 where not known) of each gram."""
+        if not len(self.key) or not len(key):
+            return np.zeros(len(key), bool), np.zeros(len(key))
+        if self.slot is None:
+            self.slot = np.zeros(1 << self.SLOTS, np.int32)
+            self.slot[self.place(self.key[self.order])] = self.order
+        at = self.slot[self.place(key)].astype(np.int64)
+        known = self.key[at] == key
+        miss = np.flatnonzero(~known)
+        again = np.minimum(np.searchsorted(self.key, key[miss]), len(self.key) - 1)
+        at[miss], known[miss] = again, self.key[again] == key[miss]
+        return known, np.where(known, self.lp[at], 0.0)
+
+
 def first_of(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Indices of one item of each distinct (owner, 64-bit hash)."""
     return np.unique(mix64(h + mix64(owner.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
 
 
-def document_rows(texts: list[str], near_k: np.ndarray, near_lp: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame]:
+def document_rows(texts: list[str], near: Near) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Per text its sums over the frequent grams (and its two rarest words of those known), and per text what must be looked up:
     (i, w, key, n): grams of the text (w null), grams of one of its distinct words w, and with key null such a word's own sums."""
     m, s = len(texts), Stream(texts)
-    at = np.minimum(np.searchsorted(near_k, s.key), max(0, len(near_k) - 1))
-    known = near_k[at] == s.key if len(near_k) else np.zeros(len(s.key), bool)
-    lp = np.where(known, near_lp[at], 0.0) if len(near_k) else np.zeros(len(s.key))
+    known, lp = near.find(s.key)
     whose, h, word_at = s.words()
     base = pd.DataFrame({"i": np.arange(m), "lp": np.bincount(s.doc, lp, m), "chars": np.bincount(s.doc, minlength=m)})
     # repeated word 3-grams
@@ -206,15 +235,13 @@ def document_rows(texts: list[str], near_k: np.ndarray, near_lp: np.ndarray) ->
 def sums(docs: DataFrame, table: DataFrame, hot: int) -> DataFrame:
     """doc_id, lang, chars, perplexity, worst, repeats for every row of docs (uid, doc_id, text, lang)."""
     spark = docs.sparkSession
-    top = table.filter(F.col("n") >= count_floor(table, hot)).select("key", "lp").toArrow()
-    k, lp = top.column("key").to_numpy(), top.column("lp").to_numpy()
-    by = np.argsort(k)
-    near = spark.sparkContext.broadcast((k[by], lp[by]))
+    top = table.filter(F.col("n") >= count_floor(table, hot)).select("key", "lp", "n").toArrow()
+    near = spark.sparkContext.broadcast(Near(*(top.column(c).to_numpy() for c in ("key", "lp", "n"))))
 
     def spread(batches):
         for pdf in batches:
             for part in chunks(pdf, "text", 1_000_000):
-                base, rest = document_rows([clean(t) for t in part["text"]], *near.value)
+                base, rest = document_rows([clean(t) for t in part["text"]], near.value)
                 uid = part["uid"].to_numpy()
                 base = base.assign(uid=uid, doc_id=part["doc_id"].astype("Int64").array, lang=part["lang"].array)
                 out = base if not len(rest) else pd.concat([base, rest.assign(uid=uid[rest["i"]])])
