@@ -54,3 +54,39 @@ def composition(spark: SparkSession) -> DataFrame:
     spans = [(a, b) for a in range(6) for b in range(a + 1, 6)]
     rows = {(relation_of(*x, *y), relation_of(*y, *z), relation_of(*x, *z)) for x, y, z in product(spans, repeat=3)}
     return spark.createDataFrame(sorted(rows), "first string, second string, result string")
+
+
+# The relations that are transitive.
+TRANSITIVE = ("before", "after", "during", "contains", "starts", "started_by", "finishes", "finished_by", "equals")
+
+
+def is_transitive(relation: Column) -> Column:
+    return relation.isin(*TRANSITIVE)
+
+
+def is_symmetric(relation: Column) -> Column:
+    return relation == "equals"
+
+
+def is_asymmetric(relation: Column) -> Column:
+    return relation != "equals"
+
+
+def as_relation(name: Column) -> Column:
+    """A relation's name, lower-cased, if it is one of the thirteen."""
+    return F.when(F.lower(name).isin(*INVERSE), F.lower(name))
+
+
+def has_years(start: Column, end: Column) -> Column:
+    return start.isNotNull() | end.isNotNull()
+
+
+def is_interval(start: Column, end: Column) -> Column:
+    """Both ends set."""
+    return start.isNotNull() & end.isNotNull()
+
+
+def checked(start: Column, end: Column) -> Column:
+    """struct<start, end>; an end that is not after its start is an error."""
+    bad = is_interval(start, end) & (start >= end)
+    return F.when(bad, F.raise_error(F.concat(F.lit("no interval: "), start.cast("string"), F.lit(" to "), end.cast("string")))).otherwise(F.struct(start.alias("start"), end.alias("end")))

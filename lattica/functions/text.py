@@ -17,6 +17,13 @@ PREPOSITIONS = (
     "back", "between", "among", "against", "toward", "towards",
 )
 COPULAS = ("is", "are", "was", "were", "be")
+# Verbs that join a subject to what it is.
+COPULA_VERBS = ("is", "are", "was", "were", "be", "been", "being", "become", "became", "seem", "seemed")
+# Prepositions that a trailing phrase can start with.
+PP = (
+    "on", "in", "at", "from", "to", "by", "for", "with", "into", "through", "during", "before", "after", "about", "near", "over", "above", "below",
+    "between", "under", "against", "of",
+)
 # Phrases that carry nothing in a question.
 FILLERS = ("so", "like", "you know", "i mean", "basically", "actually", "well", "right", "i was wondering", "can you tell me", "could you tell me", "do you know")
 #: A stop list of our own choice; callers pass their language's.
@@ -81,40 +88,86 @@ def is_question(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Fillers removed, then split at ', and', ', but', ', or', ';', and at ' and ' where every side has two words or more."""
-    clean = F.regexp_replace(text, rf"(?i)\b({'|'.join(sorted(FILLERS, key=len, reverse=True))})\b", "")
-    clean = F.trim(F.regexp_replace(clean, r"\s+", " "))
-    parts = F.filter(F.transform(F.split(clean, r",\s*(?:and|but|or)\s+|\s*;\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    """A request's parts: fillers go, then parts end at a comma with and, but or or after it, and at semicolons; a part is cut at its
+    ands where two words or more stand on every side of each."""
+    bare = words_joined(F.regexp_replace(text, rf"(?i)\b({'|'.join(sorted(FILLERS, key=len, reverse=True))})\b", ""))
+    marked = F.regexp_replace(bare, "[ ]*;[ ]*|,[ ]*(and|but|or) ", BREAK)
+    whole = F.filter(F.transform(F.split(marked, BREAK), lambda p: F.trim(p)), lambda p: p != "")
+    return F.flatten(F.transform(whole, divided))
+
+
+BREAK = "\x1e"
+
+
+def words_joined(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[\\s]+", " "))
 
-    def clause(p: Column) -> Column:
-        sides = F.split(p, r"\s+and\s+")
-        return F.when((F.size(sides) > 1) & F.forall(sides, lambda s: F.size(F.split(F.trim(s), r"\s+")) >= 2), F.transform(sides, lambda s: F.trim(s))).otherwise(F.array(p))
 
-    return F.flatten(F.transform(parts, clause))
+def divided(part: Column) -> Column:
+    sides = F.transform(F.split(part, " and "), lambda s: F.trim(s))
+    long = F.forall(sides, lambda s: F.size(F.split(s, " ")) > 1)
+    return F.when(long, sides).otherwise(F.array(part))
+
+
+# What a statement can say: (subject, connective, object, relation, where else). A subject or object is one word or many; in
+# the relation, * is the word the connective leaves open. The last column names a relation that must not have been found.
+MANY, ONE = r"(\w+(?:\s+\w+)*)", r"(\w+)"
+SAYINGS = (
+    (MANY, r"is\s+(?:the\s+)?(\w+)\s+of\s+(?:the\s+)?", MANY, "*_of", None),
+    (MANY, r"is\s+in\s+(?:the\s+)?", MANY, "in", None),
+    (MANY, r"is\s+inside\s+(?:the\s+)?", ONE, "inside", None),
+    (MANY, r"is\s+within\s+(?:the\s+)?", ONE, "inside", "inside"),
+    (MANY, r"contains\s+(?:the\s+)?", ONE, "contains", None),
+    (MANY, r"is\s+part\s+of\s+(?:the\s+)?", MANY, "part_of", None),
+    (MANY, r"is\s+before\s+", MANY, "before", None),
+    (MANY, r"before\s+", MANY, "before", "before"),
+    (ONE, r"is\s+after\s+", ONE, "after", None),
+    (ONE, r"after\s+", ONE, "after", "after"),
+    (ONE, r"means\s+", ONE, "means", None),
+    (ONE, r"is\s+(\w+)\s+to\s+", ONE, "*_to", None),
+    (ONE, r"is\s+(\w+)\s+than\s+", ONE, "*_than", None),
+)
+NAMED = r"([a-z]+_[a-z]+)\s+"  # a relation written out, as in feeds_into
+BARED = ("in", "before")  # whose ends lose trailing phrases
+
+
+def without_phrases(name: Column) -> Column:
+    """A name without the prepositions with one word that end it; a word is left at least."""
+    return F.regexp_replace(name, rf"(?U)^(\w+(?:\s+\w+)*?)(?:\s+(?:{'|'.join(PP)})\s+\w+)+$", "$1")
 
 
 def statements(text: Column) -> Column:
-    """array<struct<subject, relation, object>> that simple sentences state: is (the) R of, is in, is part of, contains, before, after, than, to, is a."""
-    low = F.lower(F.regexp_replace(text, r"[.!?]+\s*$", ""))
-    w = r"([\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)*?)"
-    one = r"([\p{L}\p{N}_]+)"
-    cases = [
-        (rf"^{w} is (?:the )?{one} of (?:the )?{w}$", lambda g: (g(1), F.concat(g(2), F.lit("_of")), g(3))),
-        (rf"^{w} is (?:in|within) (?:the )?{w}$", lambda g: (g(1), F.lit("in"), g(2))),
-        (rf"^{w} contains (?:the )?{w}$", lambda g: (g(1), F.lit("contains"), g(2))),
-        (rf"^{w}(?: is)? before {w}$", lambda g: (g(1), F.lit("before"), g(2))),
-        (rf"^{w}(?: is)? after {w}$", lambda g: (g(1), F.lit("after"), g(2))),
-        (rf"^{w} means {w}$", lambda g: (g(1), F.lit("means"), g(2))),
-        (rf"^{w} is {one} to {w}$", lambda g: (g(1), F.concat(g(2), F.lit("_to")), g(3))),
-        (rf"^{w} is {one} than {w}$", lambda g: (g(1), F.concat(g(2), F.lit("_than")), g(3))),
-        (rf"^{w} is (?:a|an) {w}$", lambda g: (g(1), F.lit("is_a"), g(2))),
-    ]
-
-    def one_of(pattern: str, make) -> Column:
-        s, r, o = make(lambda i: F.regexp_extract(low, pattern, i))
-        return F.when(low.rlike(pattern), F.struct(s.alias("subject"), r.alias("relation"), o.alias("object")))
-
-    return F.filter(F.array(*[one_of(p, m) for p, m in cases]), lambda x: x.isNotNull())
+    """array<struct<subject, relation, object>> that a lower-cased text states, in the order of SAYINGS: the first place where each holds.
+    Where none does, a relation written out with an underscore, after a copula or alone."""
+    low = F.trim(F.lower(text))
+    kind = "array<struct<subject:string,relation:string,object:string>>"
+
+    def said(subject: str, middle: str, obj: str, relation: str) -> Column:
+        pattern = rf"(?U){subject}\s+{middle}{obj}"
+        open_ = "*" in relation
+        get = lambda i: F.regexp_extract(low, pattern, i)
+        s, o = get(1), get(3 if open_ else 2)
+        if relation in BARED:
+            s, o = without_phrases(s), without_phrases(o)
+        r = F.concat(get(2), F.lit(relation[1:])) if open_ else F.lit(relation)
+        return F.when(F.rlike(low, F.lit(pattern)), F.struct(s.alias("subject"), r.alias("relation"), o.alias("object")))
+
+    found = []
+    for subject, middle, obj, relation, other in SAYINGS:
+        one = said(subject, middle, obj, relation)
+        if other:
+            had = [F.rlike(low, F.lit(rf"(?U){s}\s+{m}{o}")) for s, m, o, r, _ in SAYINGS if r == other and (s, m, o) != (subject, middle, obj)]
+            one = F.when(~had[0], one)
+        found.append(one)
+    first = F.array_compact(F.array(*found))
+
+    def written(copula: str) -> Column:
+        pattern = rf"(?U)(\w+)\s+{copula}{NAMED}(\w+)"
+        get = lambda i: F.regexp_extract(low, pattern, i)
+        return F.when(F.rlike(low, F.lit(pattern)), F.struct(get(1).alias("subject"), get(2).alias("relation"), get(3).alias("object")))
+
+    spelled = F.coalesce(written(rf"(?:{'|'.join(COPULA_VERBS)})\s+"), written(""))
+    return F.when(F.size(first) > 0, first.cast(kind)).otherwise(F.array_compact(F.array(spelled)).cast(kind))
 
 
 def tag_count(html: Column, tag: str) -> Column:

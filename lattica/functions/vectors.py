@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where body uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sign(v: Column) -> Column:
     """Zero counts as +1."""
     return F.transform(v, lambda x: F.when(x >= 0, 1).otherwise(-1))
@@ -37,7 +42,7 @@ def cosine(a: Column, b: Column) -> Column:
 def named(name: Column, dim: int) -> Column:
     """The vector of a name: place i is -1 where hex digit i of md5(name:0) md5(name:1) ... is 8 or more."""
     text = F.concat(*[F.md5(F.concat(name, F.lit(f":{k}")).cast("binary")) for k in range(-(-dim // 32))])
-    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.when(F.substring(text, i, F.lit(1)) >= "8", -1).otherwise(1))
+    return let(text, lambda t: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.when(F.substring(t, i, F.lit(1)) >= "8", -1).otherwise(1)))
 
 
 def summed(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, others: tuple = ()) -> DataFrame:
@@ -81,9 +86,8 @@ def record(pairs: Column, dim: int) -> Column:
 
 def ordered(names: Column, dim: int) -> Column:
     """A sequence of names as one vector: each bound with the identity rolled by its place."""
-    identity = named(F.lit("_seq_identity"), dim)
-    parts = F.transform(names, lambda n, i: bind(named(n, dim), permute(identity, i)))
-    return sign(total(parts, dim))
+    rolled = lambda identity: F.transform(names, lambda n, i: bind(named(n, dim), permute(identity, i)))
+    return sign(total(let(named(F.lit("_seq_identity"), dim), rolled), dim))
 
 
 def total(parts: Column, dim: int) -> Column:
@@ -101,15 +105,17 @@ def projected(bits: Column, width: int, seed: int = 42, picks: int = 3) -> Colum
     """width bits, each the xor of picks seeded places of an array of bits of any length (none: 0, 1)."""
     b = F.when(F.size(bits) == 0, F.array(F.lit(0), F.lit(1))).otherwise(bits)
 
-    def one(i: Column) -> Column:
-        out = None
-        for k in range(picks):
-            at = F.pmod(F.xxhash64(F.lit(seed), i, F.lit(k)), F.size(b)).cast("int")
-            x = F.get(b, at)
-            out = x if out is None else out.bitwiseXOR(x)
-        return out
+    def picked(v: Column):
+        def one(i: Column) -> Column:
+            out = None
+            for k in range(picks):
+                at = F.pmod(F.xxhash64(F.lit(seed), i, F.lit(k)), F.size(v)).cast("int")
+                out = F.get(v, at) if out is None else out.bitwiseXOR(F.get(v, at))
+            return out
+
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one)
+    return let(b, picked)
 
 
 def reservoir(bits: Column, width: int = 256, steps: int = 50, seed: int = 42) -> Column:

@@ -223,21 +223,20 @@ def frame_free(text: Column, target: Column, stop: tuple = STOP) -> Column:
 
 def glosses(examples: DataFrame, stop: tuple = STOP) -> DataFrame:
     """(entity, sense, word, cnt) from examples (entity, sense, text): lemmas and plain words, so a word that is its own lemma counts twice."""
-    e = F.lower("entity")
-    words = frame_free(F.col("text"), e, stop)
-    both = F.concat(F.transform(words, lemma), words)
-    return examples.select(e.alias("entity"), "sense", F.explode(both).alias("word")).groupBy("entity", "sense", "word").agg(F.count("*").alias("cnt"))
+    plain = examples.select(F.lower("entity").alias("entity"), "sense", "text").withColumn("ws", frame_free(F.col("text"), F.col("entity"), stop))
+    both = F.concat(F.transform("ws", lemma), "ws")
+    return plain.select("entity", "sense", F.explode(both).alias("word")).groupBy("entity", "sense", "word").agg(F.count("*").alias("cnt"))
 
 
 def resolve(asked: DataFrame, gloss: DataFrame, model: DataFrame | None = None, dim: int = 256, alike: float = 0.3, stop: tuple = STOP) -> DataFrame:
     """(key, sense, score) for rows (key, entity, text, and obj if a fact's object should count too): per sense the shared words plus half
     the smaller of their counts; where a sense shares none and there is a model, the similarities of its words of alike or more.
     The best sense, the lowest on ties; 0 for entities with one sense or none or without words; -1 where nothing speaks for any."""
-    e = F.lower("entity")
-    words = F.transform(frame_free(F.col("text"), e, stop), lemma)
+    plain = asked.withColumn("entity", F.lower("entity"))
+    words = frame_free(F.col("text"), F.col("entity"), stop)
     if "obj" in asked.columns:
-        words = F.concat(words, F.transform(frame_free(F.coalesce(F.lower("obj"), F.lit("")), e, stop), lemma))
-    rows = asked.select("key", e.alias("entity"), words.alias("ws"))
+        words = F.concat(words, frame_free(F.coalesce(F.lower("obj"), F.lit("")), F.col("entity"), stop))
+    rows = plain.withColumn("ws", words).select("key", "entity", F.transform("ws", lemma).alias("ws"))
     counts = gloss.groupBy("entity").agg((F.max("sense") + 1).alias("senses"))
     open_ = rows.join(counts, "entity").filter("senses > 1 and size(ws) > 0")
     said = open_.select("key", "entity", F.explode("ws").alias("word")).groupBy("key", "entity", "word").agg(F.count("*").alias("tf"))

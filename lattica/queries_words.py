@@ -13,7 +13,7 @@ DIM = 64
 
 def named_sql(name: str, dim: int = DIM) -> str:
     h = " || ".join(f"md5({name} || ':{k}')" for k in range(-(-dim // 32)))
-    return f"list_transform(range(1, {dim + 1}), lambda i: CASE WHEN substr({h}, i, 1) >= '8' THEN -1 ELSE 1 END)"
+    return f"list_transform(range(1, {dim + 1}), lambda at_: CASE WHEN substr({h}, at_, 1) >= '8' THEN -1 ELSE 1 END)"
 
 
 def marks_sql(v: str) -> str:
