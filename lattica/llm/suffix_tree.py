@@ -1,222 +1,303 @@
 """LM scoring (operator 9): a probabilistic suffix tree over words.
 
-Tokens: words of the A-Z-lower-cased text (runs outside space and U+0009-U+000D), then one end per document.
-The tree's root holds the unigram distribution (c+1)/(N+V+1). Level by level, a context of one more word joins when
-(1) its words occur together at least p_min * N times and (2) it diverges from its suffix: for some next token, kept
-when seen min_next times after the context, the probabilities differ by the factor ratio or more. A kept context's
-distribution is smoothed into its suffix's: (n(s, x) + kappa * P(x | suffix)) / (n(s) + kappa) for the tokens kept with
-it, and what these leave of the mass goes to all others in proportion to P(x | suffix), so that it sums to one.
-A token is scored in the longest kept context that ends before it, within its document.
-
-p_min bounds the tree (at most 1/p_min contexts a level, whatever the corpus), which is what allows a broadcast;
-every count behind it, and N, V and the root, come from all training rows. The root's words beyond the broadcast
-are joined.
+Tokens: words of the A-Z-lower-cased text (runs outside space and U+0009-U+000D), then one end per document. A run of tokens is
+named by a 64-bit hash, chained from its last word backwards, so that a run's name is made from that of its suffix.
+
+Root: (c + 1) / (N + V + 1). Level by level, up to depth words of context: a run of one more word is counted where both
+the run without its first and the run without its last word occur min_next times (a bitmap of fixed size spares counting most
+others; it never drops one), and kept where it does itself. A context (a run's words but the last) is retained if for some kept
+next token the probability after it differs from that after its suffix by the factor ratio or more. A retained context's
+distribution is smoothed into its suffix's, P(x | s) = (n(s, x) + (kappa + n(s) - n'(s)) P(x | suffix)) / (n(s) + kappa), n' summing the
+kept next tokens, so it sums to one; next tokens that are not kept get the suffix's probability times the weight left. A token is
+scored in the longest retained context that ends before it, within its document. What is kept depends on counts alone, not
+on shares of the corpus, so the tree grows with it; all its tables are joined, and a broadcast of the hot most frequent
+runs only spares most tokens the join.
 
 Defined results: null or empty text is one end token; an empty training set gives every token probability 1;
-repeated rows are counted and scored each; other columns are ignored.
+repeated rows are counted and scored each; a null doc_id is trained on; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Lookup, counted_keys, hot_rows, looked_up, materialize, with_uid
+from lattica.llm.common import chunks, count_floor, materialize, mix64, with_uid
+from lattica.plans.rounds import discard, scratch
 
 END = b" "
+STEP = np.uint64(0x9E3779B97F4A7C15)
+MAP_BITS = 26
+
+
+class Names(dict):
+    """The 64-bit names of words, remembered up to a bound."""
 
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-def words(raw: bytes) -> list[bytes]:
-    """bytes.lower changes A-Z only and bytes.split divides at exactly U+0020 and U+0009-U+000D."""
-    return raw.lower().split() + [END]
-
-
-class Tree:
-    """kept: context ids -> (n, {next id: count}); root: probability by id."""
-
-    def __init__(self, kept: dict, root: np.ndarray, kappa: float):
-        self.kept, self.root, self.kappa = kept, root, kappa
-        self.states: dict = {}
-        for s in sorted(kept, key=len):
-            n, nexts = kept[s]
-            up = self.states.get(self.suffix(s[1:]))
-            below = {x: self.p(up, x) for x in nexts}
-            own = {x: (c + kappa * below[x]) / (n + kappa) for x, c in nexts.items()}
-            left = max(1e-9, 1 - sum(below.values()))
-            back = (max(0, n - sum(nexts.values())) + kappa * left) / ((n + kappa) * left)
-            self.states[s] = (own, back, up)
-
-    def suffix(self, s: tuple) -> tuple:
-        while s and s not in self.kept:
-            s = s[1:]
-        return s
-
-    def p(self, state, x: int) -> float:
-        scale = 1.0
-        while state is not None:
-            own, back, up = state
-            if x in own:
-                return scale * own[x]
-            scale *= back
-            state = up
-        return scale * self.root[x]
-
-    def flat(self) -> dict:
-        """Per state: ({next: log10 p}, log10 of the weight left to the root for all other tokens)."""
-        out = {}
-        for s, state in self.states.items():
-            table, rest, at = {}, 0.0, state
-            chain = []
-            while at is not None:
-                chain.append(at)
-                at = at[2]
-            for at in chain:
-                for x in at[0]:
-                    if x not in table:
-                        table[x] = math.log10(self.p(state, x))
-                rest += math.log10(at[1])
-            out[s] = (table, rest)
+        if len(self) > 400_000:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
 
 
-def follow_counts(train: DataFrame, vocab, size: int, contexts, depth: int, flush: int = 1_500_000) -> DataFrame:
-    """(c, x, n): how often token x follows context c: a word's id, or the index of a pair's code in contexts (sorted)."""
+class Tokens:
+    """The tokens of some texts in one go: name, document and place of each; run(m) names the runs of m + 1 words that end at each token."""
+
+    def __init__(self, texts: list, names: Names):
+        flat, size = [], []
+        end = names[END]
+        for t in texts:
+            ws = t.encode().lower().split() if t is not None else []
+            flat += map(names.__getitem__, ws)
+            flat.append(end)
+            size.append(len(ws) + 1)
+        self.size = np.array(size, np.int64)
+        self.code = np.array(flat, np.uint64)
+        self.doc = np.repeat(np.arange(len(size)), self.size)
+        self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.runs = [self.code]
+
+    def run(self, m: int) -> np.ndarray:
+        """Defined where place >= m."""
+        while len(self.runs) <= m:
+            k = len(self.runs)
+            self.runs.append(mix64(self.runs[-1] ^ np.concatenate([np.zeros(k, np.uint64), self.code[:-k]]) * (STEP + np.uint64(2 * k)))) if len(self.code) > k else self.runs.append(self.code)
+        return self.runs[m]
+
+
+def slots(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits set at the low bits of each key: fixed size, made of at most 2^20 rows whatever the number of keys."""
+    at = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    rows = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return words.view(np.uint64)
+
+
+def there(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    s = slots(key)
+    return (words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def unigrams(train: DataFrame) -> DataFrame:
+    """(key, n)."""
 
     def run(batches):
-        ids, held = {w: i for w, (i, _) in vocab.value.dict().items() if i}, contexts.value if contexts else None
-        parts, total = [], 0
+        names, held_k, held_n = Names(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for pdf in batches:
+            for part in chunks(pdf, "text", 2_000_000):
+                k, n = np.unique(Tokens(list(part["text"]), names).code, return_counts=True)
+                held_k, at = np.unique(np.concatenate([held_k, k]), return_inverse=True)
+                held_n = np.bincount(at, np.concatenate([held_n, n]), len(held_k)).astype(np.int64)
+                if len(held_k) > 500_000:
+                    yield pd.DataFrame({"key": held_k.view(np.int64), "n": held_n})
+                    held_k, held_n = held_k[:0], held_n[:0]
+        yield pd.DataFrame({"key": held_k.view(np.int64), "n": held_n})
+
+    return train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def counted_runs(train: DataFrame, m: int, frequent, min_next: int, flush: int = 1_500_000) -> DataFrame:
+    """(key, suf, ctx, n): runs of m + 1 words that occur min_next times, with the names of the run without its first and without its last word."""
+
+    def run(batches):
+        names, parts, total, words = Names(), [], 0, frequent.value
 
         def flushed():
-            code, n = np.unique(np.concatenate(parts), return_counts=True)
-            c, x = code // size, code % size
-            return pd.DataFrame({"c": c, "x": x, "n": n})
+            key, suf, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            return pd.DataFrame({"key": key[first].view(np.int64), "suf": suf[first].view(np.int64), "ctx": ctx[first].view(np.int64), "n": n})
 
         for pdf in batches:
-            flat: list[int] = []
-            for t in pdf["text"]:
-                flat += [ids.get(w, 0) for w in words(b"" if t is None else t.encode())]
-                flat.append(-1)
-            a = np.array(flat, np.int64)
-            if len(a) <= depth:
-                continue
-            if depth == 1:
-                c, x = a[:-1], a[1:]
-                ok = (c > 0) & (x > 0)
-                code = c[ok] * size + x[ok]
-            else:
-                c1, c2, x = a[:-2], a[1:-1], a[2:]
-                ok = (c1 > 0) & (c2 > 0) & (x > 0)
-                pair = c1[ok] * size + c2[ok]
-                at = np.minimum(np.searchsorted(held, pair), max(0, len(held) - 1))
-                hit = held[at] == pair if len(held) else np.zeros(len(pair), bool)
-                code = at[hit] * size + x[ok][hit]
-            parts.append(code)
-            total += len(code)
-            if total > flush:
-                yield flushed()
-                parts, total = [], 0
-        if total:
+            for part in chunks(pdf, "text", 2_000_000):
+                t = Tokens(list(part["text"]), names)
+                at = np.flatnonzero(t.place >= m)
+                suf, ctx = t.run(m - 1)[at], t.run(m - 1)[at - 1]
+                ok = there(words, suf) & there(words, ctx)
+                parts.append((t.run(m)[at[ok]], suf[ok], ctx[ok]))
+                total += int(ok.sum())
+                if total > flush:
+                    yield flushed()
+                    parts, total = [], 0
+        if parts:
             yield flushed()
 
-    return train.select("text").mapInPandas(run, "c long, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n"))
+    found = train.select("text").mapInPandas(run, "key long, suf long, ctx long, n long")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), F.first("suf").alias("suf"), F.first("ctx").alias("ctx")).filter(F.col("n") >= min_next)
+
+
+def grown(below: DataFrame, runs: DataFrame, ratio: float, kappa: float) -> tuple[DataFrame, DataFrame]:
+    """One level: (runs: key, n, share, p) and (contexts: key, weight) from the level below (the same columns) and its counted runs."""
+    own = runs.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx")), "ctx").join(below.select(F.col("key").alias("suf"), F.col("share").alias("u_share"), F.col("p").alias("u_p")), "suf")
+    own = materialize(own.select("key", "ctx", "n", "n_ctx", (F.col("n") / F.col("n_ctx")).alias("share"), "u_share", "u_p"), "runs")
+    lift = F.col("share") / F.col("u_share")
+    contexts = own.groupBy("ctx").agg(F.max("n_ctx").alias("n_ctx"), F.sum("n").alias("kept"), F.max((lift >= ratio) | (lift <= 1 / ratio)).alias("differs")).filter("differs")
+    contexts = materialize(contexts.select("ctx", "n_ctx", ((kappa + F.col("n_ctx") - F.col("kept")) / (F.col("n_ctx") + kappa)).alias("weight")), "contexts")
+    told = own.join(contexts.select("ctx", "weight"), "ctx", "left")
+    p = F.when(F.col("weight").isNull(), F.col("u_p")).otherwise(F.col("n") / (F.col("n_ctx") + kappa) + F.col("weight") * F.col("u_p"))
+    table = materialize(told.select("key", "n", "share", p.alias("p")), "level")
+    discard(own)
+    return table, contexts.select(F.col("ctx").alias("key"), F.log10("weight").alias("lw"))
+
+
+class Near:
+    """Frequent runs for a broadcast: sorted keys, log10 p of the last word and log10 of the weight left, and their order by count."""
+
+    SLOTS = 21
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, lp: np.ndarray, lw: np.ndarray):
+        key = key.view(np.uint64)
+        by = np.argsort(key)
+        self.key, self.lp, self.lw, self.order, self.slot = key[by], lp[by], lw[by], np.argsort(n[by], kind="stable").astype(np.int32), None
+
+    def __getstate__(self):
+        return self.__dict__ | {"slot": None}
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(self.key) or not len(key):
+            return np.zeros(len(key), bool), np.zeros(len(key)), np.zeros(len(key))
+        place = lambda k: (k * STEP >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        if self.slot is None:
+            self.slot = np.zeros(1 << self.SLOTS, np.int32)
+            self.slot[place(self.key[self.order])] = self.order
+        at = self.slot[place(key)].astype(np.int64)
+        known = self.key[at] == key
+        miss = np.flatnonzero(~known)
+        again = np.minimum(np.searchsorted(self.key, key[miss]), len(self.key) - 1)
+        at[miss], known[miss] = again, self.key[again] == key[miss]
+        return known, np.where(known, self.lp[at], 0.0), np.where(known, self.lw[at], 0.0)
 
 
-def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, p_min: float = 4e-6, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 18) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
-    if 1 / p_min > hot:
-        raise ValueError("hot must hold every word that can be in a context")
+def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], unseen: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Per text its sums over the tokens that need nothing else; and (i, t, slot, key, a0.., c1..) for each other token t: a row with what is
+    known of it (a: log10 p by depth, c: log10 weight by depth; null: not known or not there), and a row per run to look up (slot:
+    the depth of a probability, or 16 plus that of a weight)."""
+    depth, tok = len(maps), Tokens(texts, names)
+    n, m = len(tok.code), len(texts)
+    known, lp, lw, cold = [], [], [], []
+    for k in range(depth + 1):
+        there_, p, w = near.find(tok.run(k))
+        inside = tok.place >= k
+        there_ &= inside
+        known.append(there_)
+        lp.append(p)
+        lw.append(np.where(there_, w, 0.0))
+        cold.append(inside & ~there_ & (there(maps[k - 1], tok.run(k)) if k else True))
+    before = np.arange(n) - 1
+    s = base = np.where(known[0], lp[0], unseen)
+    hard = cold[0].copy()
+    for k in range(1, depth + 1):
+        ok = tok.place >= k
+        w = np.where(ok, lw[k - 1][before], 0.0)
+        hard |= cold[k] | (ok & cold[k - 1][before])
+        s = np.where(known[k], lp[k], s + w)
+    easy = ~hard
+    out = pd.DataFrame({"i": np.arange(m), "tokens": tok.size, "base": np.bincount(tok.doc, base * easy, m), "known": np.bincount(tok.doc, known[0] & easy, m), "score": np.bincount(tok.doc, s * easy, m)})
+    at = np.flatnonzero(hard)
+    first = {"i": tok.doc[at], "t": tok.place[at]}
+    for k in range(depth + 1):
+        first[f"a{k}"] = np.where(known[k][at], lp[k][at], np.nan)
+        if k:
+            ok = (tok.place[at] >= k) & known[k - 1][at - 1]
+            first[f"c{k}"] = np.where(ok, lw[k - 1][at - 1], np.nan)
+    rows = [pd.DataFrame(first | {"slot": -1, "key": 0})]
+    for k in range(depth + 1):
+        x = at[cold[k][at]]
+        rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": k, "key": tok.run(k)[x].view(np.int64)}))
+        if k:
+            x = at[(tok.place[at] >= k) & cold[k - 1][at - 1]]
+            rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": 16 + k, "key": tok.run(k - 1)[x - 1].view(np.int64)}))
+    return out, pd.concat([r for r in rows if len(r)]) if len(at) else pd.DataFrame({"i": []})
+
+
+def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float) -> tuple[DataFrame, list[np.ndarray], int, int]:
+    """(nodes: key, n, lp, lw; bitmaps of the levels above the root; N; V)."""
+    spark = train.sparkSession
+    counts = materialize(unigrams(train), "unigrams")
+    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    below = counts.select("key", "n", (F.col("n") / max(1, n_all)).alias("share"), ((F.col("n") + 1) / (n_all + v_all + 1)).alias("p"))
+    levels, contexts, maps = [below], [], []
+    frequent = bitmap(below.filter(F.col("n") >= min_next))
+    for m in range(1, depth + 1):
+        held = spark.sparkContext.broadcast(frequent)
+        runs = materialize(counted_runs(train, m, held, min_next), "counted")
+        if not runs.limit(1).count():
+            break
+        table, kept = grown(below, runs, ratio, kappa)
+        discard(runs)
+        levels.append(table)
+        contexts.append(kept)
+        frequent, below = bitmap(table), table
+        maps.append(frequent)
+    nodes = levels[0].select("key", "n", "p")
+    for t in levels[1:]:
+        nodes = nodes.unionByName(t.select("key", "n", "p"))
+    if contexts:
+        weights = contexts[0]
+        for c in contexts[1:]:
+            weights = weights.unionByName(c)
+        nodes = nodes.join(weights, "key", "left")
+    else:
+        nodes = nodes.withColumn("lw", F.lit(0.0))
+    return nodes.select("key", "n", F.log10("p").alias("lp"), F.coalesce("lw", F.lit(0.0)).alias("lw")), maps, n_all, v_all
+
+
+def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth: int = 3, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
+
+    depth: the most words of context; hot: the most runs that are broadcast."""
+    if depth > 15:
+        raise ValueError("contexts of up to 15 words")
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_modulus == held_remainder, F.lit(False))
     rows = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out")))
-    train = rows.filter(~F.col("held_out"))
-    counts = materialize(counted_keys(train, words), "unigrams")
-    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    floor = max(2, math.ceil(p_min * n_all))
-    log_all = math.log10(n_all + v_all + 1)
-    top = hot_rows(counts.withColumn("lp", F.log10(F.col("n") + 1) - log_all), hot, ["n", "lp"])
-    order = np.argsort(-top.column("n"), kind="stable")
-    frequent = order[top.column("n")[order] >= floor]
-    ids = np.zeros(len(order), np.int32)
-    ids[frequent] = np.arange(1, len(frequent) + 1)
-    near = spark.sparkContext.broadcast(Lookup(pa.table({"key": top.table.column("key"), "id": ids, "lp": top.table.column("lp")}), ["id", "lp"]))
-    size = len(frequent) + 1
-    uni = np.zeros(size)
-    uni[1:] = top.column("n")[frequent]
-    root = (uni + 1) / (n_all + v_all + 1)
-    pairs = materialize(follow_counts(train, near, size, None, 1).filter(F.col("n") >= min_next), "pairs")
-    kept: dict = {}
-    # level 1: contexts are frequent words; a next token is tested against the root. At most 1/p_min pairs reach floor.
-    told = pairs.filter(F.col("n") >= floor).toPandas()
-    two = told.sort_values(["c", "x"])
-    held1: dict = defaultdict(dict)
-    for c, x, n in told.itertuples(index=False):
-        lift = (n / uni[c]) / root[x]
-        if lift >= ratio or lift <= 1 / ratio:
-            held1[(c,)][x] = n
-    for s, nexts in held1.items():
-        kept[s] = (uni[s[0]], nexts)
-    # level 2: contexts are frequent pairs; tested against the longest kept suffix
-    codes, seen = (two["c"] * size + two["x"]).to_numpy(), two["n"].to_numpy()
-    if len(codes):
-        triple = follow_counts(train, near, size, spark.sparkContext.broadcast(codes), 2).filter(F.col("n") >= floor)
-        tree1 = Tree(dict(kept), root, kappa)
-        held2: dict = defaultdict(dict)
-        for c, x, n in triple.toPandas().itertuples(index=False):
-            a, b = divmod(int(codes[c]), size)
-            p = (n / seen[c]) / tree1.p(tree1.states.get(tree1.suffix((b,))), int(x))
-            if p >= ratio or p <= 1 / ratio:
-                held2[(a, b, int(seen[c]))][int(x)] = n
-        for (a, b, n), nexts in held2.items():
-            kept[(a, b)] = (n, nexts)
-    flat = spark.sparkContext.broadcast(Tree(kept, root, kappa).flat())
-    values = counts.select("key", "n", (F.log10(F.col("n") + 1)).alias("lp"), F.lit(1.0).alias("known"))
-    unseen = -log_all if n_all else 0.0
-
-    nothing = (0, None)
+    with scratch() as tables:
+        nodes, maps, n_all, v_all = fit(rows.filter(~F.col("held_out")), depth, ratio, min_next, kappa)
+        nodes = tables.keep(materialize(nodes, "nodes"))
+    top = nodes.filter(F.col("n") >= count_floor(nodes, hot)).toArrow()
+    near = spark.sparkContext.broadcast((Near(*(top.column(c).to_numpy() for c in ("key", "n", "lp", "lw"))), maps))
+    unseen = -math.log10(n_all + v_all + 1)
+    levels = len(maps)
+    values = [f"a{k}" for k in range(levels + 1)] + [f"c{k}" for k in range(1, levels + 1)]
+    plain = "uid long, t long, slot int, key long, tokens long, base double, known long, score double, held_out boolean, doc_id long"
+    schema = plain + "".join(f", {v} double" for v in values)
 
     def spread(batches):
-        known, tree = near.value.dict(), flat.value
+        names, (found, maps) = Names(), near.value
         for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                out: dict[str, list] = {k: [] for k in ("uid", "key", "n", "lp", "known", "tokens", "gain", "held", "doc")}
-                for u, d, t, h in zip(*(pdf[c].iloc[a : a + 500] for c in ("uid", "doc_id", "text", "held_out")), strict=True):
-                    ws = words(b"" if t is None else t.encode())
-                    lp, n_known, gain, rest = 0.0, 0, 0.0, Counter()
-                    c1 = c2 = 0
-                    for w in ws:
-                        i, got = known.get(w, nothing)
-                        if got is None:
-                            rest[w] += 1
-                        else:
-                            lp += got
-                            n_known += 1
-                        if c2:
-                            state = tree.get((c1, c2)) or tree.get((c2,))
-                            if state is not None:
-                                p = state[0].get(i)
-                                gain += state[1] if p is None else p - got
-                        c1, c2 = c2, i
-                    m = len(rest)
-                    out["uid"] += [u] * (m + 1)
-                    out["key"] += [None, *rest]
-                    out["n"] += [1, *rest.values()]
-                    out["lp"] += [lp + unseen * rest.total()] + [0.0] * m
-                    out["known"] += [n_known] + [0] * m
-                    out["tokens"] += [len(ws)] + [None] * m
-                    out["gain"] += [gain] + [None] * m
-                    out["held"] += [bool(h)] + [None] * m
-                    out["doc"] += [d] + [None] * m
-                frame = pd.DataFrame(out | {"tokens": pd.array(out["tokens"], "Int64"), "doc": pd.array([None if pd.isna(x) else int(x) for x in out["doc"]], "Int64"), "held": pd.array(out["held"], "boolean")})
-                yield frame
-
-    out = looked_up(rows, spread, values, ["lp", "known"], "tokens long, gain double, held boolean, doc long")
-    return out.select(
-        F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.round("known").cast("long").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), F.col("lp").alias("base_score"), (F.col("lp") + F.col("gain")).alias("score"),
+            for part in chunks(pdf, "text", 1_000_000):
+                out, rest = scored_rows(list(part["text"]), names, found, maps, unseen)
+                uid = part["uid"].to_numpy()
+                whole = out.assign(uid=uid, held_out=part["held_out"].to_numpy(), doc_id=part["doc_id"].astype("Int64").array, slot=-2, t=-1, key=0)
+                both = whole if not len(rest) else pd.concat([whole, rest.assign(uid=uid[rest["i"].to_numpy()])])
+                both = both.reindex(columns=[x.split()[0] for x in schema.split(", ")])
+                yield both.assign(tokens=both["tokens"].astype("Int64"), known=both["known"].astype("Int64"), doc_id=both["doc_id"].astype("Int64"), held_out=both["held_out"].astype("boolean"))
+
+    sent = rows.mapInPandas(spread, schema)
+    # rows that ask for nothing are spread by their document
+    asked = sent.withColumn("ask", F.when(F.col("slot") >= 0, F.col("key")).otherwise(F.xxhash64("uid", "t")))
+    side = nodes.select(F.col("key").alias("k"), F.col("lp").alias("k_lp"), F.col("lw").alias("k_lw"))
+    joined = asked.join(side.hint("merge"), (F.col("ask") == F.col("k")) & (F.col("slot") >= 0), "left")
+    got = [F.max(F.coalesce(F.col(f"a{k}"), F.when(F.col("slot") == k, F.col("k_lp")))).alias(f"a{k}") for k in range(levels + 1)]
+    got += [F.max(F.coalesce(F.col(f"c{k}"), F.when(F.col("slot") == 16 + k, F.col("k_lw")))).alias(f"c{k}") for k in range(1, levels + 1)]
+    keep = [F.max(c).alias(c) for c in ("tokens", "base", "known", "score", "held_out", "doc_id")]
+    each = joined.groupBy("uid", "t").agg(*got, *keep)
+    s = base = F.coalesce("a0", F.lit(unseen))
+    for k in range(1, levels + 1):
+        s = F.coalesce(F.col(f"a{k}"), s + F.coalesce(f"c{k}", F.lit(0.0)))
+    one = F.col("t") < 0
+    sums = each.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum(F.when(one, F.col("known")).otherwise(F.col("a0").isNotNull().cast("long"))).alias("n_known"),
+        F.sum(F.when(one, F.col("base")).otherwise(base)).alias("base_score"), F.sum(F.when(one, F.col("score")).otherwise(s)).alias("score"),
     )
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

@@ -395,27 +395,67 @@ def test_op8_counts(spark, rows):
     assert token_counts.count_tokens(empty(spark), tokenizer_path()).count() == 0
 
 
-def test_op9_base_and_score(spark, rows):
-    got = by_id(suffix_tree.score(frame(spark, rows), p_min=1e-3, hot=1000))
-    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b" "] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+class BruteTree:
+    """The suffix tree as stated, over tuples of words."""
+
+    def __init__(self, texts, depth, ratio=1.5, min_next=3, kappa=4.0):
+        self.depth, self.kappa = depth, kappa
+        self.c = [Counter() for _ in range(depth + 1)]
+        for ws in texts:
+            for m in range(depth + 1):
+                self.c[m].update(tuple(ws[i - m : i + 1]) for i in range(m, len(ws)))
+        self.n, self.v = self.c[0].total(), len(self.c[0])
+        self.runs = [dict(self.c[0])] + [{k: n for k, n in c.items() if n >= min_next} for c in self.c[1:]]
+        self.weight = {}
+        for m in range(1, depth + 1):
+            nexts = defaultdict(dict)
+            for k, n in self.runs[m].items():
+                nexts[k[:-1]][k[-1]] = n
+            for s, xs in nexts.items():
+                n = self.c[m - 1][s]
+                lift = [(k / n) / (self.c[m - 1][(*s, x)[1:]] / (self.c[m - 2][s[1:]] if m > 1 else self.n)) for x, k in xs.items()]
+                if any(v >= ratio or v <= 1 / ratio for v in lift):
+                    self.weight[s] = (kappa + n - sum(xs.values())) / (n + kappa)
+
+    def p(self, s, x):
+        if not s:
+            return (self.c[0][(x,)] + 1) / (self.n + self.v + 1)
+        below = self.p(s[1:], x)
+        if s not in self.weight:
+            return below
+        n = self.runs[len(s)].get((*s, x), 0)
+        return n / (self.c[len(s) - 1][s] + self.kappa) + self.weight[s] * below
+
+
+@pytest.mark.parametrize(("depth", "hot"), [(1, 5), (3, 40), (5, 1 << 20)])
+def test_op9_base_and_score(spark, rows, depth, hot):
+    rng = random.Random(4)
+    phrase = [prose(rng, 8) for _ in range(6)]
+    more = rows + [(500 + i, " ".join(rng.choice(phrase) for _ in range(12))) for i in range(60)] + [(None, "null id " * 5)]
+    got = by_id(suffix_tree.score(frame(spark, more), depth=depth, hot=hot))
+    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b" "] for i, t in more}
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in more}
+    tree = BruteTree([tokens[i] for i in tokens if not held[i]], depth)
     c = Counter(w for i in tokens if not held[i] for w in tokens[i])
     n, v = c.total(), len(c)
+    assert len(tree.weight) > 20 and max(map(len, tree.weight)) == min(depth, max(map(len, tree.weight)))
     for i, ws in tokens.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), abs=1e-6)
+        assert r["score"] == pytest.approx(sum(math.log10(tree.p(tuple(ws[max(0, k - depth) : k]), w)) for k, w in enumerate(ws)), abs=1e-6), i
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
-    assert suffix_tree.score(empty(spark)).count() == 0
 
 
-def test_op9_states_are_distributions():
-    root = np.array([0.0, 0.4, 0.3, 0.2])
-    root[0] = 1 - root[1:].sum()
-    t = suffix_tree.Tree({(1,): (50, {2: 40}), (3,): (9, {1: 4, 2: 1}), (3, 1): (8, {2: 1, 3: 6})}, root, 4.0)
-    for table, rest in t.flat().values():
-        other = sum(root[x] for x in range(4) if x not in table)
-        assert sum(10**p for p in table.values()) + other * 10**rest == pytest.approx(1)
+def test_op9_states_are_distributions_and_edge_cases(spark):
+    tree = BruteTree([["a", "b", "c"] * 9, ["a", "c", "b"] * 7, ["b", "a"] * 5], 3)
+    words = ["a", "b", "c", "unseen"]
+    for s in tree.weight:
+        assert sum(tree.p(s, x) for x in words) == pytest.approx(1)
+    assert suffix_tree.score(empty(spark)).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    alone = suffix_tree.score(frame(spark, [(held, "only held out text"), (held, "only held out text")])).collect()
+    assert len(alone) == 2 and all(r["score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
 def test_op10_round_trip(spark):
