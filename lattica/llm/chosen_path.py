@@ -13,8 +13,9 @@ kept once. Then the exact sets of a group are compared through products of incid
 least group that holds both, so no pair is emitted and none counted twice; stars of links make the graph.
 
 Defined results: null, empty and blank texts have no set, no links and are classes of their own; a class id is the least doc_id
-of equal sets, a component id the least of linked ones (nulls aside); rows that repeat a doc_id are rows of their own; other
-columns are ignored; an empty table gives an empty table.
+of equal sets, a component id the least of linked ones (nulls aside); rows that repeat a doc_id are rows of their own. One row of
+each component is kept: that of the least doc_id, null last, ties by place in the input; rows without a set are all kept. Other columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -268,22 +269,24 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float
     rows = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     with scratch() as tables:
         marked = materialize(signed(rows, words, t, seed), "signed")
-        classes = marked.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("uid").alias("c"), F.count("*").alias("mult"), F.min("doc_id").alias("class_id"), F.min_by("sig", "uid").alias("sig"))
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+        classes = marked.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("uid").alias("c"), F.count("*").alias("mult"), F.min("doc_id").alias("class_id"), F.min(first).alias("first"), F.min_by("sig", "uid").alias("sig"))
         classes = materialize(classes, "classes")
         marked = tables.keep(materialize(marked.drop("sig"), "named"))
         groups = materialize(candidate_groups(leaves(classes, runs, t, threshold, limit, depth, seed), classes, least, limit), "groups")
         found = materialize(links(groups, classes, rows, words, threshold, seed, broadcast_rows), "links")
         roots = components(found.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("v", "r_c")
         degree = found.groupBy(F.col("c").alias("d_c")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        lean = classes.select("h1", "h2", "c", "mult", "class_id")
+        lean = classes.select("h1", "h2", "c", "mult", "class_id", "first")
         told = lean.join(degree, F.col("c") == F.col("d_c"), "left").join(roots, F.col("c") == F.col("r_c"), "left")
-        told = told.select("h1", "h2", "mult", "class_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("root", "c").alias("root"))
+        told = told.select("h1", "h2", "mult", "class_id", "first", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("root", "c").alias("root"))
         told = tables.keep(materialize(told, "told"))
-    ids = told.groupBy(F.col("root").alias("i_root")).agg(F.min("class_id").alias("component_id"))
-    classed = told.join(ids, F.col("root") == F.col("i_root")).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "class_id", (F.col("n") + F.col("mult") - 1).alias("n_links"), F.col("k").alias("n_class_links"), "component_id")
+    ids = told.groupBy(F.col("root").alias("i_root")).agg(F.min("class_id").alias("component_id"), F.min("first").alias("least"))
+    classed = told.join(ids, F.col("root") == F.col("i_root")).select(
+        F.col("h1").alias("t1"), F.col("h2").alias("t2"), "class_id", (F.col("n") + F.col("mult") - 1).alias("n_links"), F.col("k").alias("n_class_links"), "component_id", F.col("least.uid").alias("first")
+    )
     lonely = F.col("h1").isNull()
-    has = marked.filter(~lonely).select("doc_id", "h1", "h2").join(classed, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")))
+    has = marked.filter(~lonely).select("uid", "doc_id", "h1", "h2").join(classed, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")))
     zero = F.lit(0).cast("long")
-    alone = marked.filter(lonely).select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_class_links"), F.col("doc_id").alias("component_id"))
-    out = has.select("doc_id", "class_id", "n_links", "n_class_links", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    alone = marked.filter(lonely).select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_class_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return has.select("doc_id", "class_id", "n_links", "n_class_links", "component_id", (F.col("uid") == F.col("first")).alias("kept")).unionByName(alone)

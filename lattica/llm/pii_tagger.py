@@ -5,7 +5,7 @@ test is dropped and not retried. The tagger is trained in numpy on labelled span
 (plain and disguised forms, and look-alikes that are no personal data), so every worker and rerun has one model.
 Every kind holds a digit or an at sign or the word at in brackets, so the tagger reads the windows around those;
 all windows of all texts are read. Overlapping windows are reconciled: emission scores are averaged where windows
-overlap, then each stretch of joined windows is decoded at once by Viterbi. A decoded span is added
+overlap, then each stretch of joined windows is decoded by Viterbi, a very long one in overlapping pieces of bounded size. A decoded span is added
 when it touches no base span and has a shape its kind can have.
 
 Defined results: null text is empty, with no spans; offsets count code points; repeated rows give repeated results;
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match can only start where a run of digits does, and takes runs whole: so a long run is read once
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -306,22 +307,37 @@ def plausible(kind: str, s: str) -> bool:
     return 9 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", s)) and bool(re.search(r"[ ().-]", s))
 
 
-def stretches(text: str, triggers: list[int]) -> list[tuple[int, int]]:
+def stretches(text: str, triggers):
     """Joined windows: multiples of STRIDE so that each trigger has WINDOW // 2 characters or more on both sides."""
-    out: list[list[int]] = []
-    for p in triggers:
+    at, end = None, 0
+    for m in triggers:
+        p = m.start()
         a = max(0, (p - WINDOW // 2) // STRIDE * STRIDE)
         b = p // STRIDE * STRIDE + STRIDE + WINDOW // 2
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+        if at is not None and a <= end:
+            end = max(end, b)
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            if at is not None:
+                yield at, end
+            at, end = a, b
+    if at is not None:
+        yield at, end
+
+
+PIECE, MARGIN = 32_768, 1_024
+
+
+def pieces(a: int, b: int):
+    """(start, end, from, to): a stretch in pieces of bounded size that overlap by MARGIN on either side; a piece decides the spans that start
+    within from and to."""
+    for lo in range(a, b, PIECE):
+        hi = min(b, lo + PIECE)
+        yield max(a, lo - MARGIN), min(b, hi + MARGIN), lo, hi
 
 
 def tagged(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """The spans that the tagger finds in each text."""
-    jobs, windows = [], []  # (text, a, b, first window), (ids)
+    jobs, windows = [], []  # (text, a, b, from, to, first window), (ids)
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
 
     def flush():
@@ -329,7 +345,7 @@ def tagged(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tupl
             return
         ids = np.stack(windows)
         s = np.concatenate([tagger.emissions(ids[i : i + batch]) for i in range(0, len(ids), batch)])
-        for k, a, b, first in jobs:
+        for k, a, b, lo, hi, first in jobs:
             n = (b - a) // STRIDE - WINDOW // STRIDE + 1
             total, seen = np.zeros((b - a, N_TAGS)), np.zeros((b - a, 1))
             for j in range(n):
@@ -342,7 +358,8 @@ def tagged(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tupl
                     e = i + 1
                     while e < len(path) and path[e] == path[i] + 1:
                         e += 1
-                    found[k].append((KINDS[path[i] // 2], a + i, min(a + e, len(texts[k]))))
+                    if lo <= a + i < hi:
+                        found[k].append((KINDS[path[i] // 2], a + i, min(a + e, len(texts[k]))))
                     i = e
                 else:
                     i += 1
@@ -350,13 +367,14 @@ def tagged(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tupl
         windows.clear()
 
     for k, text in enumerate(texts):
-        for a, b in stretches(text, [m.start() for m in TRIGGER.finditer(text)]):
-            ids = char_ids(text[a:b])
-            ids = np.pad(ids, (0, b - a - len(ids)), constant_values=32)
-            jobs.append((k, a, b, len(windows)))
-            windows.extend(ids[i : i + WINDOW] for i in range(0, b - a - WINDOW + 1, STRIDE))
-            if len(windows) >= 4 * batch:
-                flush()
+        for whole in stretches(text, TRIGGER.finditer(text)):
+            for a, b, lo, hi in pieces(*whole):
+                ids = char_ids(text[a:b])
+                ids = np.pad(ids, (0, b - a - len(ids)), constant_values=32)
+                jobs.append((k, a, b, lo, hi, len(windows)))
+                windows.extend(ids[i : i + WINDOW] for i in range(0, b - a - WINDOW + 1, STRIDE))
+                if len(windows) >= 4 * batch:
+                    flush()
     flush()
     return found
 

@@ -383,6 +383,48 @@ def test_op7_base_spans_and_redaction(spark):
     assert pii_tagger.find(empty(spark)).count() == 0
 
 
+def test_op2_nulls_and_repeats(spark):
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, c), (3, c + " tail"), (None, c), (None, None), (None, ""), (9, None)]
+    got = chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == len(rows)
+    kept = sorted(((r["doc_id"], r["n_links"]) for r in got if r["kept"]), key=str)
+    assert kept == sorted([(None, 1), (None, 0), (3, 3), (None, 0), (None, 0), (9, 0)], key=str)
+
+
+def test_op7_very_long_texts():
+    import time
+
+    began = time.time()
+    digits = "1" * 1_000_000
+    assert pii_tagger.base_spans(digits) == []
+    assert len(pii_tagger.base_spans("7" * 400_000 + ".1.2.3 " + "9." * 200_000)) == 50_000
+    assert time.time() - began < 5
+    for text in ("1.2.3.4.5.6.7.8", "01.002.3.4", "1..2.3.4.5", "256.1.1.1.1", "1.2.3", "x1.2.3.4y", "1.2.3.4.5.6"):
+        plain = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)]
+        assert [m.span() for m in pii_tagger.IP.finditer(text)] == plain
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123.. a") for _ in range(30))
+        assert [m.span() for m in pii_tagger.IP.finditer(text)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)]
+    tagger = pii_tagger.trained()
+    near = "write to joe [at] mail [dot] com today "
+    long = near + "7 a " * 30_000 + near
+    found = pii_tagger.all_spans([long, near], tagger)
+    assert [(k, a - len(long) + len(near), b - len(long) + len(near)) for k, a, b in found[0][1] if a > 1000] == found[1][1] or len(found[1][1]) == 0
+
+
+def test_op7_forms_that_the_generator_does_not_write():
+    """Disguised data written by hand, among look-alikes."""
+    tagger = pii_tagger.trained()
+    data = ["contact: maria.lopez [at] firma [dot] org please", "reach sam_k(at)web.net now", "server 10[.]0[.]0[.]7 is down", "call (212) 555-0147 at noon", "tel 212-555-0199 ext", "card 4111 1111 1111 1111 exp"]
+    clean = ["on 2024-05-06 we met", "version 1.2.3 is out", "chapter 12, page 345", "meet me @ noon", "room (101) at 9:30", "ISBN 12345"]
+    hits = [bool(b or m) for b, m in pii_tagger.all_spans(data, tagger)]
+    false = [bool(b or m) for b, m in pii_tagger.all_spans(clean, tagger)]
+    assert sum(hits) >= 4 and not any(false)
+
+
 def test_op8_counts(spark, rows):
     import sentencepiece
 
