@@ -194,7 +194,7 @@ def advised(problems: DataFrame, strategies: DataFrame, dim: int, top_k: int = 5
     asked = problems.select(F.col("key").alias("id"), vectors.sign(vectors.total(F.transform(words, lambda w: vectors.named(w, dim)), dim)).alias("vec"))
     rows = strategy_rows(strategies, dim)
     store = memory.stored(problems.sparkSession.createDataFrame([], memory.PATTERN), rows.drop("id"))
-    got = memory.retrieve(asked, store, top_k, damped=False, min_similarity=0.0).select(F.col("id").alias("key"), "idx", "sim")
+    got = memory.retrieve(asked, store, top_k, damped=False, min_similarity=-1.0).select(F.col("id").alias("key"), "idx", "sim")
     named = got.join(rows.select(F.col("seq").alias("idx"), "id"), "idx").groupBy("key", "id").agg(F.max("sim").alias("sim"))
     plain = F.filter(F.transform("goals", lambda g: F.trim(F.regexp_replace(F.regexp_replace(g, "^avoid_", ""), r"\?", ""))), lambda g: (F.length(g) > 2) & (g != "without"))
     both = named.join(strategies.select("id", "tags", "effectiveness"), "id").join(problems.select("key", plain.alias("goals")), "key")
