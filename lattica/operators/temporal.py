@@ -72,3 +72,23 @@ def query(facts: DataFrame, asked: DataFrame, table: DataFrame, max_hops: int =
     some = direct.unionByName(derived)
     out = rows.join(some, ["a", "b", "relation"], "left")
     return out.select("a", "b", "relation", "answer", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("unknown")).alias("method"))
+
+
+def derive_checked(facts: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, relation, c, proof): for dated facts under relations of time that share an entity, the one relation that table (first, second, result)
+    leaves for their other ends - where those ends' own first dated intervals stand so."""
+    sides = intervals_of(facts.filter("t_start is not null and t_end is not null"), facts.select(F.col("subject").alias("name")).union(facts.select("object")).distinct())
+    sure = table.groupBy("first", "second").agg(F.count("*").alias("n"), F.first("result").alias("result")).filter("n = 1").drop("n")
+    one = sides.select(F.col("name").alias("mid"), F.col("other").alias("a"), F.col("relation").alias("back"))
+    one = one.select("mid", "a", F.col("back").alias("first"))
+    two = sides.select(F.col("name").alias("mid"), F.col("other").alias("c"), F.col("relation").alias("second"))
+    made = one.join(two, "mid").filter("a <> c and a <> mid and c <> mid").join(F.broadcast(sure), ["first", "second"])
+    own = facts.filter("t_start is not null and t_end is not null").select(F.explode(F.array("subject", "object")).alias("name"), "t_start", "t_end", "seq")
+    own = own.groupBy("name").agg(F.min_by(F.struct("t_start", "t_end"), "seq").alias("t"))
+    x, y = own.select(F.col("name").alias("a"), F.col("t").alias("x")), own.select(F.col("name").alias("c"), F.col("t").alias("y"))
+    both = made.join(x, "a").join(y, "c")
+    holds = intervals.classify(F.col("x.t_start"), F.col("x.t_end"), F.col("y.t_start"), F.col("y.t_end")) == F.col("result")
+    proof = F.concat_ws(" ", "a", "first", "mid", F.lit("and"), "mid", "second", "c")
+    out = both.filter(holds).groupBy("a", F.col("result").alias("relation"), "c").agg(F.min(proof).alias("proof"))
+    known = facts.select(F.col("subject").alias("a"), "relation", F.col("object").alias("c"))
+    return out.join(known, ["a", "relation", "c"], "left_anti")

@@ -44,3 +44,26 @@ def ranked_relations(facts: DataFrame, words: list[str]) -> DataFrame:
     n = facts.count()
     freq = facts.groupBy("relation").agg(F.count("*").alias("f"))
     return freq.select("relation", (F.log(F.lit(float(n)) / F.col("f")) + F.when(F.col("relation").isin(*words), 1.0).otherwise(0.0)).alias("score"))
+
+
+def open_multi_hop(facts: DataFrame, asked: DataFrame, max_hops: int = 7) -> DataFrame:
+    """(subject, relation, answer, hops, proof): for rows (subject, relation) without such a fact the nearest end of a chain of facts whose last is of
+    that relation, by name on ties. All rows walk together; a node is left where it was first reached."""
+    from functools import reduce
+
+    from lattica.plans.rounds import cut_counted
+
+    f = facts.select(F.col("subject").alias("from"), F.col("relation").alias("r"), F.col("object").alias("to")).distinct()
+    front = asked.select("subject", "relation", F.col("subject").alias("node"), F.lit("").alias("proof"))
+    seen, hits = [front.select("subject", "relation", "node")], []
+    for hop in range(1, max_hops + 1):
+        step = front.join(f, F.col("node") == F.col("from")).select("subject", "relation", F.col("to").alias("node"), F.concat("proof", F.when(F.col("proof") != "", " , ").otherwise(""), "from", F.lit(" --"), "r", F.lit("--> "), "to").alias("proof"), (F.col("r") == F.col("relation")).alias("hit"))
+        one = step.groupBy("subject", "relation", "node").agg(F.max(F.struct("hit", "proof")).alias("p")).select("subject", "relation", "node", "p.proof", "p.hit")
+        front, n = cut_counted(one.join(reduce(DataFrame.unionByName, seen), ["subject", "relation", "node"], "left_anti"), "open")
+        if not n:
+            break
+        hits.append(front.filter("hit").groupBy("subject", "relation").agg(F.min(F.struct("node", "proof")).alias("b")).select("subject", "relation", F.col("b.node").alias("answer"), F.lit(hop).alias("hops"), F.col("b.proof").alias("proof")))
+        front = front.join(hits[-1].select("subject", "relation"), ["subject", "relation"], "left_anti")
+        seen.append(front.select("subject", "relation", "node"))
+    none = facts.sparkSession.createDataFrame([], "subject string, relation string, answer string, hops int, proof string")
+    return reduce(DataFrame.unionByName, hits, none)

@@ -410,6 +410,7 @@ def loaded() -> None:
     """Let the other modules of queries register theirs."""
     import lattica.queries_decisions
     import lattica.queries_reasoning
+    import lattica.queries_state
     import lattica.queries_store
     import lattica.queries_words  # noqa: F401
 
