@@ -17,7 +17,7 @@ MODEL, GLOSS = "word string, freq long, ctx array<double>", "entity string, sens
 class Engine:
     def __init__(self, spark: SparkSession, store: Store | None = None, model: DataFrame | None = None, examples: DataFrame | None = None, patterns: DataFrame | None = None, dim: int = 256):
         self.spark, self.dim = spark, dim
-        self.store = store or Store(spark)
+        self.store = store if store is not None else Store(spark)  # an empty store is false
         self.model = model if model is not None else spark.createDataFrame([], MODEL)
         self.examples = examples if examples is not None else spark.createDataFrame([], state.SENTENCES)
         self.patterns = patterns if patterns is not None else spark.createDataFrame([], memory.PATTERN)
@@ -37,7 +37,9 @@ class Engine:
         told = wordvec.resolve(asked.select(F.concat_ws("\x1f", F.col("key").cast("string"), "subject").alias("key"), F.col("subject").alias("entity"), "text", F.col("object").alias("obj")), self.glosses)
         told = told.select(F.split("key", "\x1f")[0].alias("k"), F.split("key", "\x1f")[1].alias("subject"), "sense").distinct()
         names = senses.select(F.col("surface").alias("subject"), F.col("idx").alias("sense"), F.col("sense").alias("name"))
+        told = cut(told, "senses")
         placed = found.withColumn("k", F.col("key").cast("string")).join(told, ["k", "subject"], "left").withColumn("sense", F.coalesce("sense", F.lit(0))).join(names, ["subject", "sense"], "left")
+        placed = cut(placed, "placed")
         facts = placed.select(F.coalesce("name", "subject").alias("subject"), "relation", "object", F.concat(F.lit("taught: "), "k").alias("proof"), F.lit("user").alias("source"))
         examples = placed.join(rows, "key").select(F.col("subject").alias("entity"), F.col("text").alias("sentence"), F.greatest("sense", F.lit(0)).alias("sense")).distinct()
         return self.but(store=self.store.add(facts), model=wordvec.merged(self.model, wordvec.train(sentences, self.dim)), examples=cut(self.examples.unionByName(examples).distinct(), "examples"))

@@ -80,7 +80,7 @@ def derive_checked(facts: DataFrame, table: DataFrame) -> DataFrame:
     sides = intervals_of(facts.filter("t_start is not null and t_end is not null"), facts.select(F.col("subject").alias("name")).union(facts.select("object")).distinct())
     sure = table.groupBy("first", "second").agg(F.count("*").alias("n"), F.first("result").alias("result")).filter("n = 1").drop("n")
     one = sides.select(F.col("name").alias("mid"), F.col("other").alias("a"), F.col("relation").alias("back"))
-    one = one.select("mid", "a", F.col("back").alias("first"))
+    one = one.select("mid", "a", intervals.inverse(F.col("back")).alias("first"))
     two = sides.select(F.col("name").alias("mid"), F.col("other").alias("c"), F.col("relation").alias("second"))
     made = one.join(two, "mid").filter("a <> c and a <> mid and c <> mid").join(F.broadcast(sure), ["first", "second"])
     own = facts.filter("t_start is not null and t_end is not null").select(F.explode(F.array("subject", "object")).alias("name"), "t_start", "t_end", "seq")
