@@ -49,7 +49,8 @@ def train(sentences: DataFrame, dim: int = 256, stop: tuple = STOP, hold: int =
                 if len(freq) >= hold:
                     yield frame(freq, ctx)
                     freq, ctx = {}, {}
-        yield frame(freq, ctx)
+        if freq:
+            yield frame(freq, ctx)
 
     def frame(freq, ctx):
         return pd.DataFrame({"word": list(freq), "freq": list(freq.values()), "ctx": [x.astype(np.float64) for x in ctx.values()]})
