@@ -34,6 +34,27 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 MAP_BITS = 26
 
 
+UNDO = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix64."""
+    for _ in range(2):
+        x = (x ^ x >> np.uint64(32)) * UNDO
+    return x ^ x >> np.uint64(32)
+
+
+def odd(k: int) -> np.uint64:
+    return np.uint64((0x9E3779B97F4A7C15 + 2 * k) & ((1 << 64) - 1))
+
+
+def context_name(key: np.ndarray, suf: np.ndarray, up: np.ndarray, m: int) -> np.ndarray:
+    """The name of a run of m + 1 words without its last, from its own name, its suffix's and that of the suffix without its last word: the
+    name of a run is made from its suffix's and its first word, which so can be told."""
+    word = (unmixed(key) ^ suf) * np.uint64(pow(int(odd(m)), -1, 1 << 64))
+    return word if m == 1 else mix64(up ^ word * odd(m - 1))
+
+
 class Names(dict):
     """The 64-bit names of words, remembered up to a bound."""
 
@@ -67,7 +88,7 @@ class Tokens:
         """Defined where place >= m."""
         while len(self.runs) <= m:
             k = len(self.runs)
-            self.runs.append(mix64(self.runs[-1] ^ np.concatenate([np.zeros(k, np.uint64), self.code[:-k]]) * (STEP + np.uint64(2 * k)))) if len(self.code) > k else self.runs.append(self.code)
+            self.runs.append(mix64(self.runs[-1] ^ np.concatenate([np.zeros(k, np.uint64), self.code[:-k]]) * odd(k)) if len(self.code) > k else self.code)
         return self.runs[m]
 
 
@@ -107,45 +128,53 @@ def unigrams(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def counted_runs(train: DataFrame, m: int, frequent, min_next: int, flush: int = 1_500_000) -> DataFrame:
-    """(key, suf, ctx, n): runs of m + 1 words that occur min_next times, with the names of the run without its first and without its last word."""
+def counted_runs(train: DataFrame, m: int, frequent, min_next: int, flush: int = 2_000_000) -> DataFrame:
+    """(key, suf, n): runs of m + 1 words that occur min_next times, with the names of the runs without their first word."""
 
     def run(batches):
         names, parts, total, words = Names(), [], 0, frequent.value
 
         def flushed():
-            key, suf, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, suf = (np.concatenate(x) for x in zip(*parts, strict=True))
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            return pd.DataFrame({"key": key[first].view(np.int64), "suf": suf[first].view(np.int64), "ctx": ctx[first].view(np.int64), "n": n})
+            return pd.DataFrame({"key": key[first].view(np.int64), "suf": suf[first].view(np.int64), "n": n.astype(np.int32)})
 
         for pdf in batches:
             for part in chunks(pdf, "text", 2_000_000):
                 t = Tokens(list(part["text"]), names)
-                at = np.flatnonzero(t.place >= m)
-                suf, ctx = t.run(m - 1)[at], t.run(m - 1)[at - 1]
-                ok = there(words, suf) & there(words, ctx)
-                parts.append((t.run(m)[at[ok]], suf[ok], ctx[ok]))
-                total += int(ok.sum())
+                below = t.run(m - 1)
+                ok = there(words, below)
+                at = np.flatnonzero((t.place >= m) & ok & np.concatenate([[False], ok[:-1]]))
+                parts.append((t.run(m)[at], below[at]))
+                total += len(at)
                 if total > flush:
                     yield flushed()
                     parts, total = [], 0
         if parts:
             yield flushed()
 
-    found = train.select("text").mapInPandas(run, "key long, suf long, ctx long, n long")
-    return found.groupBy("key").agg(F.sum("n").alias("n"), F.first("suf").alias("suf"), F.first("ctx").alias("ctx")).filter(F.col("n") >= min_next)
+    found = train.select("text").mapInPandas(run, "key long, suf long, n int")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), F.first("suf").alias("suf")).filter(F.col("n") >= min_next)
+
 
+def grown(below: DataFrame, runs: DataFrame, m: int, ratio: float, kappa: float) -> tuple[DataFrame, DataFrame]:
+    """One level: (runs: key, n, share, p, ctx) and (contexts: key, lw) from the level below (the same columns) and its counted runs."""
+
+    def told(batches):
+        for pdf in batches:
+            key, suf, up = (pdf[c].to_numpy().view(np.uint64) for c in ("key", "suf", "up"))
+            yield pdf.drop(columns=["suf", "up"]).assign(ctx=context_name(key, suf, up, m).view(np.int64))
 
-def grown(below: DataFrame, runs: DataFrame, ratio: float, kappa: float) -> tuple[DataFrame, DataFrame]:
-    """One level: (runs: key, n, share, p) and (contexts: key, weight) from the level below (the same columns) and its counted runs."""
-    own = runs.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx")), "ctx").join(below.select(F.col("key").alias("suf"), F.col("share").alias("u_share"), F.col("p").alias("u_p")), "suf")
+    known = runs.join(below.select(F.col("key").alias("suf"), F.col("share").alias("u_share"), F.col("p").alias("u_p"), F.col("ctx").alias("up")), "suf")
+    named = known.select("key", "suf", "up", "n", "u_share", "u_p").mapInPandas(told, "key long, n long, u_share double, u_p double, ctx long")
+    own = named.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx")), "ctx")
     own = materialize(own.select("key", "ctx", "n", "n_ctx", (F.col("n") / F.col("n_ctx")).alias("share"), "u_share", "u_p"), "runs")
     lift = F.col("share") / F.col("u_share")
     contexts = own.groupBy("ctx").agg(F.max("n_ctx").alias("n_ctx"), F.sum("n").alias("kept"), F.max((lift >= ratio) | (lift <= 1 / ratio)).alias("differs")).filter("differs")
-    contexts = materialize(contexts.select("ctx", "n_ctx", ((kappa + F.col("n_ctx") - F.col("kept")) / (F.col("n_ctx") + kappa)).alias("weight")), "contexts")
-    told = own.join(contexts.select("ctx", "weight"), "ctx", "left")
+    contexts = materialize(contexts.select("ctx", ((kappa + F.col("n_ctx") - F.col("kept")) / (F.col("n_ctx") + kappa)).alias("weight")), "contexts")
+    both = own.join(contexts, "ctx", "left")
     p = F.when(F.col("weight").isNull(), F.col("u_p")).otherwise(F.col("n") / (F.col("n_ctx") + kappa) + F.col("weight") * F.col("u_p"))
-    table = materialize(told.select("key", "n", "share", p.alias("p")), "level")
+    table = materialize(both.select("key", "n", "share", p.alias("p"), "ctx"), "level")
     discard(own)
     return table, contexts.select(F.col("ctx").alias("key"), F.log10("weight").alias("lw"))
 
@@ -153,7 +182,7 @@ def grown(below: DataFrame, runs: DataFrame, ratio: float, kappa: float) -> tupl
 class Near:
     """Frequent runs for a broadcast: sorted keys, log10 p of the last word and log10 of the weight left, and their order by count."""
 
-    SLOTS = 21
+    SLOTS = 22
 
     def __init__(self, key: np.ndarray, n: np.ndarray, lp: np.ndarray, lw: np.ndarray):
         key = key.view(np.uint64)
@@ -178,62 +207,72 @@ class Near:
         return known, np.where(known, self.lp[at], 0.0), np.where(known, self.lw[at], 0.0)
 
 
-def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], unseen: float) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Per text its sums over the tokens that need nothing else; and (i, t, slot, key, a0.., c1..) for each other token t: a row with what is
-    known of it (a: log10 p by depth, c: log10 weight by depth; null: not known or not there), and a row per run to look up (slot:
-    the depth of a probability, or 16 plus that of a weight)."""
-    depth, tok = len(maps), Tokens(texts, names)
+def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], unseen: float) -> pd.DataFrame:
+    """Rows (i, t, slot, key, pack) for some texts. slot -2: a text's tokens, and its sums of base score, known tokens and score over what needs
+    nothing else. slot 32: a word (key) that t tokens are, whose root probability alone is wanted. All other tokens have a row of slot -1,
+    pack what is known of them (log10 p by depth, then log10 weight by depth; NaN: not known), and a row per run to look up: slot is the depth of
+    a probability, or 16 and that of a weight."""
+    depth, tok = len(maps) - 1, Tokens(texts, names)
     n, m = len(tok.code), len(texts)
-    known, lp, lw, cold = [], [], [], []
+    known, lp, lw, cold, cold_w = [], [], [], [], []
     for k in range(depth + 1):
-        there_, p, w = near.find(tok.run(k))
         inside = tok.place >= k
-        there_ &= inside
-        known.append(there_)
+        found, p, w = near.find(tok.run(k))
+        found &= inside
+        open_ = inside & ~found & there(maps[k], tok.run(k))
+        known.append(found)
         lp.append(p)
-        lw.append(np.where(there_, w, 0.0))
-        cold.append(inside & ~there_ & (there(maps[k - 1], tok.run(k)) if k else True))
+        lw.append(np.where(found, w, 0.0))
+        cold.append(open_ if k else ~found)  # a rare word too has a root probability
+        cold_w.append(open_)  # but is no context
     before = np.arange(n) - 1
     s = base = np.where(known[0], lp[0], unseen)
-    hard = cold[0].copy()
+    extra, hard = np.zeros(n), np.zeros(n, bool)
     for k in range(1, depth + 1):
         ok = tok.place >= k
         w = np.where(ok, lw[k - 1][before], 0.0)
-        hard |= cold[k] | (ok & cold[k - 1][before])
-        s = np.where(known[k], lp[k], s + w)
-    easy = ~hard
-    out = pd.DataFrame({"i": np.arange(m), "tokens": tok.size, "base": np.bincount(tok.doc, base * easy, m), "known": np.bincount(tok.doc, known[0] & easy, m), "score": np.bincount(tok.doc, s * easy, m)})
+        hard |= cold[k] | (ok & cold_w[k - 1][before])
+        s, extra = np.where(known[k], lp[k], s + w), extra + w
+    simple = cold[0] & ~hard
+    hard |= cold[0] & ~simple
+    easy = ~hard & ~simple
+    sums = np.stack([tok.size, np.bincount(tok.doc, base * easy, m), np.bincount(tok.doc, known[0] & easy, m), np.bincount(tok.doc, np.where(easy, s, 0.0) + np.where(simple, extra, 0.0), m)], 1)
+    rows = [pd.DataFrame({"i": np.arange(m), "t": -1, "slot": -2, "key": 0, "pack": list(sums)})]
+    at = np.flatnonzero(simple)
+    if len(at):
+        order = at[np.lexsort((tok.code[at], tok.doc[at]))]
+        d, c = tok.doc[order], tok.code[order]
+        start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))
+        rows.append(pd.DataFrame({"i": d[start], "t": np.diff(np.append(start, len(order))), "slot": 32, "key": c[start].view(np.int64)}))
     at = np.flatnonzero(hard)
-    first = {"i": tok.doc[at], "t": tok.place[at]}
-    for k in range(depth + 1):
-        first[f"a{k}"] = np.where(known[k][at], lp[k][at], np.nan)
-        if k:
-            ok = (tok.place[at] >= k) & known[k - 1][at - 1]
-            first[f"c{k}"] = np.where(ok, lw[k - 1][at - 1], np.nan)
-    rows = [pd.DataFrame(first | {"slot": -1, "key": 0})]
-    for k in range(depth + 1):
-        x = at[cold[k][at]]
-        rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": k, "key": tok.run(k)[x].view(np.int64)}))
-        if k:
-            x = at[(tok.place[at] >= k) & cold[k - 1][at - 1]]
-            rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": 16 + k, "key": tok.run(k - 1)[x - 1].view(np.int64)}))
-    return out, pd.concat([r for r in rows if len(r)]) if len(at) else pd.DataFrame({"i": []})
+    if len(at):
+        pack = [np.where(known[k][at], lp[k][at], np.nan) for k in range(depth + 1)]
+        pack += [np.where((tok.place[at] >= k) & known[k - 1][at - 1], lw[k - 1][at - 1], np.nan) for k in range(1, depth + 1)]
+        rows.append(pd.DataFrame({"i": tok.doc[at], "t": tok.place[at], "slot": -1, "key": 0, "pack": list(np.stack(pack, 1))}))
+        for k in range(depth + 1):
+            x = at[cold[k][at]]
+            rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": k, "key": tok.run(k)[x].view(np.int64)}))
+            if k:
+                x = at[(tok.place[at] >= k) & cold_w[k - 1][at - 1]]
+                rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": 16 + k, "key": tok.run(k - 1)[x - 1].view(np.int64)}))
+    return pd.concat([r.reindex(columns=["i", "t", "slot", "key", "pack"]) for r in rows if len(r)])
 
 
 def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float) -> tuple[DataFrame, list[np.ndarray], int, int]:
-    """(nodes: key, n, lp, lw; bitmaps of the levels above the root; N; V)."""
+    """(nodes: key, n, lp, lw; a bitmap per level of what may be a context or a run there; N; V)."""
     spark = train.sparkSession
     counts = materialize(unigrams(train), "unigrams")
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    below = counts.select("key", "n", (F.col("n") / max(1, n_all)).alias("share"), ((F.col("n") + 1) / (n_all + v_all + 1)).alias("p"))
-    levels, contexts, maps = [below], [], []
+    below = counts.select("key", "n", (F.col("n") / max(1, n_all)).alias("share"), ((F.col("n") + 1) / (n_all + v_all + 1)).alias("p"), F.lit(0).cast("long").alias("ctx"))
+    levels, contexts = [below], []
     frequent = bitmap(below.filter(F.col("n") >= min_next))
+    maps = [frequent]
     for m in range(1, depth + 1):
         held = spark.sparkContext.broadcast(frequent)
         runs = materialize(counted_runs(train, m, held, min_next), "counted")
         if not runs.limit(1).count():
             break
-        table, kept = grown(below, runs, ratio, kappa)
+        table, kept = grown(below, runs, m, ratio, kappa)
         discard(runs)
         levels.append(table)
         contexts.append(kept)
@@ -252,7 +291,7 @@ def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float)
     return nodes.select("key", "n", F.log10("p").alias("lp"), F.coalesce("lw", F.lit(0.0)).alias("lw")), maps, n_all, v_all
 
 
-def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth: int = 3, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth: int = 3, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     depth: the most words of context; hot: the most runs that are broadcast."""
@@ -267,37 +306,40 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth
     top = nodes.filter(F.col("n") >= count_floor(nodes, hot)).toArrow()
     near = spark.sparkContext.broadcast((Near(*(top.column(c).to_numpy() for c in ("key", "n", "lp", "lw"))), maps))
     unseen = -math.log10(n_all + v_all + 1)
-    levels = len(maps)
-    values = [f"a{k}" for k in range(levels + 1)] + [f"c{k}" for k in range(1, levels + 1)]
-    plain = "uid long, t long, slot int, key long, tokens long, base double, known long, score double, held_out boolean, doc_id long"
-    schema = plain + "".join(f", {v} double" for v in values)
+    depth = len(maps) - 1
 
     def spread(batches):
         names, (found, maps) = Names(), near.value
         for pdf in batches:
             for part in chunks(pdf, "text", 1_000_000):
-                out, rest = scored_rows(list(part["text"]), names, found, maps, unseen)
-                uid = part["uid"].to_numpy()
-                whole = out.assign(uid=uid, held_out=part["held_out"].to_numpy(), doc_id=part["doc_id"].astype("Int64").array, slot=-2, t=-1, key=0)
-                both = whole if not len(rest) else pd.concat([whole, rest.assign(uid=uid[rest["i"].to_numpy()])])
-                both = both.reindex(columns=[x.split()[0] for x in schema.split(", ")])
-                yield both.assign(tokens=both["tokens"].astype("Int64"), known=both["known"].astype("Int64"), doc_id=both["doc_id"].astype("Int64"), held_out=both["held_out"].astype("boolean"))
-
-    sent = rows.mapInPandas(spread, schema)
-    # rows that ask for nothing are spread by their document
+                out = scored_rows(list(part["text"]), names, found, maps, unseen)
+                out["pack"] = out["pack"].where(out["pack"].notna(), None)
+                i, whole = out["i"].to_numpy(), out["slot"].to_numpy() == -2
+                doc = part["doc_id"].astype("Int64").array[i]
+                doc[~whole] = pd.NA
+                held_out = part["held_out"].to_numpy()[i] & whole
+                yield out.assign(uid=part["uid"].to_numpy()[i], doc_id=doc, held_out=held_out)[["uid", "t", "slot", "key", "pack", "doc_id", "held_out"]]
+
+    sent = rows.mapInPandas(spread, "uid long, t int, slot int, key long, pack array<double>, doc_id long, held_out boolean")
+    # rows that ask for nothing are spread by their document and place
     asked = sent.withColumn("ask", F.when(F.col("slot") >= 0, F.col("key")).otherwise(F.xxhash64("uid", "t")))
     side = nodes.select(F.col("key").alias("k"), F.col("lp").alias("k_lp"), F.col("lw").alias("k_lw"))
     joined = asked.join(side.hint("merge"), (F.col("ask") == F.col("k")) & (F.col("slot") >= 0), "left")
-    got = [F.max(F.coalesce(F.col(f"a{k}"), F.when(F.col("slot") == k, F.col("k_lp")))).alias(f"a{k}") for k in range(levels + 1)]
-    got += [F.max(F.coalesce(F.col(f"c{k}"), F.when(F.col("slot") == 16 + k, F.col("k_lw")))).alias(f"c{k}") for k in range(1, levels + 1)]
-    keep = [F.max(c).alias(c) for c in ("tokens", "base", "known", "score", "held_out", "doc_id")]
-    each = joined.groupBy("uid", "t").agg(*got, *keep)
+    kind, value = F.col("slot"), F.when(F.col("slot") < 16, F.col("k_lp")).when(F.col("slot") < 32, F.col("k_lw"))
+    told = lambda i, slot: F.max(F.coalesce(F.nanvl(F.when(kind == -1, F.get("pack", F.lit(i))), F.lit(None).cast("double")), F.when(kind == slot, value)))
+    got = [told(k, k).alias(f"a{k}") for k in range(depth + 1)] + [told(depth + k, 16 + k).alias(f"c{k}") for k in range(1, depth + 1)]
+    root, many = F.coalesce("k_lp", F.lit(unseen)), F.when(kind == 32, F.col("t"))
+    alone = [F.sum(many * root).alias("root"), F.sum(F.when(F.col("k_lp").isNotNull(), many)).alias("seen"), F.max(F.when(kind == -2, F.col("pack"))).alias("sums"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out")]
+    place = F.when(F.col("slot").isin(-2, 32), -1).otherwise(F.col("t"))
+    each = joined.groupBy("uid", place.alias("t")).agg(*got, *alone)
     s = base = F.coalesce("a0", F.lit(unseen))
-    for k in range(1, levels + 1):
+    for k in range(1, depth + 1):
         s = F.coalesce(F.col(f"a{k}"), s + F.coalesce(f"c{k}", F.lit(0.0)))
-    one = F.col("t") < 0
+    one, zero = F.col("t") < 0, F.lit(0.0)
+    whole = lambda i: F.get("sums", F.lit(i)) + F.coalesce("root", zero)
     sums = each.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum(F.when(one, F.col("known")).otherwise(F.col("a0").isNotNull().cast("long"))).alias("n_known"),
-        F.sum(F.when(one, F.col("base")).otherwise(base)).alias("base_score"), F.sum(F.when(one, F.col("score")).otherwise(s)).alias("score"),
+        F.max(F.get("sums", F.lit(0))).cast("long").alias("n_tokens"), F.sum(F.when(one, F.get("sums", F.lit(2)) + F.coalesce("seen", F.lit(0))).otherwise(F.col("a0").isNotNull().cast("int"))).cast("long").alias("n_known"),
+        F.sum(F.when(one, whole(1)).otherwise(base)).alias("base_score"), F.sum(F.when(one, whole(3)).otherwise(s)).alias("score"),
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
     )
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
