@@ -111,7 +111,9 @@ def divided(part: Column) -> Column:
 
 # What a statement can say: (subject, connective, object, relation, where else). A subject or object is one word or many; in
 # the relation, * is the word the connective leaves open. The last column names a relation that must not have been found.
-MANY, ONE = r"(\w+(?:\s+\w+)*)", r"(\w+)"
+# Subjects start where a run of words (or a word) does, so that a text is searched once from each, and no loop nests in another.
+MANY, ONE = r"(\w(?:[\w\s]*\w)?)", r"(\w+)"
+START = {MANY: r"(?:^|[^\w\s])\s*" + MANY, ONE: r"(?<!\w)" + ONE}
 SAYINGS = (
     (MANY, r"is\s+(?:the\s+)?(\w+)\s+of\s+(?:the\s+)?", MANY, "*_of", None),
     (MANY, r"is\s+in\s+(?:the\s+)?", MANY, "in", None),
@@ -133,7 +135,11 @@ BARED = ("in", "before")  # whose ends lose trailing phrases
 
 def without_phrases(name: Column) -> Column:
     """A name without the prepositions with one word that end it; a word is left at least."""
-    return F.regexp_replace(name, rf"(?U)^(\w+(?:\s+\w+)*?)(?:\s+(?:{'|'.join(PP)})\s+\w+)+$", "$1")
+    ws = F.split(F.trim(name), r"\s+")
+    step = lambda a, i: F.when(a["on"] & F.get(ws, F.size(ws) - 2 * i).isin(*PP), F.struct((F.size(ws) - 2 * i).alias("left"), F.lit(True).alias("on"))).otherwise(F.struct(a["left"].alias("left"), F.lit(False).alias("on")))
+    upto = F.floor((F.size(ws) - 1) / 2).cast("int")
+    left = F.aggregate(F.sequence(F.lit(1), upto), F.struct(F.size(ws).alias("left"), F.lit(True).alias("on")), step, lambda a: a["left"])
+    return F.when((F.size(ws) < 3) | ~F.try_element_at(ws, F.lit(-2)).isin(*PP), name).otherwise(F.array_join(F.slice(ws, 1, left), " "))
 
 
 def statements(text: Column) -> Column:
@@ -143,7 +149,7 @@ def statements(text: Column) -> Column:
     kind = "array<struct<subject:string,relation:string,object:string>>"
 
     def said(subject: str, middle: str, obj: str, relation: str) -> Column:
-        pattern = rf"(?U){subject}\s+{middle}{obj}"
+        pattern = rf"(?U){START[subject]}\s+{middle}{obj}"
         open_ = "*" in relation
         get = lambda i: F.regexp_extract(low, pattern, i)
         s, o = get(1), get(3 if open_ else 2)
@@ -156,13 +162,13 @@ def statements(text: Column) -> Column:
     for subject, middle, obj, relation, other in SAYINGS:
         one = said(subject, middle, obj, relation)
         if other:
-            had = [F.rlike(low, F.lit(rf"(?U){s}\s+{m}{o}")) for s, m, o, r, _ in SAYINGS if r == other and (s, m, o) != (subject, middle, obj)]
+            had = [F.rlike(low, F.lit(rf"(?U){START[s]}\s+{m}{o}")) for s, m, o, r, _ in SAYINGS if r == other and (s, m, o) != (subject, middle, obj)]
             one = F.when(~had[0], one)
         found.append(one)
     first = F.array_compact(F.array(*found))
 
     def written(copula: str) -> Column:
-        pattern = rf"(?U)(\w+)\s+{copula}{NAMED}(\w+)"
+        pattern = rf"(?U){START[ONE]}\s+{copula}{NAMED}(\w+)"
         get = lambda i: F.regexp_extract(low, pattern, i)
         return F.when(F.rlike(low, F.lit(pattern)), F.struct(get(1).alias("subject"), get(2).alias("relation"), get(3).alias("object")))
 
