@@ -56,32 +56,42 @@ def context_name(key: np.ndarray, suf: np.ndarray, up: np.ndarray, m: int) -> np
 
 
 class Names(dict):
-    """The 64-bit names of words, remembered up to a bound."""
+    """Words numbered as they come, with their 64-bit names; forgotten when there are very many."""
+
+    def __init__(self):
+        super().__init__()
+        self.made, self.table = [], np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        self.made.append(xxhash.xxh3_64_intdigest(word))
+        out = self[word] = len(self.made) - 1
         return out
 
+    def names(self, at: np.ndarray) -> np.ndarray:
+        if len(self.table) < len(self.made):
+            self.table = np.concatenate([self.table, np.array(self.made[len(self.table) :], np.uint64)])
+        return self.table[at]
+
 
 class Tokens:
     """The tokens of some texts in one go: name, document and place of each; run(m) names the runs of m + 1 words that end at each token."""
 
     def __init__(self, texts: list, names: Names):
-        flat, size = [], []
-        end = names[END]
+        if len(names) > 400_000:
+            names.clear()
+            names.__init__()
+        words, size = [], []
         for t in texts:
             ws = t.encode().lower().split() if t is not None else []
-            flat += map(names.__getitem__, ws)
-            flat.append(end)
-            size.append(len(ws) + 1)
+            ws.append(END)
+            words += ws
+            size.append(len(ws))
         self.size = np.array(size, np.int64)
-        self.code = np.array(flat, np.uint64)
+        self.code = names.names(np.fromiter(map(names.__getitem__, words), np.int64, len(words)))
         self.doc = np.repeat(np.arange(len(size)), self.size)
-        self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.place = np.arange(len(words)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         self.runs = [self.code]
 
     def run(self, m: int) -> np.ndarray:
@@ -207,11 +217,12 @@ class Near:
         return known, np.where(known, self.lp[at], 0.0), np.where(known, self.lw[at], 0.0)
 
 
-def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], unseen: float) -> pd.DataFrame:
-    """Rows (i, t, slot, key, pack) for some texts. slot -2: a text's tokens, and its sums of base score, known tokens and score over what needs
-    nothing else. slot 32: a word (key) that t tokens are, whose root probability alone is wanted. All other tokens have a row of slot -1,
-    pack what is known of them (log10 p by depth, then log10 weight by depth; NaN: not known), and a row per run to look up: slot is the depth of
-    a probability, or 16 and that of a weight."""
+def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], unseen: float) -> tuple[np.ndarray, pd.DataFrame]:
+    """Per text its tokens and its sums of base score, known tokens and score over what is known here; and rows (i, t, slot, key, add) for the rest.
+
+    slot 32: a word (key) that t tokens are whose root probability alone is wanted for both scores, 33: for the base score. Any other
+    token t that a lookup could change has a row of slot -1 (add: its log10 probability if no lookup finds anything), one per run that may
+    be there (slot: its depth; add: the log10 weights of the deeper contexts that are known) and one per context that may be (slot: 16 and its depth)."""
     depth, tok = len(maps) - 1, Tokens(texts, names)
     n, m = len(tok.code), len(texts)
     known, lp, lw, cold, cold_w = [], [], [], [], []
@@ -226,36 +237,36 @@ def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], u
         cold.append(open_ if k else ~found)  # a rare word too has a root probability
         cold_w.append(open_)  # but is no context
     before = np.arange(n) - 1
+    weight = [np.zeros(n)] + [np.where(tok.place >= k, lw[k - 1][before], 0.0) for k in range(1, depth + 1)]
     s = base = np.where(known[0], lp[0], unseen)
-    extra, hard = np.zeros(n), np.zeros(n, bool)
+    hard = np.zeros(n, bool)
     for k in range(1, depth + 1):
-        ok = tok.place >= k
-        w = np.where(ok, lw[k - 1][before], 0.0)
-        hard |= cold[k] | (ok & cold_w[k - 1][before])
-        s, extra = np.where(known[k], lp[k], s + w), extra + w
-    simple = cold[0] & ~hard
-    hard |= cold[0] & ~simple
-    easy = ~hard & ~simple
-    sums = np.stack([tok.size, np.bincount(tok.doc, base * easy, m), np.bincount(tok.doc, known[0] & easy, m), np.bincount(tok.doc, np.where(easy, s, 0.0) + np.where(simple, extra, 0.0), m)], 1)
-    rows = [pd.DataFrame({"i": np.arange(m), "t": -1, "slot": -2, "key": 0, "pack": list(sums)})]
-    at = np.flatnonzero(simple)
-    if len(at):
-        order = at[np.lexsort((tok.code[at], tok.doc[at]))]
-        d, c = tok.doc[order], tok.code[order]
-        start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))
-        rows.append(pd.DataFrame({"i": d[start], "t": np.diff(np.append(start, len(order))), "slot": 32, "key": c[start].view(np.int64)}))
+        hard |= cold[k] | ((tok.place >= k) & cold_w[k - 1][before])
+        s = np.where(known[k], lp[k], s + weight[k])
+    tail = [np.zeros(n) for _ in range(depth + 1)]
+    for k in range(depth - 1, -1, -1):
+        tail[k] = tail[k + 1] + weight[k + 1]
+    rare = cold[0]
+    simple = rare & ~hard
+    sums = np.stack([tok.size, np.bincount(tok.doc, base * ~rare, m), np.bincount(tok.doc, known[0], m), np.bincount(tok.doc, np.where(hard, 0.0, np.where(simple, tail[0], s)), m)], 1)
+    parts = []
+    for slot, mask in ((32, simple), (33, rare & hard)):
+        at = np.flatnonzero(mask)
+        at = at[np.lexsort((tok.code[at], tok.doc[at]))]
+        d, c = tok.doc[at], tok.code[at]
+        start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])])) if len(at) else at
+        parts.append((d[start], np.diff(np.append(start, len(at))), slot, c[start], np.zeros(len(start))))
     at = np.flatnonzero(hard)
-    if len(at):
-        pack = [np.where(known[k][at], lp[k][at], np.nan) for k in range(depth + 1)]
-        pack += [np.where((tok.place[at] >= k) & known[k - 1][at - 1], lw[k - 1][at - 1], np.nan) for k in range(1, depth + 1)]
-        rows.append(pd.DataFrame({"i": tok.doc[at], "t": tok.place[at], "slot": -1, "key": 0, "pack": list(np.stack(pack, 1))}))
-        for k in range(depth + 1):
-            x = at[cold[k][at]]
-            rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": k, "key": tok.run(k)[x].view(np.int64)}))
-            if k:
-                x = at[(tok.place[at] >= k) & cold_w[k - 1][at - 1]]
-                rows.append(pd.DataFrame({"i": tok.doc[x], "t": tok.place[x], "slot": 16 + k, "key": tok.run(k - 1)[x - 1].view(np.int64)}))
-    return pd.concat([r.reindex(columns=["i", "t", "slot", "key", "pack"]) for r in rows if len(r)])
+    parts.append((tok.doc[at], tok.place[at], -1, np.zeros(len(at), np.uint64), s[at]))
+    for k in range(depth + 1):
+        x = at[cold[k][at]]
+        parts.append((tok.doc[x], tok.place[x], k, tok.run(k)[x], tail[k][x]))
+        if k:
+            x = at[(tok.place[at] >= k) & cold_w[k - 1][at - 1]]
+            parts.append((tok.doc[x], tok.place[x], 16 + k, tok.run(k - 1)[x - 1], np.zeros(len(x))))
+    cols = [np.concatenate([p[j] for p in parts]) for j in (0, 1, 3, 4)]
+    slot = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
+    return sums, pd.DataFrame({"i": cols[0], "t": cols[1], "slot": slot, "key": cols[2].view(np.int64), "add": cols[3]})
 
 
 def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float) -> tuple[DataFrame, list[np.ndarray], int, int]:
@@ -312,34 +323,34 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth
         names, (found, maps) = Names(), near.value
         for pdf in batches:
             for part in chunks(pdf, "text", 1_000_000):
-                out = scored_rows(list(part["text"]), names, found, maps, unseen)
-                out["pack"] = out["pack"].where(out["pack"].notna(), None)
-                i, whole = out["i"].to_numpy(), out["slot"].to_numpy() == -2
-                doc = part["doc_id"].astype("Int64").array[i]
-                doc[~whole] = pd.NA
-                held_out = part["held_out"].to_numpy()[i] & whole
-                yield out.assign(uid=part["uid"].to_numpy()[i], doc_id=doc, held_out=held_out)[["uid", "t", "slot", "key", "pack", "doc_id", "held_out"]]
-
-    sent = rows.mapInPandas(spread, "uid long, t int, slot int, key long, pack array<double>, doc_id long, held_out boolean")
+                sums, rest = scored_rows(list(part["text"]), names, found, maps, unseen)
+                uid = part["uid"].to_numpy()
+                whole = pd.DataFrame({"uid": uid, "t": 0, "slot": -2, "key": 0, "add": sums[:, 3], "base": sums[:, 1], "tokens": sums[:, 0].astype(np.int64), "known": sums[:, 2].astype(np.int64)})
+                yield whole.assign(doc_id=part["doc_id"].astype("Int64").array, held_out=part["held_out"].to_numpy())
+                more = rest.assign(uid=uid[rest["i"].to_numpy()]).reindex(columns=whole.columns)
+                yield more.assign(tokens=more["tokens"].astype("Int64"), known=more["known"].astype("Int64"), doc_id=pd.array([pd.NA] * len(more), "Int64"), held_out=pd.array([pd.NA] * len(more), "boolean"))
+
+    sent = rows.mapInPandas(spread, "uid long, t int, slot int, key long, add double, base double, tokens long, known long, doc_id long, held_out boolean")
     # rows that ask for nothing are spread by their document and place
     asked = sent.withColumn("ask", F.when(F.col("slot") >= 0, F.col("key")).otherwise(F.xxhash64("uid", "t")))
     side = nodes.select(F.col("key").alias("k"), F.col("lp").alias("k_lp"), F.col("lw").alias("k_lw"))
     joined = asked.join(side.hint("merge"), (F.col("ask") == F.col("k")) & (F.col("slot") >= 0), "left")
-    kind, value = F.col("slot"), F.when(F.col("slot") < 16, F.col("k_lp")).when(F.col("slot") < 32, F.col("k_lw"))
-    told = lambda i, slot: F.max(F.coalesce(F.nanvl(F.when(kind == -1, F.get("pack", F.lit(i))), F.lit(None).cast("double")), F.when(kind == slot, value)))
-    got = [told(k, k).alias(f"a{k}") for k in range(depth + 1)] + [told(depth + k, 16 + k).alias(f"c{k}") for k in range(1, depth + 1)]
-    root, many = F.coalesce("k_lp", F.lit(unseen)), F.when(kind == 32, F.col("t"))
-    alone = [F.sum(many * root).alias("root"), F.sum(F.when(F.col("k_lp").isNotNull(), many)).alias("seen"), F.max(F.when(kind == -2, F.col("pack"))).alias("sums"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out")]
-    place = F.when(F.col("slot").isin(-2, 32), -1).otherwise(F.col("t"))
-    each = joined.groupBy("uid", place.alias("t")).agg(*got, *alone)
-    s = base = F.coalesce("a0", F.lit(unseen))
+    kind, many = F.col("slot"), F.col("t")
+    place = F.when(kind.isin(-2, 32, 33), -1).otherwise(F.col("t"))
+    root = F.coalesce("k_lp", F.lit(unseen))
+    # of what was found the deepest run decides; a rare word without an entry is not known
+    option = F.when(kind == -1, F.struct(F.lit(-1).alias("k"), F.col("add").alias("v"))).when((kind >= 0) & (kind < 16) & F.col("k_lp").isNotNull(), F.struct(kind.alias("k"), (F.col("k_lp") + F.col("add")).alias("v")))
+    each = joined.groupBy("uid", place.alias("t")).agg(
+        F.max(option).alias("best"), *[F.max(F.when(kind == 16 + k, F.col("k_lw"))).alias(f"c{k}") for k in range(1, depth + 1)],
+        F.sum(F.when(kind.isin(32, 33), many * root).when(kind == -2, F.col("base"))).alias("base"), F.sum(F.when(kind == 32, many * root).when(kind == -2, F.col("add"))).alias("score"),
+        F.sum(F.when(kind.isin(32, 33) & F.col("k_lp").isNotNull(), many).when(kind == -2, F.col("known"))).alias("known"),
+        F.max("tokens").alias("tokens"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+    )
+    own = F.col("best.v")
     for k in range(1, depth + 1):
-        s = F.coalesce(F.col(f"a{k}"), s + F.coalesce(f"c{k}", F.lit(0.0)))
-    one, zero = F.col("t") < 0, F.lit(0.0)
-    whole = lambda i: F.get("sums", F.lit(i)) + F.coalesce("root", zero)
+        own = own + F.when(F.col("best.k") < k, F.coalesce(f"c{k}", F.lit(0.0))).otherwise(0.0)
     sums = each.groupBy("uid").agg(
-        F.max(F.get("sums", F.lit(0))).cast("long").alias("n_tokens"), F.sum(F.when(one, F.get("sums", F.lit(2)) + F.coalesce("seen", F.lit(0))).otherwise(F.col("a0").isNotNull().cast("int"))).cast("long").alias("n_known"),
-        F.sum(F.when(one, whole(1)).otherwise(base)).alias("base_score"), F.sum(F.when(one, whole(3)).otherwise(s)).alias("score"),
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum(F.when(F.col("t") < 0, F.col("score")).otherwise(own)).alias("score"),
     )
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
