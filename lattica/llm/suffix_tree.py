@@ -217,12 +217,13 @@ class Near:
         return known, np.where(known, self.lp[at], 0.0), np.where(known, self.lw[at], 0.0)
 
 
-def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], unseen: float) -> tuple[np.ndarray, pd.DataFrame]:
+def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], kept: list[np.ndarray], unseen: float) -> tuple[np.ndarray, pd.DataFrame]:
     """Per text its tokens and its sums of base score, known tokens and score over what is known here; and rows (i, t, slot, key, add) for the rest.
 
     slot 32: a word (key) that t tokens are whose root probability alone is wanted for both scores, 33: for the base score. Any other
     token t that a lookup could change has a row of slot -1 (add: its log10 probability if no lookup finds anything), one per run that may
-    be there (slot: its depth; add: the log10 weights of the deeper contexts that are known) and one per context that may be (slot: 16 and its depth)."""
+    be there (slot: its depth; add: the log10 weights of the deeper contexts that are known) and one per context that may be (slot: 16 and its
+    depth). Where one run alone may be there, one row says it all: slot 48 and its depth, add as for a run, base as for the token."""
     depth, tok = len(maps) - 1, Tokens(texts, names)
     n, m = len(tok.code), len(texts)
     known, lp, lw, cold, cold_w = [], [], [], [], []
@@ -230,12 +231,12 @@ def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], u
         inside = tok.place >= k
         found, p, w = near.find(tok.run(k))
         found &= inside
-        open_ = inside & ~found & there(maps[k], tok.run(k))
+        open_ = inside & ~found & there(maps[k], tok.run(k)) if k else ~found
         known.append(found)
         lp.append(p)
         lw.append(np.where(found, w, 0.0))
-        cold.append(open_ if k else ~found)  # a rare word too has a root probability
-        cold_w.append(open_)  # but is no context
+        cold.append(open_)
+        cold_w.append(inside & ~found & there(kept[k], tok.run(k)) if k < len(kept) else np.zeros(n, bool))
     before = np.arange(n) - 1
     weight = [np.zeros(n)] + [np.where(tok.place >= k, lw[k - 1][before], 0.0) for k in range(1, depth + 1)]
     s = base = np.where(known[0], lp[0], unseen)
@@ -256,7 +257,14 @@ def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], u
         d, c = tok.doc[at], tok.code[at]
         start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])])) if len(at) else at
         parts.append((d[start], np.diff(np.append(start, len(at))), slot, c[start], np.zeros(len(start))))
-    at = np.flatnonzero(hard)
+    many = sum(c.astype(np.int8) for c in cold)
+    for k in range(1, depth + 1):
+        many += ((tok.place >= k) & cold_w[k - 1][before]).astype(np.int8) * 2
+    lone = hard & (many == 1)
+    for k in range(1, depth + 1):
+        x = np.flatnonzero(lone & cold[k])
+        parts.append((tok.doc[x], tok.place[x], 48 + k, tok.run(k)[x], tail[k][x], s[x]))
+    at = np.flatnonzero(hard & ~lone)
     parts.append((tok.doc[at], tok.place[at], -1, np.zeros(len(at), np.uint64), s[at]))
     for k in range(depth + 1):
         x = at[cold[k][at]]
@@ -265,19 +273,20 @@ def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], u
             x = at[(tok.place[at] >= k) & cold_w[k - 1][at - 1]]
             parts.append((tok.doc[x], tok.place[x], 16 + k, tok.run(k - 1)[x - 1], np.zeros(len(x))))
     cols = [np.concatenate([p[j] for p in parts]) for j in (0, 1, 3, 4)]
+    cols.append(np.concatenate([p[5] if len(p) > 5 else np.full(len(p[0]), np.nan) for p in parts]))
     slot = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-    return sums, pd.DataFrame({"i": cols[0], "t": cols[1], "slot": slot, "key": cols[2].view(np.int64), "add": cols[3]})
+    return sums, pd.DataFrame({"i": cols[0], "t": cols[1], "slot": slot, "key": cols[2].view(np.int64), "add": cols[3], "base": cols[4]})
 
 
-def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float) -> tuple[DataFrame, list[np.ndarray], int, int]:
-    """(nodes: key, n, lp, lw; a bitmap per level of what may be a context or a run there; N; V)."""
+def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float) -> tuple[DataFrame, list[np.ndarray], list[np.ndarray], int, int]:
+    """(nodes: key, n, lp, lw; a bitmap per level of the runs there, and one of the contexts retained; N; V)."""
     spark = train.sparkSession
     counts = materialize(unigrams(train), "unigrams")
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = counts.select("key", "n", (F.col("n") / max(1, n_all)).alias("share"), ((F.col("n") + 1) / (n_all + v_all + 1)).alias("p"), F.lit(0).cast("long").alias("ctx"))
     levels, contexts = [below], []
     frequent = bitmap(below.filter(F.col("n") >= min_next))
-    maps = [frequent]
+    maps, retained = [frequent], []
     for m in range(1, depth + 1):
         held = spark.sparkContext.broadcast(frequent)
         runs = materialize(counted_runs(train, m, held, min_next), "counted")
@@ -285,8 +294,10 @@ def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float)
             break
         table, kept = grown(below, runs, m, ratio, kappa)
         discard(runs)
+        held.destroy()
         levels.append(table)
         contexts.append(kept)
+        retained.append(bitmap(kept))
         frequent, below = bitmap(table), table
         maps.append(frequent)
     nodes = levels[0].select("key", "n", "p")
@@ -299,10 +310,10 @@ def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float)
         nodes = nodes.join(weights, "key", "left")
     else:
         nodes = nodes.withColumn("lw", F.lit(0.0))
-    return nodes.select("key", "n", F.log10("p").alias("lp"), F.coalesce("lw", F.lit(0.0)).alias("lw")), maps, n_all, v_all
+    return nodes.select("key", "n", F.log10("p").alias("lp"), F.coalesce("lw", F.lit(0.0)).alias("lw")), maps, retained, n_all, v_all
 
 
-def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth: int = 3, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 21) -> DataFrame:
+def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth: int = 3, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     depth: the most words of context; hot: the most runs that are broadcast."""
@@ -312,18 +323,18 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_modulus == held_remainder, F.lit(False))
     rows = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out")))
     with scratch() as tables:
-        nodes, maps, n_all, v_all = fit(rows.filter(~F.col("held_out")), depth, ratio, min_next, kappa)
+        nodes, maps, kept, n_all, v_all = fit(rows.filter(~F.col("held_out")), depth, ratio, min_next, kappa)
         nodes = tables.keep(materialize(nodes, "nodes"))
     top = nodes.filter(F.col("n") >= count_floor(nodes, hot)).toArrow()
-    near = spark.sparkContext.broadcast((Near(*(top.column(c).to_numpy() for c in ("key", "n", "lp", "lw"))), maps))
+    near = spark.sparkContext.broadcast((Near(*(top.column(c).to_numpy() for c in ("key", "n", "lp", "lw"))), maps, kept))
     unseen = -math.log10(n_all + v_all + 1)
     depth = len(maps) - 1
 
     def spread(batches):
-        names, (found, maps) = Names(), near.value
+        names, (found, maps, kept) = Names(), near.value
         for pdf in batches:
             for part in chunks(pdf, "text", 1_000_000):
-                sums, rest = scored_rows(list(part["text"]), names, found, maps, unseen)
+                sums, rest = scored_rows(list(part["text"]), names, found, maps, kept, unseen)
                 uid = part["uid"].to_numpy()
                 whole = pd.DataFrame({"uid": uid, "t": 0, "slot": -2, "key": 0, "add": sums[:, 3], "base": sums[:, 1], "tokens": sums[:, 0].astype(np.int64), "known": sums[:, 2].astype(np.int64)})
                 yield whole.assign(doc_id=part["doc_id"].astype("Int64").array, held_out=part["held_out"].to_numpy())
@@ -336,13 +347,13 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth
     side = nodes.select(F.col("key").alias("k"), F.col("lp").alias("k_lp"), F.col("lw").alias("k_lw"))
     joined = asked.join(side.hint("merge"), (F.col("ask") == F.col("k")) & (F.col("slot") >= 0), "left")
     kind, many = F.col("slot"), F.col("t")
-    place = F.when(kind.isin(-2, 32, 33), -1).otherwise(F.col("t"))
+    place = F.when((kind == -2) | (kind >= 32), -1).otherwise(F.col("t"))
     root = F.coalesce("k_lp", F.lit(unseen))
     # of what was found the deepest run decides; a rare word without an entry is not known
     option = F.when(kind == -1, F.struct(F.lit(-1).alias("k"), F.col("add").alias("v"))).when((kind >= 0) & (kind < 16) & F.col("k_lp").isNotNull(), F.struct(kind.alias("k"), (F.col("k_lp") + F.col("add")).alias("v")))
     each = joined.groupBy("uid", place.alias("t")).agg(
         F.max(option).alias("best"), *[F.max(F.when(kind == 16 + k, F.col("k_lw"))).alias(f"c{k}") for k in range(1, depth + 1)],
-        F.sum(F.when(kind.isin(32, 33), many * root).when(kind == -2, F.col("base"))).alias("base"), F.sum(F.when(kind == 32, many * root).when(kind == -2, F.col("add"))).alias("score"),
+        F.sum(F.when(kind.isin(32, 33), many * root).when(kind == -2, F.col("base"))).alias("base_sum"), F.sum(F.when(kind == 32, many * root).when(kind == -2, F.col("add")).when(kind > 48, F.coalesce(F.col("k_lp") + F.col("add"), F.col("base")))).alias("score"),
         F.sum(F.when(kind.isin(32, 33) & F.col("k_lp").isNotNull(), many).when(kind == -2, F.col("known"))).alias("known"),
         F.max("tokens").alias("tokens"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
     )
@@ -351,6 +362,6 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth
         own = own + F.when(F.col("best.k") < k, F.coalesce(f"c{k}", F.lit(0.0))).otherwise(0.0)
     sums = each.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum(F.when(F.col("t") < 0, F.col("score")).otherwise(own)).alias("score"),
+        F.sum("base_sum").alias("base_score"), F.sum(F.when(F.col("t") < 0, F.col("score")).otherwise(own)).alias("score"),
     )
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
