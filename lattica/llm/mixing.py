@@ -74,8 +74,12 @@ def permuted(x: np.ndarray, blocks: np.ndarray, keys: np.ndarray, seed: int) ->
     return x
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    plain = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")))
+def plain_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, source, uid)."""
+    return with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")))
+
+
+def sized(plain: DataFrame) -> DataFrame:
     n = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')").cast("long"), F.lit(0).cast("long"))
     return materialize(plain.select("uid", "doc_id", "source", n.alias("size")), "sizes")
 
@@ -94,11 +98,12 @@ def plan(sizes: DataFrame, weights: tuple, share: float, cap: float, block: int,
     return out
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 64, shards: int = 64, seed: int = 17, max_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 64, shards: int = 64, seed: int = 17, max_sources: int = 100_000, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with their source's figures: uid, doc_id, source, size, source_size, target;
-    the mix: shard, slot, idx (source), block, uid, start, words - the words [start, start + words) of that document)."""
+    the mix: shard, slot, idx (source), block, uid, start, words - the words [start, start + words) of that document).
+    rows: docs as plain_rows, already numbered."""
     spark = docs.sparkSession
-    sizes = sized(docs)
+    sizes = sized(plain_rows(docs) if rows is None else rows)
     table = plan(sizes, weights, share, cap, block, max_sources)
     sources = spark.createDataFrame(list(table.itertuples(index=False, name=None)), "idx long, p_source string, docs long, source_size long, target double, blocks long, slots long")
     known = sizes.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
@@ -138,3 +143,17 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     used = mixed.groupBy(F.col("uid").alias("m_uid")).agg(F.sum("words").alias("taken"))
     out = known.join(used, F.col("uid") == F.col("m_uid"), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def texts(docs: DataFrame, **options) -> DataFrame:
+    """(shard, slot, idx, block, uid, start, text): the mix itself. A slot's rows, by uid and start, are its block of words; a document's
+    pieces are cut from its text once, however often they are read."""
+    rows = materialize(plain_rows(docs), "mix-rows")
+    _, mixed = mix(docs, rows=rows, **options)
+    mixed = materialize(mixed, "mix")
+    wanted = mixed.select("uid", "start", "words").distinct().groupBy(F.col("uid").alias("w_uid")).agg(F.collect_list(F.struct("start", "words")).alias("cuts"))
+    ws = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    said = rows.join(wanted.hint("shuffle_hash"), F.col("uid") == F.col("w_uid")).withColumn("ws", ws)
+    cut = F.transform("cuts", lambda c: F.struct(c["start"].alias("start"), F.array_join(F.slice("ws", c["start"].cast("int") + 1, c["words"].cast("int")), " ").alias("text")))
+    parts = said.select(F.col("uid").alias("p_uid"), F.inline(cut)).withColumnRenamed("start", "p_start")
+    return mixed.join(parts.hint("merge"), (F.col("uid") == F.col("p_uid")) & (F.col("start") == F.col("p_start"))).select("shard", "slot", "idx", "block", "uid", "start", "text")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import parts_for
-from lattica.plans.rounds import shared_dir
+from lattica.plans.rounds import cut, shared_dir
 
 FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "file", "length")}
 NAMESPACE = uuid.UUID("6c1a9f3e-52b6-4c55-9d5f-0f6d5c0a7e11")
@@ -201,7 +201,7 @@ def read_archives(spark, path: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to for every row, as read back from the archives."""
-    back = read_archives(pages.sparkSession, write_archives(pages, least))
+    back = cut(read_archives(pages.sparkSession, write_archives(pages, least)), "records")  # archives are parsed once; payloads stay in them
     ids = back.filter("warc_type not in ('revisit', 'warcinfo')").groupBy(F.col("record_id").alias("r_id")).agg(F.max("page_id").alias("r_page"))
     plain = back.select("page_id", "payload_bytes", "payload_digest", F.when(F.col("warc_type") == "revisit", "revisit").otherwise("response").alias("record_type"), "refers_to_id")
     return plain.join(ids, F.col("refers_to_id") == F.col("r_id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("r_page").alias("refers_to"))

@@ -383,6 +383,29 @@ def test_op7_base_spans_and_redaction(spark):
     assert pii_tagger.find(empty(spark)).count() == 0
 
 
+def test_op5_the_mix_itself(spark):
+    """Slots hold whole blocks, each pass of a source reads every block once before any is read again, and words are those of the documents."""
+    rng = random.Random(31)
+    rows = [(i if i % 7 else None, prose(rng, rng.randint(1, 90)), "ab"[i % 2]) for i in range(60)] + [(3, prose(rng, 40), "a")] * 2 + [(8, None, "a"), (9, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    got = mixing.texts(docs, block=16, shards=4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["idx"], r["slot"]].append(r)
+    blocks = defaultdict(Counter)
+    for (idx, slot), parts in slots.items():
+        assert len({(r["shard"], r["block"]) for r in parts}) == 1
+        blocks[idx][parts[0]["block"]] += 1
+    for idx, seen in blocks.items():
+        assert max(seen.values()) - min(seen.values()) <= 1 and max(seen.values()) <= 2
+        sizes = [sum(len(r["text"].split()) for r in parts) for (i, _), parts in slots.items() if i == idx]
+        assert all(n == 16 for n in sizes) or sorted(sizes)[-1] == 16
+    whole = Counter(w for r in rows for w in (r[1] or "").split())
+    assert all(Counter(w for r in got for w in r["text"].split())[w] <= 2 * n for w, n in whole.items())
+    taken = sum(r["taken"] for r in mixing.taken(docs, block=16, shards=4).collect())
+    assert taken == sum(len(r["text"].split()) for r in got)
+
+
 def test_op2_nulls_and_repeats(spark):
     rng = random.Random(17)
     a, b, c = (prose(rng, 40) for _ in range(3))
