@@ -124,16 +124,21 @@ def unigrams(train: DataFrame) -> DataFrame:
     """(key, n)."""
 
     def run(batches):
-        names, held_k, held_n = Names(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        names, parts, total = Names(), [], 0
+
+        def flushed():
+            k, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pd.DataFrame({"key": k.view(np.int64), "n": n})
+
         for pdf in batches:
             for part in chunks(pdf, "text", 2_000_000):
-                k, n = np.unique(Tokens(list(part["text"]), names).code, return_counts=True)
-                held_k, at = np.unique(np.concatenate([held_k, k]), return_inverse=True)
-                held_n = np.bincount(at, np.concatenate([held_n, n]), len(held_k)).astype(np.int64)
-                if len(held_k) > 500_000:
-                    yield pd.DataFrame({"key": held_k.view(np.int64), "n": held_n})
-                    held_k, held_n = held_k[:0], held_n[:0]
-        yield pd.DataFrame({"key": held_k.view(np.int64), "n": held_n})
+                parts.append(Tokens(list(part["text"]), names).code)
+                total += len(parts[-1])
+                if total > 3_000_000:
+                    yield flushed()
+                    parts, total = [], 0
+        if parts:
+            yield flushed()
 
     return train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -338,8 +343,10 @@ def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth
                 uid = part["uid"].to_numpy()
                 whole = pd.DataFrame({"uid": uid, "t": 0, "slot": -2, "key": 0, "add": sums[:, 3], "base": sums[:, 1], "tokens": sums[:, 0].astype(np.int64), "known": sums[:, 2].astype(np.int64)})
                 yield whole.assign(doc_id=part["doc_id"].astype("Int64").array, held_out=part["held_out"].to_numpy())
-                more = rest.assign(uid=uid[rest["i"].to_numpy()]).reindex(columns=whole.columns)
-                yield more.assign(tokens=more["tokens"].astype("Int64"), known=more["known"].astype("Int64"), doc_id=pd.array([pd.NA] * len(more), "Int64"), held_out=pd.array([pd.NA] * len(more), "boolean"))
+                n = len(rest)
+                none = pd.arrays.IntegerArray(np.zeros(n, np.int64), np.ones(n, bool))
+                more = {"uid": uid[rest["i"].to_numpy()], **{c: rest[c].to_numpy() for c in ("t", "slot", "key", "add", "base")}, "tokens": none, "known": none, "doc_id": none, "held_out": pd.arrays.BooleanArray(np.zeros(n, bool), np.ones(n, bool))}
+                yield pd.DataFrame(more)
 
     sent = rows.mapInPandas(spread, "uid long, t int, slot int, key long, add double, base double, tokens long, known long, doc_id long, held_out boolean")
     # rows that ask for nothing are spread by their document and place
