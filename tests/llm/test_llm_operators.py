@@ -11,7 +11,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lattica.llm import chosen_path, decontamination, embedding_dedup, kneser_ney, mixing, pii_tagger, suffix_dedup, suffix_tree, token_counts, warc
 from lattica.llm.common import components
