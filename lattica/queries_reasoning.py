@@ -195,9 +195,7 @@ def text_pronouns(spark, sf_dir):
 def teach_checks(spark, sf_dir):
     k = F.col("p_partkey") % 3
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), said(" ", F.col("p_name")).alias("subject"), F.lit("Made  of").alias("relation"), F.when(k == 0, F.col("p_name")).when(k == 1, "a b c d e f").otherwise("Steel").alias("object"))
-    keyed = p.select("key", F.struct("subject", "relation", "object").alias("row"))
-    got = extraction.taught(p.select("subject", "relation", "object", "key").drop("key"))
-    return keyed.select("key", F.lower(F.trim("row.subject")).alias("subject"), F.lower("row.object").alias("object")).join(got, ["subject", "object"]).select("key", "subject", "relation", "object", "wrong").distinct()
+    return extraction.taught(p).select("key", "subject", "relation", "object", "wrong")
 
 
 @register("SELECT unnest(['en', 'xx']) AS code, 'English' AS name, " + str(len(languages.STOP_WORDS)) + " AS stop_words, " + str(len(languages.get("en").connectives)) + " AS connectives, 'after' AS after")
