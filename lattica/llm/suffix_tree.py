@@ -1,17 +1,22 @@
 """LM scoring (operator 9): a probabilistic suffix tree over words.
 
 Tokens: words of the A-Z-lower-cased text (runs outside space and U+0009-U+000D), then one end per document. A run of tokens is
-named by a 64-bit hash, chained from its last word backwards, so that a run's name is made from that of its suffix.
+named by a 64-bit hash, chained from its last word backwards.
 
 Root: (c + 1) / (N + V + 1). Level by level, up to depth words of context: a run of one more word is counted where both
-the run without its first and the run without its last word occur min_next times (a bitmap of fixed size spares counting most
-others; it never drops one), and kept where it does itself. A context (a run's words but the last) is retained if for some kept
-next token the probability after it differs from that after its suffix by the factor ratio or more. A retained context's
-distribution is smoothed into its suffix's, P(x | s) = (n(s, x) + (kappa + n(s) - n'(s)) P(x | suffix)) / (n(s) + kappa), n' summing the
-kept next tokens, so it sums to one; next tokens that are not kept get the suffix's probability times the weight left. A token is
-scored in the longest retained context that ends before it, within its document. What is kept depends on counts alone, not
-on shares of the corpus, so the tree grows with it; all its tables are joined, and a broadcast of the hot most frequent
-runs only spares most tokens the join.
+the run without its first and the run without its last word occur min_next times, and kept where it does itself. A context (a
+run's words but the last) is retained if for some kept next token the probability after it differs from that after its suffix by
+the factor ratio or more. A retained context's distribution is smoothed into its suffix's,
+P(x | s) = (n(s, x) + (kappa + n(s) - n'(s)) P(x | suffix)) / (n(s) + kappa), n' summing the kept next tokens, so it sums to one;
+next tokens that are not kept get the suffix's probability times the weight left. A token is scored in the longest retained
+context that ends before it, within its document. What is kept depends on counts alone, not on shares of the corpus, so the tree
+grows with it.
+
+Texts are read once and travel as chunks of about chunk_tokens tokens: word numbers and the names of the words. In each round a
+chunk sends every distinct run of the next level once, with how often its training texts hold it, as sorted arrays by hash bucket,
+and gets the corpus's counts back in the same order; the first chunk that has a kept run also sends what it adds to its
+context, and all get back whether their contexts are retained. So a chunk ends with all that its tokens' probabilities are made
+of; nothing is broadcast, no list of runs is gathered, and a frequent run meets once per chunk.
 
 Defined results: null or empty text is one end token; an empty training set gives every token probability 1;
 repeated rows are counted and scored each; a null doc_id is trained on; other columns are ignored.
@@ -19,42 +24,22 @@ repeated rows are counted and scored each; a null doc_id is trained on; other co
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import chunks, count_floor, materialize, mix64, with_uid
-from lattica.plans.rounds import discard, scratch
+from lattica.llm.common import chunks, materialize, mix64, parts_for, with_uid
+from lattica.llm.suffix_dedup import gathered, reduced, spread_out, squeeze
+from lattica.plans.rounds import discard
 
 END = b" "
-STEP = np.uint64(0x9E3779B97F4A7C15)
-MAP_BITS = 26
-
-
-UNDO = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-
-
-def unmixed(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix64."""
-    for _ in range(2):
-        x = (x ^ x >> np.uint64(32)) * UNDO
-    return x ^ x >> np.uint64(32)
 
 
 def odd(k: int) -> np.uint64:
     return np.uint64((0x9E3779B97F4A7C15 + 2 * k) & ((1 << 64) - 1))
 
 
-def context_name(key: np.ndarray, suf: np.ndarray, up: np.ndarray, m: int) -> np.ndarray:
-    """The name of a run of m + 1 words without its last, from its own name, its suffix's and that of the suffix without its last word: the
-    name of a run is made from its suffix's and its first word, which so can be told."""
-    word = (unmixed(key) ^ suf) * np.uint64(pow(int(odd(m)), -1, 1 << 64))
-    return word if m == 1 else mix64(up ^ word * odd(m - 1))
-
-
 class Names(dict):
     """Words numbered as they come, with their 64-bit names; forgotten when there are very many."""
 
@@ -69,306 +54,297 @@ class Names(dict):
         out = self[word] = len(self.made) - 1
         return out
 
-    def names(self, at: np.ndarray) -> np.ndarray:
+    def names(self) -> np.ndarray:
         if len(self.table) < len(self.made):
             self.table = np.concatenate([self.table, np.array(self.made[len(self.table) :], np.uint64)])
-        return self.table[at]
-
-
-class Tokens:
-    """The tokens of some texts in one go: name, document and place of each; run(m) names the runs of m + 1 words that end at each token."""
+        return self.table
 
-    def __init__(self, texts: list, names: Names):
-        if len(names) > 400_000:
-            names.clear()
-            names.__init__()
-        words, size = [], []
-        for t in texts:
-            ws = t.encode().lower().split() if t is not None else []
-            ws.append(END)
-            words += ws
-            size.append(len(ws))
-        self.size = np.array(size, np.int64)
-        self.code = names.names(np.fromiter(map(names.__getitem__, words), np.int64, len(words)))
-        self.doc = np.repeat(np.arange(len(size)), self.size)
-        self.place = np.arange(len(words)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        self.runs = [self.code]
 
-    def run(self, m: int) -> np.ndarray:
-        """Defined where place >= m."""
-        while len(self.runs) <= m:
-            k = len(self.runs)
-            self.runs.append(mix64(self.runs[-1] ^ np.concatenate([np.zeros(k, np.uint64), self.code[:-k]]) * odd(k)) if len(self.code) > k else self.code)
-        return self.runs[m]
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, all lowest first: high bytes that are the same compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).ravel()
 
 
-def slots(key: np.ndarray) -> np.ndarray:
-    return (key & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+def from_planes(x: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits set at the low bits of each key: fixed size, made of at most 2^20 rows whatever the number of keys."""
-    at = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    rows = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    words = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return words.view(np.uint64)
+def in_order(key: np.ndarray) -> np.ndarray:
+    """argsort, by sorting numbers of the keys' high bits and their places."""
+    bits = np.uint64(max(1, len(key)).bit_length())
+    at = np.sort((key >> bits << bits) | np.arange(len(key), dtype=np.uint64))
+    order = (at & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    s = key[order]
+    return order if (s[1:] >= s[:-1]).all() else order[np.argsort(s, kind="stable")]
 
 
-def there(words: np.ndarray, key: np.ndarray) -> np.ndarray:
-    s = slots(key)
-    return (words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and which of them each key is."""
+    order = in_order(key)
+    s = key[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    which = np.empty(len(s), np.int32)
+    which[order] = np.cumsum(new) - 1
+    return s[new], which
 
 
-def unigrams(train: DataFrame) -> DataFrame:
-    """(key, n)."""
+def packed(rows: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(chunk, data): consecutive rows' doc_ids, whether they have one, whether they are held out, numbers of tokens; the chunk's words'
+    names, the most frequent first, and its tokens as numbers of words."""
 
     def run(batches):
-        names, parts, total = Names(), [], 0
-
-        def flushed():
-            k, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pd.DataFrame({"key": k.view(np.int64), "n": n})
+        names, docs, codes, first, total = Names(), [], [], None, 0
+
+        def row():
+            ids, has, held, sizes = (np.concatenate(x) for x in zip(*docs, strict=True))
+            code, table = np.concatenate(codes), names.names()
+            n = np.bincount(code, minlength=len(table))
+            words = np.flatnonzero(n)
+            words = words[np.argsort(-n[words], kind="stable")]
+            rank = np.zeros(len(table), np.uint32)
+            rank[words] = np.arange(len(words), dtype=np.uint32)
+            return pd.DataFrame([{"chunk": first, "data": squeeze(ids, has, held, sizes, table[words], planes(rank[code]))}])
 
         for pdf in batches:
-            for part in chunks(pdf, "text", 2_000_000):
-                parts.append(Tokens(list(part["text"]), names).code)
-                total += len(parts[-1])
-                if total > 3_000_000:
-                    yield flushed()
-                    parts, total = [], 0
-        if parts:
-            yield flushed()
-
-    return train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for part in chunks(pdf, "text", 1_000_000):
+                first = int(part["uid"].iloc[0]) if first is None else first
+                words, sizes = [], []
+                for t in part["text"]:
+                    ws = t.encode().lower().split() if t is not None else []
+                    ws.append(END)
+                    words += ws
+                    sizes.append(len(ws))
+                has = part["doc_id"].notna().to_numpy()
+                ids = np.array([int(d) if ok else 0 for d, ok in zip(part["doc_id"], has, strict=True)], np.int64)
+                docs.append((ids, has, part["held_out"].to_numpy(bool), np.array(sizes, np.int64)))
+                codes.append(np.fromiter(map(names.__getitem__, words), np.int64, len(words)))
+                total += len(words)
+                if total >= chunk_tokens:
+                    yield row()
+                    docs, codes, first, total = [], [], None, 0
+                    if len(names) > 400_000:
+                        names = Names()
+        if docs:
+            yield row()
+
+    ids = rows.select("uid", F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out")
+    return ids.mapInPandas(run, "chunk long, data binary")
+
+
+class Level:
+    """A chunk's distinct runs of some length, sorted; which of them ends at each token (-1: none that was counted); their counts in the corpus
+    where they are kept, else 0, and whether it is this chunk that speaks for them. A 0 more stands for -1."""
+
+    def __init__(self, keys: np.ndarray, which: np.ndarray):
+        self.keys, self.which = keys, which
+
+    def answered(self, reply: np.ndarray) -> None:
+        self.n, self.mine = np.append(reply >> 1, 0), np.append(reply & 1, 0).astype(bool)
+
+    def before(self, m: int, place: np.ndarray) -> np.ndarray:
+        """which of the token before, where that has a run of m words."""
+        out = np.full(len(self.which), -1, np.int32)
+        out[1:] = self.which[:-1]
+        out[place < m] = -1
+        return out
 
 
-def counted_runs(train: DataFrame, m: int, frequent, min_next: int, flush: int = 2_000_000) -> DataFrame:
-    """(key, suf, n): runs of m + 1 words that occur min_next times, with the names of the runs without their first word."""
+class Chunk:
+    """A chunk's tokens, and level by level what is known of their runs. answers: by question (2 m: counts of the runs of m + 1 words,
+    2 m + 1: contexts of m words) the arrays that came back."""
+
+    def __init__(self, data: bytes, answers: dict[int, np.ndarray], min_next: int):
+        self.ids, self.has, self.held, self.size, names, code = spread_out(data, np.int64, bool, bool, np.int64, np.uint64, np.uint8)
+        code = from_planes(code, np.uint32)
+        ends = np.cumsum(self.size)
+        self.place = np.arange(len(code)) - np.repeat(ends - self.size, self.size)
+        self.train = np.repeat(~self.held, self.size)
+        self.answers, self.min_next = answers, min_next
+        order = in_order(names)
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        self.words = self.run = names[code]
+        self.levels = [Level(names[order], rank[code])]
+        self.answer(0)
+
+    def answer(self, m: int) -> None:
+        if 2 * m in self.answers or not len(self.levels[m].keys):
+            self.levels[m].answered(self.answers.get(2 * m, np.zeros(0, np.int64)))
+
+    def grow(self) -> Level:
+        """The next level: runs of one more word, both of whose shorter runs are kept."""
+        m, below = len(self.levels), self.levels[-1]
+        ahead = np.zeros(len(self.run), np.uint64)
+        ahead[m:] = self.words[:-m]
+        self.run = mix64(self.run ^ ahead * odd(m))
+        often = below.n >= self.min_next
+        at = np.flatnonzero((self.place >= m) & often[below.which] & often[below.before(m, self.place)])
+        keys, found = distinct(self.run[at])
+        which = np.full(len(self.run), -1, np.int32)
+        which[at] = found
+        self.levels.append(Level(keys, which))
+        self.answer(m)
+        return self.levels[-1]
+
+    def up_to(self, m: int) -> Chunk:
+        while len(self.levels) <= m:
+            self.grow()
+        return self
+
+    def counts(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, n in training texts) of level m."""
+        level = self.levels[m]
+        return level.keys, np.bincount(level.which[self.train & (level.which >= 0)], minlength=len(level.keys)).astype(np.int64)
+
+    def asked(self, m: int) -> np.ndarray:
+        """Which runs of m words may be contexts."""
+        return np.flatnonzero(self.levels[m - 1].n[:-1] >= self.min_next)
+
+    def contexts(self, m: int, n_all: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, kept, differs) of the runs of m words that may be contexts: what the kept runs that this chunk speaks for add to them."""
+        level, below = self.levels[m], self.levels[m - 1]
+        own = np.flatnonzero(level.mine & (level.n >= self.min_next))
+        at = np.zeros(len(level.keys) + 1, np.int64)
+        at[level.which] = np.arange(len(level.which))
+        at = at[own]
+        ctx = below.which[at - 1]
+        n, n_ctx = level.n[own], below.n[ctx]
+        shorter = self.levels[m - 2].n[self.levels[m - 2].which[at - 1]] if m > 1 else max(1, n_all)
+        lift = n / n_ctx / (below.n[below.which[at]] / shorter)
+        size, sub = len(below.keys), self.asked(m)
+        kept = np.bincount(ctx, n, size).astype(np.int64)
+        differs = np.bincount(ctx, (lift >= ratio) | (lift <= 1 / ratio), size) > 0
+        return below.keys[sub], kept[sub], differs[sub]
+
+    def scored(self, depth: int, n_all: int, v_all: int, kappa: float) -> pd.DataFrame:
+        self.up_to(depth)
+        doc, docs = np.repeat(np.arange(len(self.size)), self.size), len(self.size)
+        total = lambda x: np.bincount(doc, x, docs)
+        n = self.levels[0].n[self.levels[0].which]
+        p = (n + 1) / (n_all + v_all + 1)
+        base, known = total(np.log10(p)), total(n > 0).astype(np.int64)
+        for m in range(1, depth + 1):
+            level, below = self.levels[m], self.levels[m - 1]
+            retained = np.zeros(len(below.keys) + 1, np.int64)
+            sub = self.asked(m)
+            if len(sub):
+                retained[sub] = self.answers[2 * m + 1]
+            ctx = below.before(m, self.place)
+            kept, n_ctx = retained[ctx], below.n[ctx]
+            p = np.where(kept > 0, (level.n[level.which] + (kappa + n_ctx - kept) * p) / (n_ctx + kappa), p)
+        ids = pd.array(self.ids, "Int64")
+        ids[~self.has] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "held_out": self.held, "n_tokens": self.size, "n_known": known, "train_tokens": n_all, "base_score": base, "score": total(np.log10(p))})
+
+
+def by_bucket(question: int, buckets: int, keys: np.ndarray, *values: np.ndarray):
+    """(bucket, array of the keys and values that go there): keys are sorted, and so are the buckets. Keys travel as differences."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    for a, z in zip([0, *cut], [*cut, len(keys)], strict=True):
+        if z > a:
+            yield question * buckets + int(bucket[a]), squeeze(planes(np.diff(keys[a:z], prepend=np.uint64(0))), *(planes(v[a:z]) for v in values))
+
+
+def answers_of(got, buckets: int) -> dict[int, np.ndarray]:
+    """A chunk's replies, put together by question."""
+    out: dict = {}
+    for r in sorted(got if got is not None else [], key=lambda r: r["bucket"]):
+        out.setdefault(r["bucket"] // buckets, []).append(from_planes(spread_out(r["reply"], np.uint8)[0], np.int64))
+    return {q: np.concatenate(x) for q, x in out.items()}
+
+
+def added_up(min_next: int):
+    """The reducer of all questions: two arrays are keys and counts, three are contexts, what is kept after them and whether it differs."""
+
+    def work(blobs: list[bytes]) -> list[bytes]:
+        contexts = blobs[0][0] == 3
+        parts = [[from_planes(x, k) for x, k in zip(spread_out(b, *[np.uint8] * b[0]), (np.uint64, np.int64, bool), strict=False)] for b in blobs]
+        key, n = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts])
+        which, keys = pd.factorize(key)
+        total = np.bincount(which, n, len(keys)).astype(np.int64)
+        if contexts:
+            reply = np.where(np.bincount(which, np.concatenate([p[2] for p in parts]), len(keys)) > 0, total, 0)[which]
+        else:
+            total[total < min_next] = 0
+            first = np.zeros(len(keys), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            reply = total[which] << 1
+            reply[first] |= 1
+        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
+        return [squeeze(planes(reply[a:z])) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+
+    return work
+
+
+def kept_runs(replies: DataFrame, buckets: int, question: int) -> tuple[int, int]:
+    """(how many tokens the kept runs of a question are, how many kept runs there are)."""
 
     def run(batches):
-        names, parts, total, words = Names(), [], 0, frequent.value
+        for pdf in batches:
+            both = [from_planes(spread_out(x, np.uint8)[0], np.int64) for x in pdf["reply"]]
+            own = [x[(x & 1 == 1) & (x > 1)] >> 1 for x in both]
+            yield pd.DataFrame({"n": [int(x.sum()) for x in own], "v": [len(x) for x in own]})
 
-        def flushed():
-            key, suf = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            return pd.DataFrame({"key": key[first].view(np.int64), "suf": suf[first].view(np.int64), "n": n.astype(np.int32)})
+    found = replies.filter(F.col("bucket").between(question * buckets, (question + 1) * buckets - 1)).select("reply").mapInPandas(run, "n long, v long")
+    return tuple(found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
 
-        for pdf in batches:
-            for part in chunks(pdf, "text", 2_000_000):
-                t = Tokens(list(part["text"]), names)
-                below = t.run(m - 1)
-                ok = there(words, below)
-                at = np.flatnonzero((t.place >= m) & ok & np.concatenate([[False], ok[:-1]]))
-                parts.append((t.run(m)[at], below[at]))
-                total += len(at)
-                if total > flush:
-                    yield flushed()
-                    parts, total = [], 0
-        if parts:
-            yield flushed()
-
-    found = train.select("text").mapInPandas(run, "key long, suf long, n int")
-    return found.groupBy("key").agg(F.sum("n").alias("n"), F.first("suf").alias("suf")).filter(F.col("n") >= min_next)
-
-
-def grown(below: DataFrame, runs: DataFrame, m: int, ratio: float, kappa: float) -> tuple[DataFrame, DataFrame]:
-    """One level: (runs: key, n, share, p, ctx) and (contexts: key, lw) from the level below (the same columns) and its counted runs."""
-
-    def told(batches):
-        for pdf in batches:
-            key, suf, up = (pdf[c].to_numpy().view(np.uint64) for c in ("key", "suf", "up"))
-            yield pdf.drop(columns=["suf", "up"]).assign(ctx=context_name(key, suf, up, m).view(np.int64))
-
-    known = runs.join(below.select(F.col("key").alias("suf"), F.col("share").alias("u_share"), F.col("p").alias("u_p"), F.col("ctx").alias("up")), "suf")
-    named = known.select("key", "suf", "up", "n", "u_share", "u_p").mapInPandas(told, "key long, n long, u_share double, u_p double, ctx long")
-    own = named.join(below.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx")), "ctx")
-    own = materialize(own.select("key", "ctx", "n", "n_ctx", (F.col("n") / F.col("n_ctx")).alias("share"), "u_share", "u_p"), "runs")
-    lift = F.col("share") / F.col("u_share")
-    contexts = own.groupBy("ctx").agg(F.max("n_ctx").alias("n_ctx"), F.sum("n").alias("kept"), F.max((lift >= ratio) | (lift <= 1 / ratio)).alias("differs")).filter("differs")
-    contexts = materialize(contexts.select("ctx", ((kappa + F.col("n_ctx") - F.col("kept")) / (F.col("n_ctx") + kappa)).alias("weight")), "contexts")
-    both = own.join(contexts, "ctx", "left")
-    p = F.when(F.col("weight").isNull(), F.col("u_p")).otherwise(F.col("n") / (F.col("n_ctx") + kappa) + F.col("weight") * F.col("u_p"))
-    table = materialize(both.select("key", "n", "share", p.alias("p"), "ctx"), "level")
-    discard(own)
-    return table, contexts.select(F.col("ctx").alias("key"), F.log10("weight").alias("lw"))
-
-
-class Near:
-    """Frequent runs for a broadcast: sorted keys, log10 p of the last word and log10 of the weight left, and their order by count."""
-
-    SLOTS = 22
-
-    def __init__(self, key: np.ndarray, n: np.ndarray, lp: np.ndarray, lw: np.ndarray):
-        key = key.view(np.uint64)
-        by = np.argsort(key)
-        self.key, self.lp, self.lw, self.order, self.slot = key[by], lp[by], lw[by], np.argsort(n[by], kind="stable").astype(np.int32), None
-
-    def __getstate__(self):
-        return self.__dict__ | {"slot": None}
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(self.key) or not len(key):
-            return np.zeros(len(key), bool), np.zeros(len(key)), np.zeros(len(key))
-        place = lambda k: (k * STEP >> np.uint64(64 - self.SLOTS)).astype(np.int64)
-        if self.slot is None:
-            self.slot = np.zeros(1 << self.SLOTS, np.int32)
-            self.slot[place(self.key[self.order])] = self.order
-        at = self.slot[place(key)].astype(np.int64)
-        known = self.key[at] == key
-        miss = np.flatnonzero(~known)
-        again = np.minimum(np.searchsorted(self.key, key[miss]), len(self.key) - 1)
-        at[miss], known[miss] = again, self.key[again] == key[miss]
-        return known, np.where(known, self.lp[at], 0.0), np.where(known, self.lw[at], 0.0)
-
-
-def scored_rows(texts: list, names: Names, near: Near, maps: list[np.ndarray], kept: list[np.ndarray], unseen: float) -> tuple[np.ndarray, pd.DataFrame]:
-    """Per text its tokens and its sums of base score, known tokens and score over what is known here; and rows (i, t, slot, key, add) for the rest.
-
-    slot 32: a word (key) that t tokens are whose root probability alone is wanted for both scores, 33: for the base score. Any other
-    token t that a lookup could change has a row of slot -1 (add: its log10 probability if no lookup finds anything), one per run that may
-    be there (slot: its depth; add: the log10 weights of the deeper contexts that are known) and one per context that may be (slot: 16 and its
-    depth). Where one run alone may be there, one row says it all: slot 48 and its depth, add as for a run, base as for the token."""
-    depth, tok = len(maps) - 1, Tokens(texts, names)
-    n, m = len(tok.code), len(texts)
-    known, lp, lw, cold, cold_w = [], [], [], [], []
-    for k in range(depth + 1):
-        inside = tok.place >= k
-        found, p, w = near.find(tok.run(k))
-        found &= inside
-        open_ = inside & ~found & there(maps[k], tok.run(k)) if k else ~found
-        known.append(found)
-        lp.append(p)
-        lw.append(np.where(found, w, 0.0))
-        cold.append(open_)
-        cold_w.append(inside & ~found & there(kept[k], tok.run(k)) if k < len(kept) else np.zeros(n, bool))
-    before = np.arange(n) - 1
-    weight = [np.zeros(n)] + [np.where(tok.place >= k, lw[k - 1][before], 0.0) for k in range(1, depth + 1)]
-    s = base = np.where(known[0], lp[0], unseen)
-    hard = np.zeros(n, bool)
-    for k in range(1, depth + 1):
-        hard |= cold[k] | ((tok.place >= k) & cold_w[k - 1][before])
-        s = np.where(known[k], lp[k], s + weight[k])
-    tail = [np.zeros(n) for _ in range(depth + 1)]
-    for k in range(depth - 1, -1, -1):
-        tail[k] = tail[k + 1] + weight[k + 1]
-    rare = cold[0]
-    simple = rare & ~hard
-    sums = np.stack([tok.size, np.bincount(tok.doc, base * ~rare, m), np.bincount(tok.doc, known[0], m), np.bincount(tok.doc, np.where(hard, 0.0, np.where(simple, tail[0], s)), m)], 1)
-    parts = []
-    for slot, mask in ((32, simple), (33, rare & hard)):
-        at = np.flatnonzero(mask)
-        at = at[np.lexsort((tok.code[at], tok.doc[at]))]
-        d, c = tok.doc[at], tok.code[at]
-        start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])])) if len(at) else at
-        parts.append((d[start], np.diff(np.append(start, len(at))), slot, c[start], np.zeros(len(start))))
-    many = sum(c.astype(np.int8) for c in cold)
-    for k in range(1, depth + 1):
-        many += ((tok.place >= k) & cold_w[k - 1][before]).astype(np.int8) * 2
-    lone = hard & (many == 1)
-    for k in range(1, depth + 1):
-        x = np.flatnonzero(lone & cold[k])
-        parts.append((tok.doc[x], tok.place[x], 48 + k, tok.run(k)[x], tail[k][x], s[x]))
-    at = np.flatnonzero(hard & ~lone)
-    parts.append((tok.doc[at], tok.place[at], -1, np.zeros(len(at), np.uint64), s[at]))
-    for k in range(depth + 1):
-        x = at[cold[k][at]]
-        parts.append((tok.doc[x], tok.place[x], k, tok.run(k)[x], tail[k][x]))
-        if k:
-            x = at[(tok.place[at] >= k) & cold_w[k - 1][at - 1]]
-            parts.append((tok.doc[x], tok.place[x], 16 + k, tok.run(k - 1)[x - 1], np.zeros(len(x))))
-    cols = [np.concatenate([p[j] for p in parts]) for j in (0, 1, 3, 4)]
-    cols.append(np.concatenate([p[5] if len(p) > 5 else np.full(len(p[0]), np.nan) for p in parts]))
-    slot = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-    return sums, pd.DataFrame({"i": cols[0], "t": cols[1], "slot": slot, "key": cols[2].view(np.int64), "add": cols[3], "base": cols[4]})
-
-
-def fit(train: DataFrame, depth: int, ratio: float, min_next: int, kappa: float) -> tuple[DataFrame, list[np.ndarray], list[np.ndarray], int, int]:
-    """(nodes: key, n, lp, lw; a bitmap per level of the runs there, and one of the contexts retained; N; V)."""
-    spark = train.sparkSession
-    counts = materialize(unigrams(train), "unigrams")
-    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    below = counts.select("key", "n", (F.col("n") / max(1, n_all)).alias("share"), ((F.col("n") + 1) / (n_all + v_all + 1)).alias("p"), F.lit(0).cast("long").alias("ctx"))
-    levels, contexts = [below], []
-    frequent = bitmap(below.filter(F.col("n") >= min_next))
-    maps, retained = [frequent], []
-    for m in range(1, depth + 1):
-        held = spark.sparkContext.broadcast(frequent)
-        runs = materialize(counted_runs(train, m, held, min_next), "counted")
-        if not runs.limit(1).count():
-            break
-        table, kept = grown(below, runs, m, ratio, kappa)
-        discard(runs)
-        held.destroy()
-        levels.append(table)
-        contexts.append(kept)
-        retained.append(bitmap(kept))
-        frequent, below = bitmap(table), table
-        maps.append(frequent)
-    nodes = levels[0].select("key", "n", "p")
-    for t in levels[1:]:
-        nodes = nodes.unionByName(t.select("key", "n", "p"))
-    if contexts:
-        weights = contexts[0]
-        for c in contexts[1:]:
-            weights = weights.unionByName(c)
-        nodes = nodes.join(weights, "key", "left")
-    else:
-        nodes = nodes.withColumn("lw", F.lit(0.0))
-    return nodes.select("key", "n", F.log10("p").alias("lp"), F.coalesce("lw", F.lit(0.0)).alias("lw")), maps, retained, n_all, v_all
-
-
-def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth: int = 3, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 20) -> DataFrame:
+
+def score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, depth: int = 3, ratio: float = 1.5, min_next: int = 3, kappa: float = 4.0, hot: int = 1 << 20, chunk_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
-    depth: the most words of context; hot: the most runs that are broadcast."""
+    depth: the most words of context; hot: once the most runs that were broadcast, without effect since none are."""
     if depth > 15:
         raise ValueError("contexts of up to 15 words")
-    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_modulus == held_remainder, F.lit(False))
     rows = with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out")))
-    with scratch() as tables:
-        nodes, maps, kept, n_all, v_all = fit(rows.filter(~F.col("held_out")), depth, ratio, min_next, kappa)
-        nodes = tables.keep(materialize(nodes, "nodes"))
-    top = nodes.filter(F.col("n") >= count_floor(nodes, hot)).toArrow()
-    near = spark.sparkContext.broadcast((Near(*(top.column(c).to_numpy() for c in ("key", "n", "lp", "lw"))), maps, kept))
-    unseen = -math.log10(n_all + v_all + 1)
-    depth = len(maps) - 1
-
-    def spread(batches):
-        names, (found, maps, kept) = Names(), near.value
+    parts = buckets = parts_for(docs, 12)
+    table = materialize(packed(rows, chunk_tokens), "packed")
+
+    def with_answers(replies: list[DataFrame]) -> DataFrame:
+        if not replies:
+            return table.select("chunk", "data", F.lit(None).cast("array<struct<bucket:long,reply:binary>>").alias("got"))
+        every = replies[0]
+        for r in replies[1:]:
+            every = every.unionByName(r)
+        return table.repartition(parts, "chunk").join(gathered(every, "got", parts).hint("shuffle_hash"), F.col("chunk") == F.col("got_chunk"), "left").select("chunk", "data", "got")
+
+    def each(batches):
         for pdf in batches:
-            for part in chunks(pdf, "text", 1_000_000):
-                sums, rest = scored_rows(list(part["text"]), names, found, maps, kept, unseen)
-                uid = part["uid"].to_numpy()
-                whole = pd.DataFrame({"uid": uid, "t": 0, "slot": -2, "key": 0, "add": sums[:, 3], "base": sums[:, 1], "tokens": sums[:, 0].astype(np.int64), "known": sums[:, 2].astype(np.int64)})
-                yield whole.assign(doc_id=part["doc_id"].astype("Int64").array, held_out=part["held_out"].to_numpy())
-                n = len(rest)
-                none = pd.arrays.IntegerArray(np.zeros(n, np.int64), np.ones(n, bool))
-                more = {"uid": uid[rest["i"].to_numpy()], **{c: rest[c].to_numpy() for c in ("t", "slot", "key", "add", "base")}, "tokens": none, "known": none, "doc_id": none, "held_out": pd.arrays.BooleanArray(np.zeros(n, bool), np.ones(n, bool))}
-                yield pd.DataFrame(more)
-
-    sent = rows.mapInPandas(spread, "uid long, t int, slot int, key long, add double, base double, tokens long, known long, doc_id long, held_out boolean")
-    # rows that ask for nothing are spread by their document and place
-    asked = sent.withColumn("ask", F.when(F.col("slot") >= 0, F.col("key")).otherwise(F.xxhash64("uid", "t")))
-    side = nodes.select(F.col("key").alias("k"), F.col("lp").alias("k_lp"), F.col("lw").alias("k_lw"))
-    joined = asked.join(side.hint("merge"), (F.col("ask") == F.col("k")) & (F.col("slot") >= 0), "left")
-    kind, many = F.col("slot"), F.col("t")
-    place = F.when((kind == -2) | (kind >= 32), -1).otherwise(F.col("t"))
-    root = F.coalesce("k_lp", F.lit(unseen))
-    # of what was found the deepest run decides; a rare word without an entry is not known
-    option = F.when(kind == -1, F.struct(F.lit(-1).alias("k"), F.col("add").alias("v"))).when((kind >= 0) & (kind < 16) & F.col("k_lp").isNotNull(), F.struct(kind.alias("k"), (F.col("k_lp") + F.col("add")).alias("v")))
-    each = joined.groupBy("uid", place.alias("t")).agg(
-        F.max(option).alias("best"), *[F.max(F.when(kind == 16 + k, F.col("k_lw"))).alias(f"c{k}") for k in range(1, depth + 1)],
-        F.sum(F.when(kind.isin(32, 33), many * root).when(kind == -2, F.col("base"))).alias("base_sum"), F.sum(F.when(kind == 32, many * root).when(kind == -2, F.col("add")).when(kind > 48, F.coalesce(F.col("k_lp") + F.col("add"), F.col("base")))).alias("score"),
-        F.sum(F.when(kind.isin(32, 33) & F.col("k_lp").isNotNull(), many).when(kind == -2, F.col("known"))).alias("known"),
-        F.max("tokens").alias("tokens"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
-    )
-    own = F.col("best.v")
-    for k in range(1, depth + 1):
-        own = own + F.when(F.col("best.k") < k, F.coalesce(f"c{k}", F.lit(0.0))).otherwise(0.0)
-    sums = each.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.coalesce(F.sum("known"), F.lit(0)).alias("n_known"),
-        F.sum("base_sum").alias("base_score"), F.sum(F.when(F.col("t") < 0, F.col("score")).otherwise(own)).alias("score"),
-    )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+            for k, data, got in zip(pdf["chunk"], pdf["data"], pdf["got"], strict=True):
+                yield k, data, answers_of(got, buckets)
+
+    def asking(m: int, n_all: int):
+        """Round m asks for the counts of level m, up to depth, and for the contexts of the level below."""
+
+        def run(batches):
+            for k, data, answers in each(batches):
+                c, sent = Chunk(data, answers, min_next).up_to(min(m, depth)), []
+                if m <= depth:
+                    sent += by_bucket(2 * m, buckets, *c.counts(m))
+                if m > 1:
+                    sent += by_bucket(2 * m - 1, buckets, *c.contexts(m - 1, n_all, ratio))
+                yield pd.DataFrame([(k, *x) for x in sent], columns=["chunk", "bucket", "sent"])
+
+        return run
+
+    replies, n_all, v_all, top = [], 0, 0, depth
+    for m in range(depth + 2):
+        sent = with_answers(replies).mapInPandas(asking(m, n_all), "chunk long, bucket long, sent binary")
+        replies.append(materialize(reduced(sent, parts, added_up(min_next if m else 1)), "replies"))
+        if m > depth:
+            break
+        n, v = kept_runs(replies[-1], buckets, 2 * m)
+        if m == 0:
+            n_all, v_all = n, v
+        elif not v:
+            top = m - 1
+            break
+
+    def finish(batches):
+        for _, data, answers in each(batches):
+            yield Chunk(data, answers, min_next).scored(top, n_all, v_all, kappa)
+
+    out = with_answers(replies).mapInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out

@@ -511,6 +511,17 @@ def test_op9_base_and_score(spark, rows, depth, hot):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_op9_chunks_agree_and_nothing_is_broadcast(spark, rows, monkeypatch):
+    """Broadcasts of bitmaps and frequent runs stood on the disk of each process; runs of all chunks meet by name instead."""
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a broadcast"))
+    rng = random.Random(5)
+    phrase = [prose(rng, 6) for _ in range(5)]
+    more = rows + [(700 + i, " ".join(rng.choice(phrase) for _ in range(9))) for i in range(50)] + [(700, "a repeated id"), (None, None)]
+    scored = lambda n: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in suffix_tree.score(frame(spark, more), chunk_tokens=n).collect())
+    small = scored(60)
+    assert small == scored(1_000_000) and len(small) == len(more)
+
+
 def test_op9_states_are_distributions_and_edge_cases(spark):
     tree = BruteTree([["a", "b", "c"] * 9, ["a", "c", "b"] * 7, ["b", "a"] * 5], 3)
     words = ["a", "b", "c", "unseen"]
